@@ -1,7 +1,7 @@
 """Quality classifier: hashed word n-gram logistic regression, follow-the-regularised-leader updates.
 
-A text becomes a sparse binary vector: its distinct word and shape n-grams, hashed into 2**bits
-buckets, each with the value 1/sqrt(number of distinct buckets). A score is the logistic of a sparse
+A text becomes a sparse unit vector: its word and shape unigrams and bigrams, hashed into 2**bits
+buckets, each with the value sqrt(count / all counts). A score is the logistic of a sparse
 dot product. Training is sequential, as the updates are, and so takes a bounded sample of labelled
 rows; scoring is one map over all rows, with the weight vector (2**bits floats) sent to each task.
 """
@@ -30,10 +30,10 @@ class QualityParams:
 
     bits: int = 18
     max_train_rows: int = 12_000
-    epochs: int = 3
-    alpha: float = 0.5
+    epochs: int = 5
+    alpha: float = 4.0
     beta: float = 1.0
-    l1: float = 1e-4
+    l1: float = 1e-2
     l2: float = 1e-4
 
 
@@ -52,37 +52,29 @@ def _codes(token: bytes) -> tuple[int, int]:
 
 
 def _grams(codes: np.ndarray) -> list[np.ndarray]:
-    """Unigrams and bigrams; a bigram of two equal tokens has one code of its own."""
-    pairs = codes[:-1] * _MIX + codes[1:]
-    pairs[codes[:-1] == codes[1:]] = _SAME
-    return [codes, pairs]
+    return [codes, codes[:-1] * _MIX + codes[1:]]
 
 
-def features(text: bytes, cache: BoundedCache, bits: int) -> np.ndarray:
-    """Distinct buckets of a text, ascending; none for a text without tokens."""
+def features(text: bytes, cache: BoundedCache, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text, ascending, and their values; none for a text without tokens."""
     tokens = TOKEN.findall(text)
     if not tokens:
-        return np.empty(0, np.uint32)
+        return np.empty(0, np.uint32), np.empty(0, np.float32)
     codes = np.array(list(map(cache.__getitem__, tokens)), np.uint64)
+    codes[1:][codes[1:, 0] == codes[:-1, 0]] = _SAME  # a token that repeats the one before has one code of its own
     mixed = np.concatenate(_grams(codes[:, 0]) + _grams(codes[:, 1]))
     mixed = (mixed ^ (mixed >> np.uint64(31))) * _MIX
-    seen = np.zeros(1 << bits, bool) if len(mixed) > 1 << bits else None
-    buckets = (mixed >> np.uint64(64 - bits)).astype(np.uint32)
-    if seen is None:
-        return np.unique(buckets)
-    seen[buckets] = True
-    return np.flatnonzero(seen).astype(np.uint32)
+    buckets, counts = np.unique((mixed >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+    return buckets, np.sqrt(counts / len(mixed)).astype(np.float32)
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], p: QualityParams) -> np.ndarray:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], p: QualityParams) -> np.ndarray:
     """Per-coordinate FTRL-Proximal; the last weight is the bias, which isn't regularised by l1."""
     dim = (1 << p.bits) + 1
     z, n, w = np.zeros(dim), np.zeros(dim), np.zeros(dim)
     for _ in range(p.epochs):
-        for buckets, label in rows:
-            i = np.append(buckets, dim - 1).astype(np.int64)
-            x = np.full(len(i), 1 / np.sqrt(max(1, len(buckets))))
-            x[-1] = 1.0
+        for buckets, values, label in rows:
+            i, x = np.append(buckets, dim - 1).astype(np.int64), np.append(values, 1.0)
             zi, ni = z[i], n[i]
             l1 = np.full(len(i), p.l1)
             l1[-1] = 0.0
@@ -113,18 +105,19 @@ def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityPar
     def to_features(batches):
         cache = BoundedCache(_codes, 200_000)
         for batch in batches:
-            rows = [features(t, cache, bits).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "label", "buckets"])
+            rows = [features(t, cache, bits) for t in batch.column(2).to_pylist()]
+            packed = [pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], ["doc_id", "label", "buckets", "values"])
 
     def to_weights(batches):
-        rows = sorted((xxhash.xxh64_intdigest(str(i)), b, y) for x in batches for i, y, b in zip(*(c.to_pylist() for c in x.columns)))
-        weights = ftrl([(np.frombuffer(b, np.uint32), y) for _, b, y in rows], params)
+        rows = sorted((xxhash.xxh64_intdigest(str(i)), b, v, y) for x in batches for i, y, b, v in zip(*(c.to_pylist() for c in x.columns)))
+        weights = ftrl([(np.frombuffer(b, np.uint32), np.frombuffer(v, np.float32), y) for _, b, v, y in rows], params)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
     sample = (
         keyed_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # at most max_train_rows rows
         .select(F.col("doc_id").cast("string").alias("doc_id"), "label", F.col("text").cast("binary").alias("text"))
-        .mapInArrow(to_features, "doc_id string, label int, buckets binary")
+        .mapInArrow(to_features, "doc_id string, label int, buckets binary, values binary")
     )
     row = sample.repartition(1).mapInArrow(to_weights, "weights binary")
     found = row.collect()
@@ -144,8 +137,8 @@ def score(docs: DataFrame, weights: np.ndarray, params: QualityParams = QualityP
         for batch in batches:
             out = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                i = features(text or b"", cache, bits)
-                out.append(float(w[-1]) + (float(w[i].sum(dtype=np.float64)) / np.sqrt(len(i)) if len(i) else 0.0))
+                i, x = features(text or b"", cache, bits)
+                out.append(float(w[-1]) + float(w[i] @ x))
             s = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], [*batch.schema.names[:-1], "score"])
 
