@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, quality, sketch, url_filter
+from . import bpe, chat, packing, pii, quality, sketch, url_filter
 from .common import read
 
 QUALITY_THRESHOLD = 0.3
@@ -18,6 +18,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_spans(docs, pii.fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.withColumn("base", base).select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2048)
@@ -82,6 +90,6 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op4_best_fit_packing, op5_chat_formatting, op8_url_filters, op9_byte_level_bpe, op10_document_fingerprints)
+    for f in (op1_quality_classifier, op2_pii, op4_best_fit_packing, op5_chat_formatting, op8_url_filters, op9_byte_level_bpe, op10_document_fingerprints)
 }
 ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": OP5_SQL}
