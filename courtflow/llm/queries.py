@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, pii, quality, sketch, url_filter
-from .common import read
+from . import bpe, chat, lm, packing, pii, quality, sketch, url_filter
+from .common import id_crc32, read
 
 QUALITY_THRESHOLD = 0.3
 
@@ -70,6 +70,12 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """.replace("\\\\", "\\")
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trains = F.coalesce(id_crc32("doc_id") % 7 != 2, F.lit(True))
+    scored = lm.score(read(spark, sf_dir, "documents"), trains)
+    return scored.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 URL_RULES = [
     url_filter.Rule("com", "/en/", "block"), url_filter.Rule("example.com", "/en/7", "allow"), url_filter.Rule("net", "/de/", "allow"),
     url_filter.Rule("example.net", "/de/8", "block"), url_filter.Rule("org", "/es/", "block"),
@@ -90,6 +96,6 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_pii, op4_best_fit_packing, op5_chat_formatting, op8_url_filters, op9_byte_level_bpe, op10_document_fingerprints)
+    for f in (op1_quality_classifier, op2_pii, op4_best_fit_packing, op5_chat_formatting, op6_lm_scoring, op8_url_filters, op9_byte_level_bpe, op10_document_fingerprints)
 }
 ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": OP5_SQL}
