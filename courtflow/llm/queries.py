@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm, packing, pii, quality, sketch, url_filter
+from . import bpe, chat, jaccard_join, lm, packing, pii, quality, sketch, url_filter
 from .common import id_crc32, read
 
 QUALITY_THRESHOLD = 0.3
@@ -26,6 +26,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base", base).select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2048)
@@ -96,6 +100,6 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_pii, op4_best_fit_packing, op5_chat_formatting, op6_lm_scoring, op8_url_filters, op9_byte_level_bpe, op10_document_fingerprints)
+    for f in (op1_quality_classifier, op2_pii, op3_ngram_jaccard_join, op4_best_fit_packing, op5_chat_formatting, op6_lm_scoring, op8_url_filters, op9_byte_level_bpe, op10_document_fingerprints)
 }
 ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": OP5_SQL}
