@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard_join, lm, packing, pii, quality, sketch, url_filter
+from . import bpe, chat, jaccard_join, lm, media, packing, pii, quality, sketch, url_filter
 from .common import id_crc32, read
 
 QUALITY_THRESHOLD = 0.3
@@ -80,6 +80,14 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = media.text_media(read(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n_bytes", F.octet_length("samples").cast("bigint").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 URL_RULES = [
     url_filter.Rule("com", "/en/", "block"), url_filter.Rule("example.com", "/en/7", "allow"), url_filter.Rule("net", "/de/", "allow"),
     url_filter.Rule("example.net", "/de/8", "block"), url_filter.Rule("org", "/es/", "block"),
@@ -100,6 +108,6 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_pii, op3_ngram_jaccard_join, op4_best_fit_packing, op5_chat_formatting, op6_lm_scoring, op8_url_filters, op9_byte_level_bpe, op10_document_fingerprints)
+    for f in (op1_quality_classifier, op2_pii, op3_ngram_jaccard_join, op4_best_fit_packing, op5_chat_formatting, op6_lm_scoring, op7_media_columns, op8_url_filters, op9_byte_level_bpe, op10_document_fingerprints)
 }
 ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": OP5_SQL}
