@@ -37,6 +37,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df (checkpointed, of a few short columns) marked for a broadcast if it has at most so many rows, else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -38,14 +38,14 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=np.uint64)
 
 
-def bounds(shards: int) -> np.ndarray:
+def bounds(shards: int, bits: int) -> np.ndarray:
     """The first key of each shard after the first."""
-    return np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
+    return np.array([(i << bits) // shards for i in range(1, shards)], np.uint64)
 
 
-def ask(block: int, space: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple[int, int, bytes, bytes]]:
-    """Rows of ASK for sorted distinct keys; spaces keep kinds of keys apart."""
-    cuts = [0, *np.searchsorted(keys, bounds(shards)).tolist(), len(keys)]
+def ask(block: int, space: int, keys: np.ndarray, counts: np.ndarray, shards: int, bits: int = 64) -> list[tuple[int, int, bytes, bytes]]:
+    """Rows of ASK for sorted distinct keys of so many bits; spaces keep kinds of keys apart."""
+    cuts = [0, *np.searchsorted(keys, bounds(shards, bits)).tolist(), len(keys)]
     return [(space * shards + s, block, pack_sorted(keys[a:b]), pack(counts[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
 
 
