@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import keyed_text, shuffle_partitions
+from .common import shuffle_partitions
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BEGIN, _END = 0, 1  # word numbers; a text begins with the one and ends with the other
@@ -152,15 +152,14 @@ def block_asks(block_no: int, texts: list[bytes], trains: np.ndarray, shards: in
 def score(docs: DataFrame, trains, params: LmParams = LmParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, trains, n_tokens, n_known, train_tokens, base_score, score), a row a row of docs.
 
-    trains: boolean Column over doc_id: whether a row trains the model. Words are what white space (U+0009 to U+000D, space)
+    trains: boolean Column of docs: whether a row trains the model. Words are what white space (U+0009 to U+000D, space)
     parts, A-Z lower-cased; each text has one end token more, so a null or empty text has one token. Repeated rows train as often
     as they occur. base_score is the unigram log10 probability with add-one smoothing.
     """
     shards = shuffle_partitions(docs.sparkSession)
     blocks = 2 * shards
-    given = keyed_text(docs, id_col, text_col).select(
-        "doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
-    )
+    given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
+    given = given.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     placed = given.repartition(shards, "block")
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -26,7 +26,7 @@ def words(text) -> F.Column:
 def with_sketch(df: DataFrame, text_col: str, out: str, fraction: float = 1 / 8) -> DataFrame:
     """df with the sketch of a text column more: array<bigint>, ascending. Null and empty texts have an empty one; a text
     of one to four words has its whole sequence as the only shingle."""
-    limit = LOWEST + int(fraction * (1 << 64))
+    highest = LOWEST + int(fraction * (1 << 64)) - 1
     pair = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
     w, h, h2, h4 = (f"__{out}_{k}" for k in range(4))
     n = F.size(h)
@@ -36,7 +36,7 @@ def with_sketch(df: DataFrame, text_col: str, out: str, fraction: float = 1 / 8)
         .withColumn(h2, F.when(n >= WIDTH, pair(F.slice(h, 1, n - 1), F.slice(h, 2, n - 1))))
         .withColumn(h4, pair(F.slice(h2, 1, n - 3), F.slice(h2, 3, n - 3)))
         .withColumn(out, F.when(n >= WIDTH, pair(F.slice(h4, 1, n - 4), F.slice(h, 5, n - 4))).when(n > 0, F.array(F.xxhash64(h, F.lit(0)))).otherwise(F.array().cast("array<bigint>")))
-        .withColumn(out, F.array_sort(F.array_distinct(F.filter(out, lambda x: x < F.lit(limit)))))
+        .withColumn(out, F.array_sort(F.array_distinct(F.filter(out, lambda x: x <= F.lit(highest)))))
         .drop(w, h, h2, h4)
     )
 
