@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+
+for _name in ("queries_tracks",):
+    _module = import_module(f"{__package__}.{_name}")
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(_module.ORACLE_SQL)
+
+FLAGSHIP = "win02_gap_interpolation"
