@@ -7,9 +7,9 @@ from importlib import import_module
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _name in ("queries_tracks",):
+for _name in ("queries_tracks", "queries_play", "queries_pose", "queries_relational"):
     _module = import_module(f"{__package__}.{_name}")
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
 
-FLAGSHIP = "win02_gap_interpolation"
+FLAGSHIP = "agg01_movement_summary"
