@@ -55,11 +55,11 @@ def safe_name(c, longest: int = 120) -> Column:
 
 
 def number_label(c, digits: int = 2) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", _col(c)), F.lit("—"))
+    return F.when(_col(c).isNotNull(), F.format_string(f"%.{digits}f", _col(c))).otherwise("—")
 
 
 def percent_label(c, digits: int = 1) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f%%", _col(c) * 100), F.lit("—"))
+    return F.when(_col(c).isNotNull(), F.format_string(f"%.{digits}f%%", _col(c) * 100)).otherwise("—")
 
 
 def duration_label(c) -> Column:
