@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .common import BoundedCache, keyed_text
+from .common import BoundedCache, in_parts, keyed_text
 
 
 def byte_alphabet() -> list[str]:
@@ -96,7 +96,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: s
 
     def run(batches):
         bpe = ByteBpe(read_ranks(vocabulary_path), pattern)
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             decoded = [bpe.decode(i) for i in ids]
             counts = pa.array([len(i) // 4 for i in ids], pa.int64())

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import tempfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,3 +73,39 @@ class BoundedCache(dict):
             self.clear()
         value = self[key] = self.function(key)
         return value
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on after a task, beside others on the same machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def lean(function):
+    """A function of one or two Arrow tables that releases memory after each call."""
+
+    def one(table):
+        try:
+            return function(table)
+        finally:
+            release()
+
+    def two(left, right):
+        try:
+            return function(left, right)
+        finally:
+            release()
+
+    return one if function.__code__.co_argcount == 1 else two
+
+
+def in_parts(batches, column: int, size: int = 8 << 20):
+    """Batches of about `size` bytes of a column, so that a worker holds few long texts as objects at a time."""
+    for batch in batches:
+        rows = max(1, min(batch.num_rows, size * batch.num_rows // max(1, batch.column(column).nbytes)))
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+            release()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import shuffle_partitions
+from .common import lean, shuffle_partitions
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BEGIN, _END = 0, 1  # word numbers; a text begins with the one and ends with the other
@@ -163,16 +163,18 @@ def score(docs: DataFrame, trains, params: LmParams = LmParams(), id_col: str =
     placed = given.repartition(shards, "block")
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @lean
     def count(table: pa.Table) -> pa.Table:
         return exchange.ask_table(block_asks(table["block"][0].as_py(), table["text"].to_pylist(), table["trains"].to_numpy(), shards, params))
 
+    @lean
     def apply(table: pa.Table, answers: pa.Table) -> pa.Table:
         out = block_scores(table["text"].to_pylist(), table["trains"].to_numpy(), lambda n: exchange.read_answers(answers, n, shards), params)
         types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([table["doc_id"], table["trains"], *(pa.array(v, t) for v, t in zip(out.values(), types))], names=["doc_id", "trains", *out])
 
     asked = placed.groupBy("block").applyInArrow(count, exchange.ASK)
-    answers = asked.groupBy("shard").applyInArrow(exchange.answer, exchange.ANSWER)
+    answers = asked.groupBy("shard").applyInArrow(lean(exchange.answer), exchange.ANSWER)
     return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         apply, f"doc_id {kind}, trains boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )

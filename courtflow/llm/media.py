@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from . import vp8l
-from .common import keyed_text
+from .common import in_parts, keyed_text
 
 WIDTH = 576
 FILL = 255
-_BATCH_BYTES = 8 << 20
 
 
 def padded(data: bytes) -> bytes:
@@ -47,14 +44,6 @@ def feature(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]};sum={total};steps={steps};counts={','.join(map(str, counts.reshape(16, 16).sum(1).tolist()))}"
 
 
-def _in_parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Batches of about _BATCH_BYTES, so that a worker holds few images at a time."""
-    for batch in batches:
-        rows = max(1, min(batch.num_rows, _BATCH_BYTES * batch.num_rows // max(1, batch.column(column).nbytes)))
-        for a in range(0, batch.num_rows, rows):
-            yield batch.slice(a, rows)
-
-
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media, samples, feature), a row a row of docs.
 
@@ -66,7 +55,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = StructType.fromDDL(f"doc_id {given.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, media binary, samples binary, feature string")
 
     def run(batches):
-        for batch in _in_parts(batches, 1):
+        for batch in in_parts(batches, 1):
             texts = batch.column(1).to_pylist()
             media = [store(padded(t)) for t in texts]
             pixels = [load(m) for m in media]

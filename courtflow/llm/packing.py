@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bpe import byte_alphabet
-from .common import checkpoint, keyed_text, shuffle_partitions
+from .common import checkpoint, in_parts, keyed_text, shuffle_partitions
 
 Content = tuple[tuple[int, int], ...]  # (length, count), longest first
 
@@ -64,7 +64,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: i
 
     def run(batches):
         tokenizer, end = FileTokenizer(tokenizer_path, pattern), struct.pack("<I", end_id)
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             at, piece, start, length, crc = [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = tokenizer.encode(text) + end

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, id_crc32, keyed_text
+from .common import BoundedCache, id_crc32, in_parts, keyed_text
 
 TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\s]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -103,8 +103,8 @@ def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityPar
     bits = params.bits
 
     def to_features(batches):
-        cache = BoundedCache(_codes, 200_000)
-        for batch in batches:
+        cache = BoundedCache(_codes, 50_000)
+        for batch in in_parts(batches, 2):
             rows = [features(t, cache, bits) for t in batch.column(2).to_pylist()]
             packed = [pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], ["doc_id", "label", "buckets", "values"])
@@ -133,8 +133,8 @@ def score(docs: DataFrame, weights: np.ndarray, params: QualityParams = QualityP
 
     def run(batches):
         w = np.frombuffer(sent.value, np.float32)
-        cache = BoundedCache(_codes, 200_000)
-        for batch in batches:
+        cache = BoundedCache(_codes, 50_000)
+        for batch in in_parts(batches, -1):
             out = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 i, x = features(text or b"", cache, bits)
