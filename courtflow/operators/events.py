@@ -101,21 +101,18 @@ def phases(signal: DataFrame, events: DataFrame, keys: list[str], min_contiguous
     signal: keys, frame_id, speed (null at a row without one). events: keys, event_id, candidate_frame, window_start_frame, window_end_frame.
     """
     own = [*keys, "event_id"]
-    rows = events.join(signal, keys).where((F.col("frame_id") >= F.col("window_start_frame")) & (F.col("frame_id") < F.col("window_end_frame")))
-    runs = longest_run(rows, own)
-    smooth = range_median(rows.where("speed is not null"), own, "speed", radius, "v")
-    peaks = smooth.groupBy(*own).agg(F.max("v").alias("peak"), F.count("*").alias("moves"))
-    span = rows.groupBy(*own).agg(F.min("frame_id").alias("a"), (F.max("frame_id") + 1).alias("b"))
-    each = events.join(span, own, "left").join(runs, own, "left").join(peaks, own, "left")
-    c = F.col("candidate_frame")
-    each = each.withColumns({"limit": F.col("peak") * share, "c0": F.greatest(F.col("a") + 1, c - 1), "c1": F.least(F.col("b") - 1, c + 2)})
-    marked = smooth.join(each.select(*own, "limit", "c1"), own)
-    onset = marked.where((F.col("frame_id") < c) & (F.col("v") >= F.col("limit"))).groupBy(*own).agg(F.min("frame_id").alias("onset"))
-    after = marked.where(F.col("frame_id") >= F.col("c1"))
-    w = by_frame(own)
-    calm = after.withColumns({"__f": F.lead("frame_id").over(w), "__v": F.lead("v").over(w)}).where((F.col("__f") == F.col("frame_id") + 1) & (F.col("v") < F.col("limit")) & (F.col("__v") < F.col("limit")))
-    decay = calm.groupBy(*own).agg(F.min("frame_id").alias("decay"))
-    each = each.join(onset, own, "left").join(decay, own, "left")
+    c, frame = F.col("candidate_frame"), F.col("frame_id")
+    inside = [events[k] == signal[k] for k in keys] + [signal["frame_id"] >= events["window_start_frame"], signal["frame_id"] < events["window_end_frame"]]
+    rows = events.join(signal, inside, "left").select(*(events[k] for k in keys), "event_id", "candidate_frame", "frame_id", "speed")
+    # all windows below part by the event, so one shuffle serves them and the final aggregate
+    whole, w = Window.partitionBy(*own), by_frame(own)
+    d = rows.withColumn("v", F.when(F.col("speed").isNotNull(), F.percentile("speed", F.lit(0.5)).over(w.rangeBetween(-radius, radius))))
+    d = d.withColumns({"peak": F.max("v").over(whole), "a": F.min("frame_id").over(whole), "b": F.max("frame_id").over(whole) + 1, "__i": frame - F.row_number().over(w), "__nf": F.lead("frame_id").over(w), "__nv": F.lead("v").over(w)})
+    d = d.withColumns({"limit": F.col("peak") * share, "c0": F.greatest(F.col("a") + 1, c - 1), "c1": F.least(F.col("b") - 1, c + 2), "__run": F.count("frame_id").over(Window.partitionBy(*own, "__i"))})
+    calm = (frame >= F.col("c1")) & (F.col("__nf") == frame + 1) & (F.col("v") < F.col("limit")) & (F.col("__nv") < F.col("limit"))
+    each = d.groupBy(*own, "candidate_frame", "peak", "a", "b", "c0", "c1").agg(
+        F.max("__run").alias("longest_run"), F.count("speed").alias("moves"), F.min(F.when((frame < c) & (F.col("v") >= F.col("limit")), frame)).alias("onset"), F.min(F.when(calm, frame)).alias("decay")
+    )
     reason = (
         F.when(F.coalesce("longest_run", F.lit(0)) < min_contiguous, "insufficient_contiguous_pose").when((c - F.col("a") < 2) | (F.col("b") - c < 3), "truncated_event_window")
         .when(F.coalesce("moves", F.lit(0)) < min_contiguous - 1, "insufficient_wrist_motion").when(F.col("peak") <= 1e-9, "no_motion_peak").when(F.col("onset").isNull(), "no_acceleration_onset")
