@@ -5,7 +5,7 @@ pieces and counted by length in Spark, and the driver packs the histogram: bins
 group with a multiplicity, which keeps the state as small for a billion pieces as for a thousand. Best-fit
 decreasing gives the first packing. The local search then takes two underfull bins at a time and moves a
 document, or exchanges one for one or two for one, where that raises the sum of squared fills; bins
-that run empty go. The result is a table of slots (length, ranks from-to, first sequence, offset), and each
+that run empty go. The result is a table of slots (length, ranks from-to, first sequence, offset, count), and each
 piece finds its slot by its rank among the pieces of its length.
 """
 
@@ -171,16 +171,18 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> Counter:
     return local_search(best_fit_decreasing(histogram, capacity), capacity)
 
 
-def slots(groups: Counter) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, rank after the last, sequence of the first rank, offset); sequences count from 0."""
+def slots(groups: Counter) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, rank after the last, first sequence, offset, count): the places of one length in a group's bins.
+
+    Ranks fill a bin's `count` places one after another, then the next bin's; sequences count from 0.
+    """
     rank, sequence, out = Counter(), 0, []
     for content, bins in sorted(groups.items()):
         offset = 0
         for n, count in content:
-            for _ in range(count):
-                out.append((n, rank[n], rank[n] + bins, sequence, offset))
-                rank[n] += bins
-                offset += n
+            out.append((n, rank[n], rank[n] + bins * count, sequence, offset, count))
+            rank[n] += bins * count
+            offset += n * count
         sequence += bins
     return out
 
@@ -196,7 +198,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     histogram = {int(n): int(c) for n, c in pieces.groupBy("length").count().collect()}
     if any(n < 1 or n > capacity for n in histogram):
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    table = spark.createDataFrame(slots(pack_histogram(histogram, capacity)), "length bigint, low bigint, high bigint, first bigint, offset bigint")
+    table = spark.createDataFrame(slots(pack_histogram(histogram, capacity)), "length bigint, low bigint, high bigint, first bigint, at bigint, count bigint")
     salts = max(64, shuffle_partitions(spark))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     before = salted.groupBy("length", "salt").count().select(
@@ -206,11 +208,12 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     ranked = (
         salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)))
         .join(before, ["length", "salt"])
-        .withColumn("rank", F.col("rank") - 1 + F.col("before"))
+        .withColumn("rank", F.col("rank") - 1 + F.col("before")).drop("before")
     )
     t = F.broadcast(table.withColumnRenamed("length", "slot_length"))
     placed = ranked.join(t, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    return placed.select(*pieces.columns, (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
+    place = F.col("rank") - F.col("low")
+    return placed.select(*pieces.columns, (F.col("first") + F.floor(place / F.col("count"))).cast("bigint").alias("sequence_id"), (F.col("at") + place % F.col("count") * F.col("length")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
