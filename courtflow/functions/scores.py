@@ -75,3 +75,47 @@ def decision(eligible: Column, predicted_role: Column, role: Column, confidence:
 def eta_seconds(elapsed: Column, done: Column) -> Column:
     """Seconds left at the pace so far; null before 2 % or 2 s, from where a pace tells something."""
     return F.when((done >= 0.02) & (elapsed >= 2), elapsed / done * (1 - done))
+
+
+def geometry_score(corners: list[tuple[Column, Column]], width: float, height: float) -> Column:
+    """Of a court's image quad (top left, top right, bottom right, bottom left): area share, widths of both ends and how they narrow."""
+    area = F.abs(reduce(lambda a, b: a + b, (p[0] * q[1] - q[0] * p[1] for p, q in zip(corners, corners[1:] + corners[:1])))) / 2 / (width * height)
+    top, bottom = corners[1][0] - corners[0][0], corners[2][0] - corners[3][0]
+    narrows = F.when((top > 1e-6) & (bottom > 1e-6), g.clamp(1 - F.abs(F.log(bottom / top) - 0.5), 0, 1)).otherwise(0.0)
+    return 0.5 * g.ramp(area, 0.05, 0.35) + 0.3 * g.ramp(bottom / width, 0.2, 0.6) + 0.2 * narrows
+
+
+def ordered_corners(corners: list[tuple[Column, Column]]) -> Column:
+    """Whether four corners stand as top left, top right, bottom right, bottom left."""
+    (ax, ay), (bx, by), (cx, cy), (dx, dy) = corners
+    return (ax < bx) & (dx < cx) & (ay < dy) & (by < cy)
+
+
+def expanded_roi(xs: list[Column], ys: list[Column], width: float, height: float, pad: float = 0.08) -> tuple[Column, Column, Column, Column]:
+    """The corners' box, widened by a share of its size, within the image."""
+    x1, x2, y1, y2 = F.least(*xs), F.greatest(*xs), F.least(*ys), F.greatest(*ys)
+    dx, dy = (x2 - x1) * pad, (y2 - y1) * pad
+    return g.clamp(x1 - dx, 0, width), g.clamp(y1 - dy, 0, height), g.clamp(x2 + dx, 0, width), g.clamp(y2 + dy, 0, height)
+
+
+def topdown_pixel(x: Column, y: Column, width: int, height: int) -> Column:
+    """struct<px,py> of a court point on a panel; null off the court, not moved onto it."""
+    inside = x.between(0, g.WIDTH_M) & y.between(0, g.LENGTH_M)
+    return F.when(inside, F.struct(F.round(x / g.WIDTH_M * (width - 1)).cast("int").alias("px"), F.round(y / g.LENGTH_M * (height - 1)).cast("int").alias("py")))
+
+
+def body_height(body_y: Column, ground_y: Column, top: Column, bottom: Column) -> Column:
+    """struct<px,ratio> of the body's centre over the ground, by the box's height; null where the box or the order is wrong."""
+    ok = (bottom - top > 1) & (ground_y - body_y >= 0)
+    return F.when(ok, F.struct((ground_y - body_y).alias("px"), g.clamp((ground_y - body_y) / (bottom - top), 0, 1).alias("ratio")))
+
+
+def pose_box(keypoints: Column, pad: float, width: float, height: float) -> Column:
+    """struct<x1,y1,x2,y2> around keypoints, padded, within the image; null without any."""
+    xs, ys = F.transform(keypoints, lambda p: p["x"]), F.transform(keypoints, lambda p: p["y"])
+    box = (F.array_min(xs) - pad, F.array_min(ys) - pad, F.array_max(xs) + pad, F.array_max(ys) + pad)
+    return F.when(F.size(keypoints) > 0, F.struct(*(v.alias(n) for v, n in zip(g.clamp_box(box, width, height), ("x1", "y1", "x2", "y2")))))
+
+
+def quality_reason(outlier: Column, absurd: Column, boundary: Column) -> Column:
+    return F.when(absurd > 0.05, "absurd_projection").when(outlier > 0.3, "too_many_outliers").when(boundary > 0.5, "boundary_pile_up").otherwise("")
