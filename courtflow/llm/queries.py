@@ -112,6 +112,47 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+OP8_SQL = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parsed AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), rules AS (
+  SELECT * FROM (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')) AS r(h, p, v)
+), known AS (
+  SELECT page_id, host, path, (SELECT max_by(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
+    (SELECT max_by(v, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule_verdict,
+    regexp_replace(regexp_replace(lower(host || path), '[0-9]', '0', 'g'), '[^a-z0/.\-_?=&#:%]', '~', 'g') AS folded
+  FROM parsed
+), texts AS (
+  SELECT folded, count(*) FILTER (rule_verdict = 'allow') AS allow, count(*) FILTER (rule_verdict = 'block') AS block,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(folded) + 1), lambda i: CAST(ascii(folded[i]) AS BIGINT))),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], [1::BIGINT, 1, 1, 1, 1, 1, 1, 1]), lambda x, one: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT) % 5 <> 0 AS trains
+  FROM known GROUP BY folded
+), grams AS (
+  SELECT *, substr('^^^' || folded || '$', i, 4) AS gram FROM (SELECT *, unnest(range(1, length(folded) + 2)) AS i FROM texts)
+), wanted AS (SELECT DISTINCT gram FROM grams),
+counts AS (SELECT gram, sum(allow) AS a, sum(block) AS b FROM grams WHERE trains AND allow + block > 0 GROUP BY gram),
+total AS (SELECT coalesce(sum(a), 0) AS a, coalesce(sum(b), 0) AS b FROM counts),
+n1 AS (SELECT right(gram, 1) AS g, sum(a) AS a, sum(b) AS b FROM counts GROUP BY 1), n2 AS (SELECT right(gram, 2) AS g, sum(a) AS a, sum(b) AS b FROM counts GROUP BY 1),
+n3 AS (SELECT right(gram, 3) AS g, sum(a) AS a, sum(b) AS b FROM counts GROUP BY 1), n4 AS (SELECT gram AS g, a, b FROM counts),
+c2 AS (SELECT left(right(gram, 2), 1) AS g, sum(a) AS a, sum(b) AS b FROM counts GROUP BY 1), c3 AS (SELECT left(right(gram, 3), 2) AS g, sum(a) AS a, sum(b) AS b FROM counts GROUP BY 1),
+c4 AS (SELECT left(gram, 3) AS g, sum(a) AS a, sum(b) AS b FROM counts GROUP BY 1),
+p1 AS (SELECT gram, (coalesce(n1.a, 0) + 1) / (total.a + 40) AS a, (coalesce(n1.b, 0) + 1) / (total.b + 40) AS b FROM wanted CROSS JOIN total LEFT JOIN n1 ON n1.g = right(gram, 1)),
+p2 AS (SELECT gram, (coalesce(n.a, 0) + 2.0::DOUBLE * p.a) / (coalesce(c.a, 0) + 2.0::DOUBLE) AS a, (coalesce(n.b, 0) + 2.0::DOUBLE * p.b) / (coalesce(c.b, 0) + 2.0::DOUBLE) AS b FROM p1 p LEFT JOIN n2 n ON n.g = right(gram, 2) LEFT JOIN c2 c ON c.g = left(right(gram, 2), 1)),
+p3 AS (SELECT gram, (coalesce(n.a, 0) + 2.0::DOUBLE * p.a) / (coalesce(c.a, 0) + 2.0::DOUBLE) AS a, (coalesce(n.b, 0) + 2.0::DOUBLE * p.b) / (coalesce(c.b, 0) + 2.0::DOUBLE) AS b FROM p2 p LEFT JOIN n3 n ON n.g = right(gram, 3) LEFT JOIN c3 c ON c.g = left(right(gram, 3), 2)),
+p4 AS (SELECT gram, (coalesce(n.a, 0) + 2.0::DOUBLE * p.a) / (coalesce(c.a, 0) + 2.0::DOUBLE) AS a, (coalesce(n.b, 0) + 2.0::DOUBLE * p.b) / (coalesce(c.b, 0) + 2.0::DOUBLE) AS b FROM p3 p LEFT JOIN n4 n ON n.g = gram LEFT JOIN c4 c ON c.g = left(gram, 3)),
+scored AS (SELECT folded, allow, block, trains, avg(ln(a) - ln(b)) AS ratio FROM grams JOIN p4 USING (gram) GROUP BY ALL),
+bins AS (SELECT greatest(-2000, least(2000, round(ratio * 200))) AS bin, sum(allow) AS a, sum(block) AS b FROM scored WHERE NOT trains AND allow + block > 0 GROUP BY 1),
+cuts AS (
+  SELECT (coalesce(lag(bin) OVER w, bin - 1) + bin) / 2 AS cut, sum(a) OVER () AS ta, sum(b) OVER () AS tb, coalesce(sum(a) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS missed, coalesce(sum(b) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caught
+  FROM bins WINDOW w AS (ORDER BY bin)
+), best AS (SELECT cut / 200 AS t FROM cuts WHERE ta > 0 AND tb > 0 ORDER BY (ta - missed) / ta + caught / tb DESC, abs(cut), cut DESC LIMIT 1),
+threshold AS (SELECT CASE WHEN coalesce(sum(allow) FILTER (trains), 0) = 0 OR coalesce(sum(block) FILTER (trains), 0) = 0 THEN '-inf'::DOUBLE ELSE coalesce((SELECT t FROM best), 0) END AS t FROM scored)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN ratio >= t THEN 'allow' ELSE 'block' END) AS verdict FROM known JOIN scored USING (folded) CROSS JOIN threshold
+"""
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = sketch.fingerprints(read(spark, sf_dir, "documents"))
     return made.select(
@@ -124,4 +165,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_quality_classifier, op2_pii, op3_ngram_jaccard_join, op4_best_fit_packing, op5_chat_formatting, op6_lm_scoring, op7_media_columns, op8_url_filters, op9_byte_level_bpe, op10_document_fingerprints)
 }
-ORACLE_SQL: dict[str, str] = {"op3_ngram_jaccard_join": OP3_SQL, "op5_chat_formatting": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_ngram_jaccard_join": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op8_url_filters": OP8_SQL}
