@@ -6,8 +6,8 @@ from pathlib import Path
 
 _ROOT = str(Path(__file__).resolve().parents[1])
 
-if _ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and Path.cwd() != Path(_ROOT):
-    # Workers couldn't import this package by name, so its functions travel with the tasks.
+if _ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    # Workers may not be able to import this package by name, so its functions travel with the tasks.
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
