@@ -3,23 +3,12 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import sys
 import tempfile
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
-
-if ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and Path.cwd() != Path(ROOT):
-    # The workers can't import this package by name, so its functions travel with the tasks.
-    cloudpickle.register_pickle_by_value(sys.modules["courtflow.llm"])
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use spark.checkpoint.dir; only a session without any gets a folder of its own (tests)."""
     sc = spark.sparkContext
