@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import within_intervals
 from .smoothing import by_frame
 
 
 def window_rows(events: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows within each event's [window_start_frame, window_end_frame), with event_id and candidate_frame; equal keys, so a hash join with a range on top."""
+    """rows within each event's [window_start_frame, window_end_frame), with event_id and candidate_frame."""
     e = events.select(*keys, "event_id", "candidate_frame", "window_start_frame", "window_end_frame")
-    return e.join(rows, keys).where((F.col("frame_id") >= F.col("window_start_frame")) & (F.col("frame_id") < F.col("window_end_frame")))
+    return within_intervals(rows, e, keys, start="window_start_frame", end="window_end_frame")
 
 
 def stability(events: DataFrame, kinematics: DataFrame, keys: list[str], min_rows: int = 5, wide: float = 0.35) -> DataFrame:

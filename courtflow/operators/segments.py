@@ -94,9 +94,15 @@ def hysteresis(samples: DataFrame, keys: list[str], flag: Column, hold: int = 5,
     return islands(state.withColumn("__o", opens), keys, F.col("__o"), "session", frame).drop("__f", "__c", "__i", "__p", "__o")
 
 
-def within_intervals(samples: DataFrame, intervals: DataFrame, keys: list[str], frame: str = "frame_id") -> DataFrame:
-    """samples joined to each interval [start_frame, end_frame) of their key that holds them."""
-    return samples.join(intervals, keys).where((F.col(frame) >= F.col("start_frame")) & (F.col(frame) < F.col("end_frame")))
+def within_intervals(samples: DataFrame, intervals: DataFrame, keys: list[str], frame: str = "frame_id", start: str = "start_frame", end: str = "end_frame", bucket: int = 256) -> DataFrame:
+    """samples joined to each interval [start, end) of their key that holds them.
+
+    Both sides also meet on buckets of frames, which an interval has a copy for each of, so the join's work follows its result and not
+    samples x intervals of a long video.
+    """
+    cut = intervals.where(F.col(end) > F.col(start)).withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket))))
+    dealt = samples.withColumn("__b", F.floor(F.col(frame) / bucket))
+    return dealt.join(cut, [*keys, "__b"]).where((F.col(frame) >= F.col(start)) & (F.col(frame) < F.col(end))).drop("__b")
 
 
 def latest_before(changes: DataFrame, intervals: DataFrame, keys: list[str], slack: int, max_lag: int, frame: str = "frame_id") -> DataFrame:
