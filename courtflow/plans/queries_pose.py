@@ -111,15 +111,25 @@ def joi09(spark, sf):
     return evaluation.tolerance_pairs(_events(spark, sf, "click"), _events(spark, sf, "view"), ["k"], 12).select("k", "pred_id", "ref_id", "error")
 
 
-@query("joi09_greedy_match")
+MATCHED = TRUTH.replace("WITH t AS", "WITH RECURSIVE t AS") + """, pairs AS (SELECT p.k, p.id AS pred_id, p.frame_id AS pf, q.id AS ref_id, q.frame_id AS rf, abs(p.frame_id - q.frame_id) AS error FROM p JOIN q ON p.k = q.k AND abs(p.frame_id - q.frame_id) <= 12),
+refs AS (SELECT k, ref_id, row_number() OVER (PARTITION BY k ORDER BY rf, ref_id) AS n FROM (SELECT DISTINCT k, ref_id, rf FROM pairs)), fold AS (
+  SELECT k, 0::BIGINT AS n, NULL::BIGINT AS ref_id, NULL::BIGINT AS pred_id, []::BIGINT[] AS taken FROM (SELECT DISTINCT k FROM refs)
+  UNION ALL SELECT k, n, ref_id, best, CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best) END FROM (
+    SELECT f.k, r.n, r.ref_id, f.taken, (SELECT arg_min(pairs.pred_id, (pairs.error, pairs.pf, pairs.pred_id)) FROM pairs WHERE pairs.k = f.k AND pairs.ref_id = r.ref_id AND NOT list_contains(f.taken, pairs.pred_id)) AS best FROM fold f JOIN refs r ON r.k = f.k AND r.n = f.n + 1)
+), matched AS (SELECT f.k, f.ref_id, f.pred_id, pairs.error FROM fold f JOIN pairs ON pairs.k = f.k AND pairs.ref_id = f.ref_id AND pairs.pred_id = f.pred_id)"""
+
+
+@query("joi09_greedy_match", MATCHED + " SELECT * FROM matched")
 def joi09_match(spark, sf):
     return evaluation.greedy_match(evaluation.tolerance_pairs(_events(spark, sf, "click"), _events(spark, sf, "view"), ["k"], 12), ["k"])
 
 
-@query("agg25_detection_metrics")
+@query("agg25_detection_metrics", MATCHED + f""", c AS (SELECT (SELECT count(*) FROM p) AS predictions, (SELECT count(*) FROM q) AS "references", (SELECT count(*) FROM matched) AS true_positives, (SELECT avg(error) FROM matched) AS e, (SELECT median(error) FROM matched) AS median_error)
+SELECT predictions, "references", true_positives, predictions - true_positives AS false_positives, "references" - true_positives AS false_negatives, {r('e', 'mean_error')}, median_error, {r('true_positives / predictions', 'precision')}, {r('true_positives / "references"', 'recall')} FROM c""")
 def agg25(spark, sf):
     p, q = _events(spark, sf, "click"), _events(spark, sf, "view")
-    return evaluation.detection_metrics(p, q, joi09_match(spark, sf))
+    m = evaluation.detection_metrics(p, q, joi09_match(spark, sf))
+    return m.select("predictions", "references", "true_positives", "false_positives", "false_negatives", _r("mean_error"), "median_error", _r("precision"), _r("recall"))
 
 
 @query("joi10_nearest", TRUTH + """ SELECT k, target, frame_id AS nearest FROM (SELECT p.k, p.frame_id AS target, q.frame_id, p.id FROM p JOIN q ON p.k = q.k QUALIFY row_number() OVER (PARTITION BY p.k, p.id ORDER BY abs(p.frame_id - q.frame_id), q.frame_id) = 1)""")
