@@ -33,10 +33,22 @@ def trk3(spark, sf):
     return tracking.assign_players(_boxes(spark, sf), "video", 300.0)
 
 
-@query("trk07_choice")
+DETECTIONS = "d AS (SELECT o_custkey AS video, l_orderkey AS frame_id, l_extendedprice % 600 AS x1, l_quantity * 8 AS y1, l_extendedprice % 600 + 40 + l_tax * 300 AS x2, l_quantity * 8 + 90 AS y2, l_discount * 10 AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+CHOSEN = f"""WITH RECURSIVE {DETECTIONS}, c AS (SELECT video, frame_id, x1 AS x, y1 AS y, score * 20 + 6 * (x2 - x1) + 30 * 0.5::DOUBLE AS b, dense_rank() OVER (PARTITION BY video ORDER BY frame_id) AS n FROM d), fr AS (SELECT DISTINCT video, n, frame_id FROM c), fold AS (
+  SELECT video, 0::BIGINT AS n, NULL::BIGINT AS frame_id, NULL::DOUBLE AS lx, NULL::DOUBLE AS ly, NULL::DOUBLE AS vx, NULL::DOUBLE AS vy, NULL::DOUBLE AS value, false AS got FROM (SELECT DISTINCT video FROM c)
+  UNION ALL SELECT video, n, frame_id, CASE WHEN best IS NULL THEN lx ELSE best.x END, CASE WHEN best IS NULL THEN ly ELSE best.y END, CASE WHEN best IS NULL THEN vx ELSE best.x - lx END, CASE WHEN best IS NULL THEN vy ELSE best.y - ly END, best.v, best IS NOT NULL
+  FROM (SELECT f.video, fr.n, fr.frame_id, f.lx, f.ly, f.vx, f.vy, (SELECT arg_max(struct_pack(x := w.x, y := w.y, v := w.v), (w.v, -w.x, -w.y)) FROM (
+      SELECT c.x, c.y, c.b - CASE WHEN f.lx IS NULL THEN 0 ELSE 1.2::DOUBLE * sqrt((c.x - f.lx - coalesce(f.vx, 0)) ** 2 + (c.y - f.ly - coalesce(f.vy, 0)) ** 2) END
+        + CASE WHEN f.vx IS NOT NULL AND sqrt(f.vx ** 2 + f.vy ** 2) > 1 AND sqrt((c.x - f.lx) ** 2 + (c.y - f.ly) ** 2) > 1 THEN 8 * (f.vx * (c.x - f.lx) + f.vy * (c.y - f.ly)) / (sqrt(f.vx ** 2 + f.vy ** 2) * sqrt((c.x - f.lx) ** 2 + (c.y - f.ly) ** 2)) - 0.4::DOUBLE * abs(sqrt((c.x - f.lx) ** 2 + (c.y - f.ly) ** 2) - sqrt(f.vx ** 2 + f.vy ** 2)) ELSE 0 END AS v
+      FROM c WHERE c.video = f.video AND c.n = fr.n AND (f.lx IS NULL OR sqrt((c.x - f.lx - coalesce(f.vx, 0)) ** 2 + (c.y - f.ly - coalesce(f.vy, 0)) ** 2) <= 250)) w) AS best
+    FROM fold f JOIN fr ON fr.video = f.video AND fr.n = f.n + 1)
+)"""
+
+
+@query("trk07_choice", CHOSEN + " SELECT video, frame_id, lx AS x, ly AS y, round(value, 4) AS value FROM fold WHERE got")
 def trk7(spark, sf):
     d = _boxes(spark, sf).select("video", "frame_id", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("score") * 20).alias("brightness"), (F.col("x2") - F.col("x1")).alias("area"), F.lit(0.5).alias("motion"))
-    return tracking.choose_shuttle(d, "video", 250.0)
+    return tracking.choose_shuttle(d, "video", 250.0).withColumn("value", F.round("value", 4))
 
 
 @query("trk15_plausible_boxes", """WITH b AS (SELECT l_orderkey, l_linenumber, 40 + l_tax * 300 AS w, 90::DOUBLE AS h, l_discount * 10 AS score FROM lineitem) SELECT l_orderkey, l_linenumber, round(score * 1000 - 4000 * (w * h / 2073600.0::DOUBLE) + 1e-10, 6) AS worth FROM b WHERE w * h / 2073600.0::DOUBLE <= 0.0025::DOUBLE AND greatest(w / h, h / w) <= 2""")
@@ -71,7 +83,14 @@ def cal8(spark, sf):
     return tracking.leader_clusters(d, "video", 0.04, 1920, 1080)
 
 
-@query("cal05_segment_dedupe")
+DEDUPED = f"""WITH RECURSIVE {DETECTIONS}, s AS (SELECT DISTINCT video, x1, y1, x2, y2 FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) DESC, x1, y1, x2, y2) AS n FROM s), fold AS (
+  SELECT video, n, x1, y1, x2, y2, [struct_pack(a := x1, b := y1, c := x2, d := y2)] AS kept, true AS stays FROM o WHERE n = 1
+  UNION ALL SELECT video, n, x1, y1, x2, y2, CASE WHEN fresh THEN list_append(kept, struct_pack(a := x1, b := y1, c := x2, d := y2)) ELSE kept END, fresh FROM (
+    SELECT o.*, f.kept, len(list_filter(f.kept, lambda q: sqrt((q.a - o.x1) ** 2 + (q.b - o.y1) ** 2) <= 60 AND sqrt((q.c - o.x2) ** 2 + (q.d - o.y2) ** 2) <= 60)) = 0 AS fresh FROM fold f JOIN o ON o.video = f.video AND o.n = f.n + 1)
+)"""
+
+
+@query("cal05_segment_dedupe", DEDUPED + " SELECT video, x1, y1, x2, y2 FROM fold WHERE stays")
 def cal5(spark, sf):
     d = _boxes(spark, sf).select("video", "x1", "y1", "x2", "y2")
     return tracking.drop_near_segments(d, ["video"], 60.0)
