@@ -175,3 +175,11 @@ def test_outlier_gate_gives_in(spark):
     df = track(spark, [(f, 0.0 if f < 3 else 1000.0, 0.0) for f in range(12)]).select("k", "frame_id", "x", "y")
     kept = {r["frame_id"]: r["is_kept"] for r in tracking.gate_outliers(df, "k", patience=5).collect()}
     assert [f for f in kept if not kept[f]] == [3, 4, 5, 6, 7]
+
+
+def test_leader_clusters(spark):
+    square = lambda d: [[d, d], [100.0 + d, d], [100.0 + d, 50.0 + d], [d, 50.0 + d]]
+    rows = [("v", 0, square(0.0), 0.5), ("v", 1, square(1.0), 0.7), ("v", 1, square(0.5), 0.6), ("v", 2, square(60.0), 0.99), ("w", 0, square(0.0), 0.1)]
+    df = spark.createDataFrame(rows, "video string, frame_id bigint, corners array<array<double>>, quality double")
+    got = sorted((r["video"], r["frame_id"], r["quality"], r["cluster"], r["is_chosen"]) for r in tracking.leader_clusters(df, "video", 0.04, 200, 100).collect())
+    assert got == [("v", 0, 0.5, 0, False), ("v", 1, 0.7, 0, True), ("v", 2, 0.99, 1, False), ("w", 0, 0.1, 0, True)]
