@@ -43,10 +43,11 @@ def bounds(shards: int, bits: int) -> np.ndarray:
     return np.array([(i << bits) // shards for i in range(1, shards)], np.uint64)
 
 
-def ask(block: int, space: int, keys: np.ndarray, counts: np.ndarray, shards: int, bits: int = 64) -> list[tuple[int, int, bytes, bytes]]:
-    """Rows of ASK for sorted distinct keys of so many bits; spaces keep kinds of keys apart."""
+def ask(block: int, space: int, keys: np.ndarray, counts: np.ndarray, shards: int, bits: int = 64, every: bool = False) -> list[tuple[int, int, bytes, bytes]]:
+    """Rows of ASK for sorted distinct keys of so many bits; spaces keep kinds of keys apart. every: also to shards
+    of which the block has no key, so that it gets mass and kinds of the whole space."""
     cuts = [0, *np.searchsorted(keys, bounds(shards, bits)).tolist(), len(keys)]
-    return [(space * shards + s, block, pack_sorted(keys[a:b]), pack(counts[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    return [(space * shards + s, block, pack_sorted(keys[a:b]), pack(counts[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if every or b > a]
 
 
 def ask_table(rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
@@ -70,7 +71,7 @@ def answer(table: pa.Table) -> pa.Table:
 
 
 def read_answers(table: pa.Table, space: int, shards: int) -> tuple[np.ndarray, int, int]:
-    """Totals of one space in the order of its keys; the sums of mass and kinds over the shards that answered."""
+    """Totals of one space in the order of its keys; the sums of mass and kinds over the shards that answered: of the whole space if the block asked every one."""
     rows = sorted((s, t, m, k) for s, t, m, k in zip(*(table[c].to_pylist() for c in ("shard", "totals", "mass", "kinds"))) if s // shards == space)
     totals = np.concatenate([unpack(t) for _, t, _, _ in rows]) if rows else np.empty(0, np.uint64)
     return totals.astype(np.int64), sum(r[2] for r in rows), sum(r[3] for r in rows)

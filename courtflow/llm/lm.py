@@ -146,7 +146,8 @@ def block_scores(texts: list[bytes], trains: np.ndarray, totals_of, p: LmParams)
 
 def block_asks(block_no: int, texts: list[bytes], trains: np.ndarray, shards: int, p: LmParams) -> list:
     block = Block(texts, trains, p.order)
-    return [row for n in range(1, p.order + 1) for row in exchange.ask(block_no, n, block.keys[n], block.counts[n], shards)]
+    # N and V are the mass and kinds of all words, so each block asks every shard of these
+    return [row for n in range(1, p.order + 1) for row in exchange.ask(block_no, n, block.keys[n], block.counts[n], shards, every=n == 1)]
 
 
 def score(docs: DataFrame, trains, params: LmParams = LmParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

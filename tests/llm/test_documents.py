@@ -304,6 +304,23 @@ def test_lm_scores(docs, texts, empty):
     assert lm.score(empty, empty["doc_id"] > 0).collect() == []
 
 
+@pytest.mark.parametrize("partitions", [64, 200])
+def test_lm_totals_do_not_depend_on_partitions(docs, texts, spark, partitions):
+    rows = lambda: {r["doc_id"]: r for r in lm.score(docs, docs["doc_id"] % 7 != 2).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        want = rows()
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        got = rows()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    n_all = sum(len(words(t)) + 1 for i, t in texts if i % 7 != 2)
+    assert len(got) == len(want) == len(texts) and {r["train_tokens"] for r in got.values()} == {n_all}
+    for i, r in got.items():
+        assert abs(r["score"] - want[i]["score"]) < 1e-9 * abs(want[i]["score"]) and abs(r["base_score"] - want[i]["base_score"]) < 1e-9 * abs(want[i]["base_score"])
+
+
 def test_lm_probabilities_sum_to_one():
     texts, trains = [b"a b a c", b"b a", b"a b c c b"], np.array([True, True, True])
     from courtflow.llm import exchange
