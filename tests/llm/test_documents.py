@@ -186,6 +186,14 @@ def test_jaccard_join_odd_tables(spark, empty):
     assert kept == Counter([(2, "A b c d e f"), (None, "a b c d e f"), (None, None), (9, "g h")])
 
 
+def test_jaccard_join_gives_a_row_a_row(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a)] * 3 + [(2, a + " more")] + [(5, b)] * 2 + [(5, a + " other"), (9, b + " more")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df).collect())
+    assert got == Counter({(1, 36, 1): 3, (2, 37, 1): 1, (5, 36, 5): 2, (5, 37, 1): 1, (9, 37, 5): 1})
+
+
 def test_region_join_recurses_exactly():
     r = random.Random(8)
     p = jaccard_join.JaccardParams(pivots=3)
