@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir; only a session without any gets a folder of its own (tests)."""
+    """Use spark.checkpoint.dir. Without it, a local session (tests) gets a folder of its own, and any other is an error:
+    executors of a cluster can't read the driver's temporary folders."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="courtflow-checkpoint-"))
 
 
@@ -24,6 +27,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of checkpointed tables that nothing will read again."""
+    for df in tables:
+        found = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if found.isDefined():
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(found.get())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -33,6 +46,68 @@ def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", least: int = 10_000, most: int = 100_000) -> DataFrame:
+    """left.join(right, key, how) for a right table with one row a key, where a key may hold any share of left's rows.
+
+    Keys of over max(least, rows / most) rows are at most `most`, whatever the tables, so their rows of right are
+    broadcast; all other keys are joined by a shuffle that no key can skew. how: inner or left.
+    """
+    counts = left.groupBy(key).count()
+    rows, top = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    limit = max(least, rows // most)
+    if top <= limit:
+        return left.join(right, key, how)
+    hot = F.broadcast(checkpoint(counts.where((F.col("count") > limit) & F.col(key).isNotNull()).select(key)))
+    few = F.broadcast(checkpoint(right.join(hot, key, "left_semi")))
+    return left.join(hot, key, "left_anti").join(right, key, how).unionByName(left.join(hot, key, "left_semi").join(few, key, how))
+
+
+def fresh(columns, name: str) -> str:
+    """The name, with as many _ before it as it takes that no column's name begins with it (whatever its case)."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name = "_" + name
+    return name
+
+
+def let(value, function) -> F.Column:
+    """function(value), where value is computed once: the optimizer may write a column's expression out wherever the column
+    is named, also inside the lambdas of higher-order functions, which would compute it once an element."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
+def _doubling(n) -> F.Column:
+    return F.when(n > 1, F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _scan(values, kind: str, join, n) -> F.Column:
+    step = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    start = values.cast(f"array<{kind}>")
+    return F.aggregate(_doubling(F.size(values) if n is None else n), start, lambda a, k: F.transform(a, lambda x, i: F.when(i >= step(k), join(x, F.get(a, i - step(k)))).otherwise(x)).cast(f"array<{kind}>"))
+
+
+def running_sum(values, n=None) -> F.Column:
+    """Sums of an array's first 1, 2, ... n elements, in n log n steps. n: its size, if at hand."""
+    return _scan(values, "bigint", lambda x, y: x + y, n)
+
+
+def running_max(values, n=None) -> F.Column:
+    """The greatest of an array's first 1, 2, ... n elements, in n log n steps."""
+    return _scan(values, "bigint", lambda x, y: F.greatest(x, y), n)
+
+
+def count_below(ascending, value, also_equal: bool = False) -> F.Column:
+    """How many elements of an ascending array are less than (or equal to) a value, by bisection. ascending should be bound by `let`."""
+    n = F.size(ascending)
+    powers = F.when(n > 0, F.sequence(F.floor(F.log2(n)).cast("int"), F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+
+    def step(low, k):
+        next_ = low + F.call_function("shiftleft", F.lit(1), k)
+        at = F.get(ascending, next_ - 1)
+        return F.when((next_ <= n) & ((at <= value) if also_equal else (at < value)), next_).otherwise(low)
+
+    return F.aggregate(powers, F.lit(0), step)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
