@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import count_below, fresh, let, running_max, running_sum
+
 KINDS = ("email", "ip", "card", "phone")
 
 #: What leads to the same matches as the plain definition, but in linear time: possessive repeats, and no second try
@@ -100,51 +102,45 @@ def _relaxed_format(kind: str, m) -> F.Column:
     return F.when(F.startswith(m, F.lit("+")), 1).otherwise(0) if kind == "phone" else F.lit(1 if kind == "ip" else 0)
 
 
-def _spans(df: DataFrame, text: str, kind: str, strict: bool) -> DataFrame:
-    """df with column c_<kind>_<strict>: array<struct<kind,start,end,base,format,gazetteer,context,edges,shape>>, ascending."""
-    name, pattern, may = f"c_{kind}_{int(strict)}", (STRICT if strict else RELAXED)[kind], MAY_HOLD[kind, strict]
+def _spans(df: DataFrame, text: str, kind: str, strict: bool, own: str) -> DataFrame:
+    """df with column <own><kind>_<strict>: array<struct<kind,start,end,base,format,gazetteer,context,edges,shape>>, ascending."""
+    name, pattern, may = f"{own}{kind}_{int(strict)}", (STRICT if strict else RELAXED)[kind], MAY_HOLD[kind, strict]
     t = F.col(text)
     may = F.contains(t, F.lit("@")) if may == "@" else F.rlike(t, F.lit(may))
-    m, parts, items = f"__m_{name}", f"__p_{name}", f"__i_{name}"
+    m, parts, items, ends = f"{name}_matches", f"{name}_parts", f"{name}_items", f"{name}_ends"
     df = df.withColumn(m, F.when(may, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
     df = df.withColumn(parts, F.when(F.size(m) > 0, F.split(t, pattern, -1)))
     n = F.size(m)
     df = df.withColumn(items, F.when(n > 0, F.arrays_zip(F.col(m).alias("m"), F.slice(parts, 1, n).alias("left"), F.slice(parts, 2, n).alias("right"))))
-    zero = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(0).cast("bigint").alias("at"))
-    starts = F.aggregate(
-        items, zero,
-        lambda a, x: F.struct(
-            F.concat(a["starts"], F.array(a["at"] + F.length(x["left"]))).cast("array<bigint>").alias("starts"),
-            (a["at"] + F.length(x["left"]) + F.length(x["m"])).cast("bigint").alias("at"),
-        ),
-        lambda a: a["starts"],
-    )
-
-    def span(x, start):
+    df = df.withColumn(ends, F.when(n > 0, running_sum(F.transform(items, lambda x: F.length(x["left"]) + F.length(x["m"])), n)))
+
+    def span(x, end):
         match, before, after = x["m"], F.lower(F.right(x["left"], F.lit(48))), F.left(x["right"], F.lit(1))
         base = _holds(kind, match) if strict else F.lit(False)
         beside = F.rlike(F.concat(F.right(x["left"], F.lit(1)), F.lit(" "), after), F.lit(r"^[\p{L}\p{N}_]|[\p{L}\p{N}_]$"))
         return F.struct(
-            F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(match)).alias("end"), base.alias("base"),
+            F.lit(kind).alias("kind"), (end - F.length(match)).alias("start"), end.alias("end"), base.alias("base"),
             (_sign(base) if strict else _relaxed_format(kind, match)).alias("format"), _sign(_gazetteer(kind, match)).alias("gazetteer"),
             _sign(F.rlike(before, F.lit(CONTEXT[kind])), F.rlike(before, F.lit(AGAINST))).alias("context"), _sign(~beside).alias("edges"),
             F.when(F.length(_digits(match)) < 9, 0).when(F.length(_digits(match)) < 17, 1).otherwise(2).alias("shape"),
         )
 
-    df = df.withColumn(f"__s_{name}", F.when(n > 0, starts))
-    found = F.zip_with(items, f"__s_{name}", span)
+    found = F.zip_with(items, ends, span)
     if strict and kind == "card":  # digits that are too few or too many are no candidate
         found = F.filter(found, lambda s: s["base"] | (s["end"] - s["start"]).between(13, 37))
-    return df.withColumn(name, found).drop(m, parts, items, f"__s_{name}")
+    return df.withColumn(name, found).drop(m, parts, items, ends)
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text", out: str = "candidates") -> DataFrame:
-    """docs with all candidate spans more, by kind, then start. A null or empty text has none. Offsets are code points, end exclusive."""
-    df = docs
+    """docs with all candidate spans more, by kind, then start. A null or empty text has none. Offsets are code points, end exclusive.
+
+    A column named `out` is replaced; no other name can clash. Work grows as n log n with a text's candidates.
+    """
+    df, own = docs, fresh(docs.columns, "__c_")
     keys = [(k, s) for k in KINDS for s in (True, False) if (k, s) in MAY_HOLD]
     for kind, strict in keys:
-        df = _spans(df, text_col, kind, strict)
-    names = [f"c_{k}_{int(s)}" for k, s in keys]
+        df = _spans(df, text_col, kind, strict, own)
+    names = [f"{own}{k}_{int(s)}" for k, s in keys]
     kind_of = "array<struct<kind:string,start:bigint,end:bigint,base:boolean,format:int,gazetteer:int,context:int,edges:int,shape:int>>"
     return df.withColumn(out, F.concat(*(F.coalesce(F.col(n).cast(kind_of), F.array().cast(kind_of)) for n in names))).drop(*names)
 
@@ -233,21 +229,35 @@ def fit(docs: DataFrame, text_col: str = "text") -> PiiModel:
 
 
 def with_spans(docs: DataFrame, model: PiiModel, text_col: str = "text", out: str = "spans") -> DataFrame:
-    """docs with the found spans more: array<struct<kind,start,end,base>>, by kind as in KINDS, then start."""
-    df = with_candidates(docs, text_col, "__candidates")
-    base = F.filter("__candidates", lambda s: s["base"])
-    df = df.withColumn("__base", base)
-
-    def added(s):
-        clear = ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return ~s["base"] & (model.probability(s) >= model.threshold) & clear
-
-    kept = F.when(F.size("__candidates") > 0, F.filter("__candidates", lambda s: s["base"] | added(s))).otherwise(F.col("__candidates"))
-    ordered = F.flatten(F.array(*(F.array_sort(F.transform(F.filter("__kept", _of(k)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base")))) for k in KINDS)))
-    df = df.withColumn("__kept", kept).withColumn("__ordered", F.when(F.size("__kept") > 0, ordered))
+    """docs with the found spans more: array<struct<kind,start,end,base>>, by kind as in KINDS, then start.
+
+    A row a row of docs, repeated rows each for itself; a null, empty or clean text has an empty array. A column named `out` is
+    replaced, all others stay. Equal spans can't occur twice within a kind; spans of two kinds may overlap, base ones
+    always stay. An empty table gives an empty one. A text of any length is one row's work, n log n in its spans.
+    """
+    own = fresh([*docs.columns, out], "__p_")
+    every, kept, ordered = (own + x for x in ("all", "kept", "ordered"))
+    df = with_candidates(docs, text_col, every)
+    base = F.array_sort(F.transform(F.filter(every, lambda s: s["base"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def chosen(v):
+        """v: all candidates; starts of the base spans, ascending; how far the base spans reach that start no later."""
+
+        def added(s):
+            clear = F.coalesce(F.get(v["reach"], count_below(v["starts"], s["end"]) - 1) <= s["start"], F.lit(True))
+            return ~s["base"] & (model.probability(s) >= model.threshold) & clear
+
+        return F.filter(v["all"], lambda s: s["base"] | added(s))
+
+    def bound(b):
+        return let(F.struct(F.col(every).alias("all"), F.transform(b, lambda x: x["start"]).alias("starts"), running_max(F.transform(b, lambda x: x["end"])).alias("reach")), chosen)
+
+    df = df.withColumn(kept, F.when(F.size(every) > 0, let(base, bound)).otherwise(F.col(every)))
+    in_order = F.flatten(F.array(*(F.array_sort(F.transform(F.filter(kept, _of(k)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base")))) for k in KINDS)))
+    df = df.withColumn(ordered, F.when(F.size(kept) > 0, in_order))
     kind_of = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
-    spans = F.transform("__ordered", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
-    return df.withColumn(out, F.coalesce(spans.cast(kind_of), F.array().cast(kind_of))).drop("__candidates", "__base", "__kept", "__ordered")
+    spans = F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
+    return df.withColumn(out, F.coalesce(spans.cast(kind_of), F.array().cast(kind_of))).drop(every, kept, ordered)
 
 
 def _of(kind: str):
@@ -262,15 +272,33 @@ def spans_text(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
-def redacted(text, spans) -> F.Column:
-    """The text with each span replaced by [kind]; overlapping spans are joined under the first one's kind."""
+def redacted(text, spans, block: int = 4096) -> F.Column:
+    """The text with each span replaced by [kind]; overlapping spans are joined under the first one's kind.
+
+    The text is cut to blocks of so many code points, and each block finds its own spans by bisection, so that no
+    step goes through the whole text for a single span.
+    """
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}+"), F.lit(0))
+
+    def of_block(piece, i, s, starts, reach):
+        at = i * block
+        # spans of this block: from the first that reaches into it to the last that starts in it
+        first, after = count_below(reach, at.cast("bigint"), also_equal=True), count_below(starts, at + F.length(piece))
+
+        def part(k):
+            done = F.when(k > 0, F.get(reach, k - 1)).otherwise(F.lit(0).cast("bigint"))  # up to here the text is out
+            begin, fresh_ = F.greatest(done, at.cast("bigint")), F.get(starts, k)
+            gap = F.substring(piece, (begin - at + 1).cast("int"), F.greatest(fresh_ - begin, F.lit(0).cast("bigint")).cast("int"))
+            label = F.when((fresh_ >= done) & (fresh_ >= at), F.concat(F.lit("["), F.get(s, k)["kind"], F.lit("]"))).otherwise("")
+            return F.concat(gap, label)
+
+        parts = F.when(after > first, F.array_join(F.transform(F.sequence(first, after - 1), part), "")).otherwise("")
+        last = F.greatest(F.when(after > 0, F.get(reach, after - 1)).otherwise(F.lit(0).cast("bigint")), at.cast("bigint"))
+        return F.concat(parts, F.substring(piece, (last - at + 1).cast("int"), F.length(piece)))
 
-    def step(a, s):
-        gap = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
-        put = F.concat(a["out"], gap, F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.when(s["start"] >= a["at"], put).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+    def whole(s):
+        spans_ = F.struct(s.alias("s"), F.transform(s, lambda x: x["start"]).alias("starts"), running_max(F.transform(s, lambda x: x["end"])).alias("reach"))
+        return let(spans_, lambda v: F.array_join(F.transform(blocks, lambda p, i: of_block(p, i, v["s"], v["starts"], v["reach"])), ""))
 
-    rest = lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(by_start, zero, step, rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(by_start, whole)).otherwise(text)
