@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_text, shuffle_partitions
+from .common import fresh, keyed_text, shuffle_partitions
 
 WIDTH = 5
 LOWEST = -(1 << 63)
@@ -23,12 +23,13 @@ def words(text) -> F.Column:
     return F.array_remove(F.split(F.lower(text), "[ \\x09-\\x0D]+"), "")
 
 
-def with_sketch(df: DataFrame, text_col: str, out: str, fraction: float = 1 / 8) -> DataFrame:
+def with_sketch(df: DataFrame, text_col: str, out: str, fraction: float = 1 / 4) -> DataFrame:
     """df with the sketch of a text column more: array<bigint>, ascending. Null and empty texts have an empty one; a text
-    of one to four words has its whole sequence as the only shingle."""
+    of one to four words has its whole sequence as the only shingle. A column named `out` is replaced."""
     highest = LOWEST + int(fraction * (1 << 64)) - 1
     pair = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
-    w, h, h2, h4 = (f"__{out}_{k}" for k in range(4))
+    own = fresh([*df.columns, out], "__s_")
+    w, h, h2, h4 = (f"{own}{k}" for k in range(4))
     n = F.size(h)
     return (
         df.withColumn(w, words(F.coalesce(F.col(text_col), F.lit(""))))
@@ -77,37 +78,38 @@ def _ranges(docs: DataFrame, parts: int) -> F.Column:
     return F.coalesce(i * step + F.size(F.filter(fine, lambda b: b <= F.col("doc_id"))), F.lit(0))
 
 
-def with_next(docs: DataFrame, carry: list[str], parts: int) -> DataFrame:
-    """docs (doc_id, text, ...) with next_<c> of each carried column more: of the row after it by doc_id, then hash of
-    the text; after the last row comes the first.
+def with_next(docs: DataFrame, parts: int, more=lambda df: df) -> DataFrame:
+    """docs (doc_id, text, and what `more` adds from the text) with next_<c> of each column but doc_id more: of the row after it
+    by doc_id, then hash of the text; after the last row comes the first.
 
     Rows go to ranges of doc_id, and each range gets a copy of the next one's first row, so no task holds all rows.
-    A null doc_id comes first.
+    A null doc_id comes first. `more` is applied once a row, after the exchange, which carries texts only.
     """
     spark = docs.sparkSession
-    placed = docs.withColumns({"range": _ranges(docs, parts), "tie": F.xxhash64("text"), "copied": F.lit(0)})
-    firsts = placed.groupBy("range").agg(F.min(F.struct(F.col("doc_id"), F.col("tie"))).alias("first"))
-    order = [r[0] for r in firsts.select("range").orderBy("range").collect()]  # at most `parts` numbers
-    before = spark.createDataFrame([(b, order[k - 1]) for k, b in enumerate(order)], "range int, before int")
-    heads = (
-        placed.join(F.broadcast(firsts.join(F.broadcast(before), "range").withColumnRenamed("range", "own")), (F.col("range") == F.col("own")) & F.col("first").eqNullSafe(F.struct("doc_id", "tie")))
-        .withColumn("n", F.row_number().over(Window.partitionBy("own").orderBy("tie"))).where("n = 1")
-        .withColumns({"range": F.col("before"), "copied": F.lit(1)})
-    )
-    both = placed.unionByName(heads.select(placed.columns))
+    placed = docs.select("doc_id", "text", _ranges(docs, parts).alias("range"), F.xxhash64("text").alias("tie"))
+    firsts = placed.groupBy("range").agg(F.min(F.struct("doc_id", "tie")).alias("first")).orderBy("range").collect()  # at most `parts` rows
+    # each range's first row goes to the range before it, too; the first range's to the last
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    heads = spark.createDataFrame([(r["range"], r["first"]["doc_id"], r["first"]["tie"], firsts[k - 1]["range"]) for k, r in enumerate(firsts)], f"own int, head_id {kind}, head_tie bigint, to int")
+    fits = (F.col("range") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
+    copied = placed.join(F.broadcast(heads), fits).groupBy("to").agg(F.min(F.struct("doc_id", "tie", "text")).alias("h"))
+    both = placed.withColumn("copied", F.lit(0)).unionByName(copied.select("h.*", F.col("to").alias("range"), F.lit(1).alias("copied")))
     by = Window.partitionBy("range").orderBy("copied", F.asc_nulls_first("doc_id"), "tie")
-    return both.withColumns({f"next_{c}": F.lead(c).over(by) for c in carry}).where("copied = 0").drop("range", "tie", "copied")
+    dealt = more(both.repartition("range"))
+    carried = [c for c in dealt.columns if c not in ("doc_id", "range", "tie", "copied")]
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(by) for c in carried}).where("copied = 0").drop("range", "tie", "copied")
 
 
-def fingerprints(docs: DataFrame, fraction: float = 1 / 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, edited, sketch, edited_sketch, near_edited, near_next), a row a row of docs.
+def fingerprints(docs: DataFrame, fraction: float = 1 / 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, edited, sketch, edited_sketch, near_edited, near_next, held_by_edited), a row a row of docs.
 
     edited: the last floor(n/2) code points replaced by the first as many of the next document's text, or all
-    it has. Of a single document the next one is itself. A null text is empty.
+    it has. Of a single document the next one is itself. A null text is empty. Rows with equal doc_id go by the hash of their
+    texts, equal rows follow one another; a null doc_id comes first. Very long texts are sketched whole. An empty table gives an empty one.
+    The error of a likeness J of texts with n shingles between them is about sqrt(J (1 - J) / (n fraction)).
     """
     given = keyed_text(docs, id_col, text_col)
-    parts = max(16, shuffle_partitions(docs.sparkSession))
-    paired = with_next(with_sketch(given, "text", "sketch", fraction), ["text", "sketch"], parts)
+    paired = with_next(given, max(16, 2 * shuffle_partitions(docs.sparkSession)), lambda df: with_sketch(df, "text", "sketch", fraction))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
