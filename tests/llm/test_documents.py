@@ -132,6 +132,23 @@ def test_pii_base_spans_and_additions(spark):
     assert not any(not s["base"] for s in got[PERSONAL.index("version 4111111111111112")]["spans"])
 
 
+def test_pii_many_spans_in_one_text_and_clashing_names(spark):
+    text = " ".join(f"u{i}@example.com 10.0.{i % 250}.{i % 99} card 4111 1111 1111 1111 \U0001f600" for i in range(4000))
+    names = ["c_email_1", "__c_email_1", "__p_all", "spans", "base", "candidates"]
+    df = spark.createDataFrame([(0, text, *range(6)), (1, None, *range(6))], "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names))
+    found = pii.with_spans(df, pii.fit(df), out="found").withColumn("clean", pii.redacted(pii.F.col("text"), pii.F.col("found")))
+    rows = {r["doc_id"]: r for r in found.collect()}
+    spans = [(s["kind"], s["start"], s["end"]) for s in rows[0]["found"] if s["base"]]
+    assert spans == base_spans(text) and len(spans) == 12_000
+    clean, at = "", 0
+    for s in sorted(rows[0]["found"], key=lambda s: s["start"]):
+        if s["start"] >= at:
+            clean += text[at : s["start"]] + f"[{s['kind']}]"
+        at = max(at, s["end"])
+    assert rows[0]["clean"] == clean + text[at:] and rows[1]["clean"] is None and rows[1]["found"] == []
+    assert all(tuple(r[n] for n in names) == tuple(range(6)) for r in rows.values())
+
+
 def test_pii_empty_table(empty):
     assert pii.with_spans(empty, pii.fit(empty)).collect() == []
 
@@ -230,14 +247,21 @@ def check_packed(rows, capacity):
     return len(by)
 
 
-def test_packing_whole(docs, texts):
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  \n", "x<|endoftext|>y <|endoftext| > <|endof", "  <|endoftext|>  tail  ", "<|endoftext|>" + "word " * 3000]
+
+
+@pytest.mark.parametrize("special", [True, False])
+def test_packing_whole(spark, texts, special):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(path)  # with special, the library as it is
+    if not special:
+        t.encode_special_tokens = True
+    texts = [*texts, *enumerate(SPECIAL, len(texts))]
+    docs = spark.createDataFrame([(i, x, 7, 7, 7) for i, x in texts], "doc_id bigint, text string, salt int, rank int, sequence_id int")
     want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in texts}
-    rows = packing.pack_documents(docs, path, P.PATTERN, 2048).collect()
+    rows = packing.pack_documents(docs, path, P.PATTERN, 2048, special_tokens=special).collect()
     pieces = {}
     for r in rows:
         ids = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
@@ -253,6 +277,9 @@ def test_packing_odd_tables(spark, empty):
     assert packing.pack_documents(empty, P.path("byte_bpe_50k.json"), P.PATTERN).collect() == []
     df = spark.createDataFrame([(1, 0, 7), (1, 0, 7), (None, 0, 3), (2, 0, 10)], "doc_id bigint, piece int, length bigint")
     assert check_packed(packing.pack(df, 10).collect(), 10) == 3
+    more = df.selectExpr("*", "'mine' AS salt", "5 AS rank", "6 AS before", "7 AS low")
+    rows = packing.pack(more, 10).collect()
+    assert check_packed(rows, 10) == 3 and all((r["salt"], r["rank"], r["before"], r["low"]) == ("mine", 5, 6, 7) for r in rows)
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -272,6 +299,18 @@ def test_local_search_keeps_all_and_never_adds_bins(seed):
     assert sum(best.values()) <= sum(first.values()) and squares(best) >= squares(first)
 
 
+def test_local_search_looks_beyond_the_emptiest_groups():
+    r = random.Random(5)
+    histogram = Counter(r.randint(200, 900) for _ in range(400))
+    first = packing.best_fit_decreasing(histogram, 2048)
+    narrow = packing.local_search(first, 2048, width=2, trials=0)
+    wide = packing.local_search(first, 2048, width=2)
+    squares = lambda g: sum(packing.fill(c) ** 2 * n for c, n in g.items())
+    held = lambda g: sum((Counter({n: c * b for n, c in content}) for content, b in g.items()), Counter())
+    assert squares(wide) > squares(narrow) >= squares(first) and held(wide) == histogram
+    assert sum(wide.values()) <= sum(narrow.values())
+
+
 def test_local_search_empties_bins():
     # best-fit decreasing leaves three bins of 7, 6 and 5; exchanges bring them to two of 9
     groups = Counter({((4, 1), (3, 1)): 1, ((3, 2),): 1, ((2, 1), (3, 1)): 1})
@@ -422,6 +461,19 @@ def test_sketch_scales_and_merges(docs, spark):
     assert one.select(sketch.merged("s")).first()[0] == [1, 2, 3]
 
 
+def test_sketch_error_at_the_production_fraction(docs, texts):
+    exact = {r["doc_id"]: r for r in sketch.fingerprints(docs, fraction=1.0).collect()}
+    rows, deviations = sketch.fingerprints(docs).collect(), []
+    for r in rows:
+        e = exact[r["doc_id"]]
+        assert r["sketch"] == [h for h in e["sketch"] if h < sketch.LOWEST + (1 << 62)] and set(r["sketch"]) <= set(e["sketch"])
+        either = len(set(e["sketch"]) | set(e["edited_sketch"]))
+        if either >= 40:
+            j = e["near_edited"]
+            deviations.append((r["near_edited"] - j) / (max(j * (1 - j), 0.01) / (either / 4)) ** 0.5)
+    assert len(deviations) > 50 and max(map(abs, deviations)) < 4.5 and sum(d * d for d in deviations) / len(deviations) < 2
+
+
 def test_next_document_of_one_and_of_equal_ids(spark):
     one = spark.createDataFrame([(4, "a b c d e f")], "doc_id bigint, text string")
     r = sketch.fingerprints(one, 1.0).first()
