@@ -46,13 +46,14 @@ def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", least: int = 10_000, most: int = 100_000) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, least: int = 10_000, most: int = 100_000) -> DataFrame:
     """left.join(right, key, how) for a right table with one row a key, where a key may hold any share of left's rows.
 
     Keys of over max(least, rows / most) rows are at most `most`, whatever the tables, so their rows of right are
-    broadcast; all other keys are joined by a shuffle that no key can skew. how: inner or left.
+    broadcast; all other keys are joined by a shuffle that no key can skew. how: inner or left. counts: (key, count) of
+    left, if at hand.
     """
-    counts = left.groupBy(key).count()
+    counts = left.groupBy(key).count() if counts is None else counts
     rows, top = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
     limit = max(least, rows // most)
     if top <= limit:

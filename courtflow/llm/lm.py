@@ -34,8 +34,11 @@ _BEGIN_KEY, _END_KEY = 0x5BD1E9955BD1E995, 0x165667B19E3779F9
 
 @dataclass(frozen=True)
 class LmParams:
+    """block_bytes: text that one task scores at a time, at the least a text."""
+
     order: int = 2
     prior: float = 512.0
+    block_bytes: int = 8 << 20
 
 
 class Block:
@@ -155,13 +158,13 @@ def score(docs: DataFrame, trains, params: LmParams = LmParams(), id_col: str =
 
     trains: boolean Column of docs: whether a row trains the model. Words are what white space (U+0009 to U+000D, space)
     parts, A-Z lower-cased; each text has one end token more, so a null or empty text has one token. Repeated rows train as often
-    as they occur. base_score is the unigram log10 probability with add-one smoothing.
+    as they occur. base_score is the unigram log10 probability with add-one smoothing. Blocks are of equal bytes whatever the corpus, and go
+    by doc_id and text, so neither a null nor a repeated doc_id gathers rows. An empty table gives an empty one.
     """
-    shards = shuffle_partitions(docs.sparkSession)
-    blocks = 2 * shards
     given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
-    given = given.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    placed = given.repartition(shards, "block")
+    plan = exchange.plan(given, params.block_bytes)
+    shards = plan.groups
+    placed = given.withColumn("block", exchange.block_of(plan)).repartition(shuffle_partitions(docs.sparkSession), "block")
     kind = docs.schema[id_col].dataType.simpleString()
 
     @lean
@@ -174,8 +177,7 @@ def score(docs: DataFrame, trains, params: LmParams = LmParams(), id_col: str =
         types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([table["doc_id"], table["trains"], *(pa.array(v, t) for v, t in zip(out.values(), types))], names=["doc_id", "trains", *out])
 
-    asked = placed.groupBy("block").applyInArrow(count, exchange.ASK)
-    answers = asked.groupBy("shard").applyInArrow(lean(exchange.answer), exchange.ANSWER)
+    answers = exchange.answers(placed.groupBy("block").applyInArrow(count, exchange.ASK), plan)
     return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         apply, f"doc_id {kind}, trains boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, join_hot
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: letters, 0 for any digit, what marks parts of a URL, ~ for all else, ^ before the start, $ after the end
@@ -97,26 +97,26 @@ def judge(pages: DataFrame, rules: list[Rule], params: UrlModelParams = UrlModel
     URLs that a rule decides are the labelled ones: four fifths, by hash of the URL, train the models, the rest sets
     the threshold (0 if it lacks a class). ratio is the length-normalised log-likelihood difference. A null URL, one
     without :// and an empty one have an empty host and path and are judged as the empty text. If a class has no
-    labelled URL, the method allows all.
+    labelled URL, the method allows all. Repeated rows are judged each for itself and count each; no other column is read, so none
+    can clash. Texts are judged once each, and one that any share of the rows has doesn't skew the join with the rows.
     """
     parsed = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     parsed = parsed.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
     known = with_rules(parsed, rules).withColumn("folded", folded(F.col("host"), F.col("path")))
     texts = known.groupBy("folded").agg(
-        F.sum(F.when(F.col("rule_verdict") == "allow", 1).otherwise(0)).alias("allow"), F.sum(F.when(F.col("rule_verdict") == "block", 1).otherwise(0)).alias("block")
+        F.sum(F.when(F.col("rule_verdict") == "allow", 1).otherwise(0)).alias("allow"), F.sum(F.when(F.col("rule_verdict") == "block", 1).otherwise(0)).alias("block"), F.count("*").alias("count")
     )
     texts = checkpoint(texts.withColumn("trains", F.crc32("folded") % 5 != 0))
-    exploded = texts.select("*", F.explode(grams(F.col("folded"), params.order)).alias("gram"))
+    exploded = texts.drop("count").select("*", F.explode(grams(F.col("folded"), params.order)).alias("gram"))
     trained = "trains and allow + block > 0"
     counts = checkpoint(exploded.groupBy("gram").agg(*(F.sum(F.expr(f"if({trained}, {c}, 0)")).alias(c) for c in ("allow", "block"))))
     ratios = checkpoint(_ratios(counts.where("allow + block > 0"), counts.select("gram"), params))
-    if ratios.count() <= params.broadcast_rows:
-        ratios = F.broadcast(ratios)
-    scored = checkpoint(exploded.join(ratios, "gram").groupBy("folded", "allow", "block", "trains").agg(F.avg("ratio").alias("ratio")))
+    valued = exploded.join(F.broadcast(ratios), "gram") if ratios.count() <= params.broadcast_rows else join_hot(exploded, ratios, "gram")
+    scored = checkpoint(valued.groupBy("folded", "allow", "block", "trains").agg(F.avg("ratio").alias("ratio")))
     threshold = calibrate(scored, params)
     by_text = scored.select("folded", "ratio")
     verdict = F.coalesce("rule_verdict", F.when(F.col("ratio") >= threshold, "allow").otherwise("block"))
-    return known.join(by_text, "folded").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "ratio")
+    return join_hot(known, by_text, "folded", counts=texts.select("folded", "count")).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "ratio")
 
 
 def calibrate(scored: DataFrame, params: UrlModelParams) -> float:

@@ -9,6 +9,8 @@ from math import log10
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 import regex
 
@@ -378,7 +380,6 @@ def test_lm_probabilities_sum_to_one():
         every, flags = [*texts, extra], np.append(trains, False)
         asked = exchange.ask_table(lm.block_asks(0, every, flags, 2, p))
         answers = exchange.answer
-        import pyarrow as pa
         import pyarrow.compute as pc
 
         table = pa.concat_tables([answers(asked.filter(pc.equal(asked["shard"], s))) for s in set(asked["shard"].to_pylist())])
@@ -480,3 +481,28 @@ def test_next_document_of_one_and_of_equal_ids(spark):
     assert r["near_next"] == 1.0 and r["edited"] == "a b c " + "a b c"
     same = spark.createDataFrame([(1, "p q"), (1, "p q"), (1, "r s"), (None, "t u")], "doc_id bigint, text string")
     assert sketch.fingerprints(same).count() == 4
+
+
+@pytest.mark.parametrize("blocks, shards", [(1, 1), (7, 3), (40, 30)])
+def test_exchange_in_two_levels(spark, blocks, shards):
+    from courtflow.llm import exchange
+
+    r = np.random.default_rng(blocks)
+    keys = [np.unique(r.integers(0, 1 << 16, 300).astype(np.uint64) << np.uint64(44)) for _ in range(blocks)]
+    counts = [r.integers(0, 5, len(k)) for k in keys]
+    total = Counter()
+    for k, c in zip(keys, counts):
+        for x, n in zip(k.tolist(), c.tolist()):
+            total[x] += n
+    for most in (0, 10**9):
+        p = exchange.Plan(blocks, shards, most)
+        assert p.two_levels == (most == 0)
+        rows = [row for b in range(blocks) for space in (0, 2) for row in exchange.ask(b, space, keys[b], counts[b] * (space + 1), p.groups, bits=60, every=True)]
+        asked = spark.createDataFrame(exchange.ask_table(rows))
+        table = exchange.answers(asked, p, bits=60).toArrow()
+        for b in range(blocks):
+            mine = table.filter(pa.compute.equal(table["block"], b))
+            for space in (0, 2):
+                got, mass, kinds = exchange.read_answers(mine, space, p.groups)
+                assert got.tolist() == [total[x] * (space + 1) for x in keys[b].tolist()]
+                assert mass == sum(total.values()) * (space + 1) and kinds == sum(n > 0 for n in total.values())
