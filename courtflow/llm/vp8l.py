@@ -1,15 +1,16 @@
 """Lossless WebP (VP8L) codec on numpy arrays, by the published format (RFC 9649).
 
 Decoding reads prefix codes, back-references and colour cache, and undoes the predictor, cross-colour,
-subtract-green and palette transforms. Images whose red, blue and alpha are constant after the transforms (any grey
-image) are decoded many pixels at a time: a table gives the code length at every bit, jumps of 16 codes are composed from
-those, and the codes between follow. All others take the loop over pixels. The encoder writes grey images fast, and
-any image with chosen transforms, colour cache and back-references.
+subtract-green and palette transforms. Images of one group of prefix codes are decoded many pixels at a time: for every
+bit it is worked out where a pixel's codes that begin there would end, jumps of 16 pixels are composed from those, and the
+places between follow; back-references and cache entries are then pointers to pixels before, resolved by doubling. Images
+with meta prefix codes take the loop over pixels. `encode_best` chooses transforms, cache and references for each
+image by size; `encode` writes any image with given ones.
 """
 
 from __future__ import annotations
 
-from heapq import heapify, heappop, heappush
+from functools import lru_cache
 
 import numpy as np
 
@@ -24,6 +25,7 @@ NEAR = (
     (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4),
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
+_ORDER = np.array(CODE_LENGTH_ORDER)
 CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 LARGEST_SIDE = 1 << 14
@@ -65,40 +67,54 @@ class Writer:
 
 
 def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
-    """Lengths of an optimal prefix code of at most `longest` bits (counts are flattened until it fits); a single symbol gets 1."""
-    used = np.flatnonzero(counts)
+    """Lengths of a complete prefix code of at most `longest` bits; a single symbol gets 1.
+
+    Each symbol gets its bits rounded up, and then the room that is left goes to those that gain most from a bit less.
+    """
+    used = counts.nonzero()[0]
     lengths = np.zeros(len(counts), np.int64)
     if len(used) < 2:
         lengths[used] = 1
         return lengths
-    own = counts[used].tolist()
-    while True:
-        heap = [(c, i) for i, c in enumerate(own)]
-        heapify(heap)
-        n, parent = len(own), [0] * (2 * len(own) - 1)
-        for new in range(n, 2 * n - 1):
-            a, b = heappop(heap), heappop(heap)
-            parent[a[1]] = parent[b[1]] = new
-            heappush(heap, (a[0] + b[0], new))
-        depth = [0] * (2 * n - 1)
-        for i in range(2 * n - 3, -1, -1):
-            depth[i] = depth[parent[i]] + 1
-        if max(depth[:n]) <= longest:
-            lengths[used] = depth[:n]
-            return lengths
-        own = [(c >> 1) + 1 for c in own]
+    own = counts[used]
+    ideal = np.log2(int(own.sum()) / own)
+    n = np.clip(np.ceil(ideal), 1, longest).astype(np.int64)
+    room = (1 << longest) - int((1 << (longest - n)).sum())
+    while room < 0:  # rare symbols were cut to the longest code: all others give a bit, until there is room
+        n = np.minimum(n + 1, longest)
+        room = (1 << longest) - int((1 << (longest - n)).sum())
+    # who lost most by rounding up, for the room it takes, comes first
+    order = np.argsort(ideal - n, kind="stable").tolist()
+    sizes = n.tolist()
+    while room:
+        for i in order:
+            if sizes[i] > 1 and (need := 1 << (longest - sizes[i])) <= room:
+                sizes[i] -= 1
+                room -= need
+                if not room:
+                    break
+    lengths[used] = sizes
+    return lengths
+
+
+def _reversed_bits(bits: int) -> np.ndarray:
+    """0..2**bits-1 with their bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(bits):
+        out = np.concatenate([out * 2, out * 2 + 1])
+    return out
+
+
+_REVERSED = [_reversed_bits(n) for n in range(16)]
 
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes by length, then symbol, bit-reversed, as the stream has them."""
-    codes, code, last = np.zeros(len(lengths), np.int64), 0, 0
-    for s in np.lexsort((np.arange(len(lengths)), lengths)).tolist():
-        n = int(lengths[s])
-        if n:
-            code <<= n - last
-            last = n
-            codes[s] = int(f"{code:0{n}b}"[::-1], 2)
-            code += 1
+    codes, used = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    n = lengths[used]
+    spans = np.int64(1) << (15 - n)  # of 15-bit numbers that begin with the code
+    codes[used] = _REVERSED[15][np.cumsum(spans) - spans]
     return codes
 
 
@@ -111,15 +127,12 @@ class Code:
         if len(used) == 1:
             self.bits, self.symbol, self.length = 0, np.array([used[0]], np.int32), np.zeros(1, np.int32)
             return
-        if not len(used) or sum(1 << (15 - n) for n in lengths[used].tolist()) != 1 << 15:
+        if not len(used) or int((np.int64(1) << (15 - lengths[used])).sum()) != 1 << 15:
             raise ValueError("not a complete prefix code")
         self.bits = int(lengths.max())
-        self.symbol, self.length = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
-        codes = canonical(lengths)
-        for s in used.tolist():
-            n, c = int(lengths[s]), int(codes[s])
-            self.symbol[c :: 1 << n] = s
-            self.length[c :: 1 << n] = n
+        used = used[np.argsort(lengths[used], kind="stable")]
+        spans, turned = 1 << (self.bits - lengths[used]), _REVERSED[self.bits]
+        self.symbol, self.length = np.repeat(used, spans)[turned].astype(np.int32), np.repeat(lengths[used], spans)[turned].astype(np.int32)
 
     def read(self, r: Reader) -> int:
         if self.only is not None:
@@ -130,20 +143,35 @@ class Code:
         return int(self.symbol[i])
 
 
+@lru_cache(maxsize=512)
+def _only(symbol: int) -> Code:
+    """The code of one symbol."""
+    return Code(np.bincount([symbol]))
+
+
+@lru_cache(maxsize=64)
+def _length_code(packed: int, many: int) -> tuple[list[int], list[int], int]:
+    """The code of code lengths: symbols and their bits by the next bits, and how many those are."""
+    lengths = np.zeros(19, np.int64)
+    lengths[_ORDER[:many]] = [packed >> 3 * k & 7 for k in range(many)]
+    code = Code(lengths)
+    return code.symbol.tolist(), code.length.tolist(), (1 << code.bits) - 1
+
+
 def read_code(r: Reader, alphabet: int) -> Code:
-    lengths = np.zeros(alphabet, np.int64)
     if r.read(1):
         two, wide = r.read(1), r.read(1)
-        lengths[r.read(8 if wide else 1)] = 1
-        if two:
-            lengths[r.read(8)] = 1
+        symbol = r.read(8 if wide else 1)
+        if not two:
+            return _only(symbol)
+        lengths = np.zeros(alphabet, np.int64)
+        lengths[[symbol, r.read(8)]] = 1
         return Code(lengths)
-    first = np.zeros(19, np.int64)
-    for i in range(4 + r.read(4)):
-        first[CODE_LENGTH_ORDER[i]] = r.read(3)
-    code = Code(first)
+    lengths = np.zeros(alphabet, np.int64)
+    many = 4 + r.read(4)
+    code = _length_code(r.read(3 * many), many)
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else alphabet
-    symbols, sizes, mask = code.symbol.tolist(), code.length.tolist(), (1 << code.bits) - 1
+    symbols, sizes, mask = code
     ahead, used, at, last, out = int.from_bytes(r.data[r.at >> 3 : (r.at >> 3) + 700], "little") >> (r.at & 7), 0, 0, 8, []
     while at < alphabet and left:
         left -= 1
@@ -162,56 +190,42 @@ def read_code(r: Reader, alphabet: int) -> Code:
     return Code(lengths)
 
 
+#: The code that this encoder writes code lengths with: 4 bits, but 5 for lengths 1, 13, 14 and 15; runs of lengths (16) aren't used.
+_LENGTH_SIZES = np.array([5 if n in (1, 13, 14, 15) else 0 if n == 16 else 4 for n in range(19)])
+_LENGTH_CODES = canonical(_LENGTH_SIZES)
+_LENGTH_HEAD = sum(int(_LENGTH_SIZES[n]) << 5 + 3 * k for k, n in enumerate(CODE_LENGTH_ORDER)) | 15 << 1
+
+
 def write_code(w: Writer, lengths: np.ndarray) -> None:
-    used = np.flatnonzero(lengths).tolist()
-    if len(used) <= 2 and (not used or used[-1] < 256):
-        w.write(1, 1)
-        w.write(int(len(used) == 2), 1)
-        w.write(1, 1)
-        for s in used or [0]:
+    used = lengths.nonzero()[0]
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):
+        w.write(1 | int(len(used) == 2) << 1 | 1 << 2, 3)
+        for s in used.tolist() or [0]:
             w.write(s, 8)
         return
-    tokens, i, all_lengths, n = [], 0, lengths.tolist(), used[-1] + 1
-    while i < n:
-        j = i + 1
-        while j < n and all_lengths[j] == all_lengths[i]:
-            j += 1
-        value, run = all_lengths[i], j - i
-        i = j
-        if value:
-            tokens.append((value, 0, 0))
-            run -= 1
-        while run:
-            if value and run >= 3:
-                k = min(run, 6)
-                tokens.append((16, k - 3, 2))
-            elif not value and run >= 3:
-                k = min(run, 138)
-                tokens.append((17, k - 3, 3) if k < 11 else (18, k - 11, 7))
-            else:
-                k = 1
-                tokens.append((value, 0, 0))
-            run -= k
-    first = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
-    order = first[list(CODE_LENGTH_ORDER)]
-    many = max(4, int(np.flatnonzero(order)[-1]) + 1)
-    w.write(0, 1)
-    w.write(many - 4, 4)
-    for x in order[:many].tolist():
-        w.write(x, 3)
+    kept = lengths[: used[-1] + 1]
+    starts = np.concatenate([[0], (kept[1:] != kept[:-1]).nonzero()[0] + 1])
+    runs = np.concatenate([starts[1:], [len(kept)]]) - starts
+    values = kept[starts]
+    if ((values == 0) & (runs > 138)).any():
+        parts = [(v, k) for v, n in zip(values.tolist(), runs.tolist()) for k in ([n] if v else [138] * (n // 138) + ([n % 138] if n % 138 else []))]
+        values, runs = np.array(parts).T
+    packed = (values == 0) & (runs >= 3)  # runs of zeros; others are written out
+    long = runs >= 11
+    again = np.where(packed, 1, runs)
+    symbols = np.where(packed, 17 + long, values).repeat(again)
+    extra = np.where(packed, runs - np.where(long, 11, 3), 0).repeat(again)
+    many_extra = np.where(packed, np.where(long, 7, 3), 0).repeat(again)
+    w.write(_LENGTH_HEAD, 1 + 4 + 3 * 19)
     w.write(1, 1)
-    bits = max(2, (len(tokens) - 2).bit_length() + 1 & ~1) if len(tokens) > 2 else 2
+    n = len(symbols)
+    bits = max(2, (n - 2).bit_length() + 1 & ~1) if n > 2 else 2
     w.write((bits - 2) // 2, 3)
-    w.write(max(0, len(tokens) - 2), bits)
-    tokens += [(0, 0, 0)] * (2 - len(tokens))
-    codes, sizes = canonical(first).tolist(), first.tolist()
-    single = int((first > 0).sum()) == 1
-    value, at = 0, 0
-    for s, extra, n in tokens:
-        if not single:
-            value, at = value | codes[s] << at, at + sizes[s]
-        value, at = value | extra << at, at + n
-    w.write(value, at)
+    w.write(max(0, n - 2), bits)
+    if n < 2:
+        symbols, extra, many_extra = (np.append(x, 0) for x in (symbols, extra, many_extra))
+    sizes = _LENGTH_SIZES[symbols]
+    w.append(*_joined(_LENGTH_CODES[symbols] | extra << sizes, sizes + many_extra))
 
 
 def prefix(value: int) -> tuple[int, int, int]:
@@ -249,67 +263,131 @@ def _window(data: np.ndarray, start: int, count: int, bits: int) -> np.ndarray:
     return at.ravel()[start & 7 : (start & 7) + count].astype(np.int32)
 
 
-def _green_pixels(r: Reader, code: Code, distance: Code, width: int, total: int) -> np.ndarray:
-    """Green of an image whose other channels take no bits, without colour cache."""
-    out, n = np.empty(total, np.uint8), 0
-    data = np.frombuffer(r.data + bytes(8), np.uint8)
-    end, step = len(r.data) * 8, 1 << 16
-    if code.only is not None and code.only < 256:
-        out[:] = code.only
-        return out
-    hop = code.length if code.bits else np.zeros(1, np.int32)
-    literal = code.symbol < 256
+_NEAR_X, _NEAR_Y = (np.array([xy[k] for xy in NEAR], np.int64) for k in (0, 1))
+_STEP = 1 << 16
+
+
+def _followed(to: np.ndarray, count: int) -> np.ndarray:
+    """All places below count that jumps from place 0 on come to; to[i] > i, and places from count on lead to themselves."""
+    jumps = [to]
+    for _ in range(4):
+        jumps.append(jumps[-1][jumps[-1]])
+    far, anchors, p = jumps[4], [], 0
+    while p < count:
+        anchors.append(p)
+        p = int(far[p])
+    path = np.array(anchors, np.int32)[:, None]
+    for jump in reversed(jumps[:4]):  # 8, 4, 2 and 1 on
+        path = np.concatenate([path[:, :, None], jump[path][:, :, None]], 2).reshape(len(anchors), -1)
+    path = path.ravel()
+    return path[path < count]
+
+
+def _prefixed(code: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Values of prefix codes, given the bits behind them."""
+    n = np.maximum(code - 2, 0) >> 1
+    return np.where(code < 4, code + 1, ((2 + (code & 1)) << n) + (extra & ((1 << n) - 1)) + 1)
+
+
+def _extra_bits(code: np.ndarray) -> np.ndarray:
+    return np.where(code < 4, 0, (code - 2) >> 1)
+
+
+def _items(r: Reader, codes: list[Code], width: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The stream of one image, as (length, distance, value, slot) of literals (1, 0, argb, -1), references (length,
+    distance, 0, -1) and cache entries (1, 0, 0, slot)."""
+    green, red, blue, alpha, far = codes
+    data, end, parts, n = np.frombuffer(r.data + bytes(16), np.uint8), len(r.data) * 8, [], 0
+    size, mask, lead = 0, (1 << green.bits) - 1, None
     while n < total:
-        if code.only is not None:
-            symbols = np.array([code.only])
+        count = min(_STEP, end - r.at, (total - n) * 60)
+        if count <= 0:
+            raise ValueError("the stream ends early")
+        stop = count + 96  # an item is at most 59 bits long
+        ahead = _window(np.concatenate([data[r.at >> 3 : (r.at + stop + 24 >> 3) + 2], np.zeros(16, np.uint8)]), r.at & 7, stop, 15)
+        at = ahead & mask
+        symbol, after = green.symbol[at], np.arange(stop, dtype=np.int32) + green.length[at]
+        place = np.arange(count, dtype=np.int32)
+        first = after[:count]
+        to = first
+        for c in (red, blue, alpha):
+            if c.bits:
+                to = to + c.length[ahead[to] & ((1 << c.bits) - 1)]
+        other = symbol[:count] >= 256
+        to = np.where(symbol[:count] >= 280, first, to)
+        where = np.flatnonzero(other & (symbol[:count] < 280))
+        if len(where):
+            p = first[where] + _extra_bits(symbol[where] - 256)
+            d = far.symbol[ahead[p] & ((1 << far.bits) - 1)]
+            to[where] = p + far.length[ahead[p] & ((1 << far.bits) - 1)] + _extra_bits(d)
+        lead = np.concatenate([np.minimum(to, stop), np.arange(count, stop + 1, dtype=np.int32)])
+        path = _followed(lead, count)
+        what, q = symbol[path].astype(np.int64), after[path]
+        values, fields = [], q
+        for c in (red, blue, alpha):
+            k = ahead[np.minimum(fields, stop - 1)] & ((1 << c.bits) - 1)
+            values.append(c.symbol[k].astype(np.int64))
+            fields = fields + c.length[k]
+        length, distance, argb, slot = np.ones(len(path), np.int64), np.zeros(len(path), np.int64), values[2] << 24 | values[0] << 16 | what << 8 | values[1], np.full(len(path), -1, np.int64)
+        slot[what >= 280] = what[what >= 280] - 280
+        argb[what >= 256] = 0
+        where = np.flatnonzero((what >= 256) & (what < 280))
+        if len(where):
+            code, p = what[where] - 256, q[where]
+            length[where] = _prefixed(code, ahead[p].astype(np.int64))
+            p = p + _extra_bits(code)
+            d = far.symbol[ahead[p] & ((1 << far.bits) - 1)].astype(np.int64)
+            p = p + far.length[ahead[p] & ((1 << far.bits) - 1)]
+            v = _prefixed(d, ahead[p].astype(np.int64) | ahead[np.minimum(p + 15, stop - 1)].astype(np.int64) << 15)
+            near = np.minimum(v, len(NEAR)) - 1
+            distance[where] = np.where(v > len(NEAR), v - len(NEAR), np.maximum(1, _NEAR_X[near] + _NEAR_Y[near] * width))
+        ends = n + np.cumsum(length)
+        keep = int(np.searchsorted(ends, total)) + 1
+        if keep <= len(path):
+            length[keep - 1] -= ends[keep - 1] - total
+            n = total
         else:
-            count = min(step, end - r.at)
-            if count <= 0:
-                raise ValueError("the stream ends early")
-            stop = count + 15  # a code is at most 15 bits long
-            ahead = _window(data, r.at, count, code.bits)
-            # where each code leads; beyond the window and from a back-reference to the last place, which leads to itself
-            to = np.empty(stop + 1, np.int32)
-            np.add(np.arange(count, dtype=np.int32), hop[ahead], out=to[:count])
-            to[:count][~literal[ahead]] = stop
-            to[count:] = np.arange(count, stop + 1, dtype=np.int32)
-            jumps = [to]
-            for _ in range(4):
-                jumps.append(jumps[-1][jumps[-1]])
-            far, anchors, p = jumps[4], [], 0
-            while p < count:
-                anchors.append(p)
-                p = int(far[p])
-            path = np.array(anchors, np.int32)[:, None]
-            for jump in reversed(jumps[:4]):  # 8, 4, 2 and 1 codes on
-                path = np.concatenate([path[:, :, None], jump[path][:, :, None]], 2).reshape(len(anchors), -1)
-            path = path.ravel()
-            path = path[path < count]
-            symbols = code.symbol[ahead[path]]
-        reference = len(symbols) and symbols[-1] >= 256
-        got = symbols[:-1] if reference else symbols
-        if len(got) >= total - n:
-            got, reference = got[: total - n], False
-            r.at += int(path[len(got) - 1]) + int(hop[ahead[path[len(got) - 1]]]) if len(got) else 0
-        elif code.only is None:
-            last = int(path[-1])
-            r.at += last + int(hop[ahead[last]])
-        out[n : n + len(got)] = got
-        n += len(got)
-        if reference:
-            length = read_prefixed(r, int(symbols[-1]) - 256)
-            back = near_distance(read_prefixed(r, distance.read(r)), width)
-            if back > n:
-                raise ValueError("a back-reference before the first pixel")
-            length = min(length, total - n)
-            if back == 1:
-                out[n : n + length] = out[n - 1]
-            else:
-                for i in range(n, n + length, back):
-                    k = min(back, n + length - i)
-                    out[i : i + k] = out[i - back : i - back + k]
-            n += length
-    return out
+            keep, n = len(path), int(ends[-1])
+        r.at += int(lead[path[keep - 1]])
+        if r.at > end:
+            raise ValueError("the stream ends early")
+        parts.append([x[:keep] for x in (length, distance, argb, slot)])
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _resolved(source: np.ndarray) -> np.ndarray:
+    """Where pointers to earlier places lead in the end."""
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return source
+        source = further
+
+
+def _fast_pixels(r: Reader, codes: list[Code], cache_bits: int, width: int, total: int) -> np.ndarray:
+    """An image of one group of prefix codes."""
+    length, distance, argb, slot = _items(r, codes, width, total)
+    place = np.cumsum(length) - length
+    if (distance > place).any():
+        raise ValueError("a back-reference before the first pixel")
+    value = np.zeros(total + 1, np.int64)  # the last is the colour of an empty cache entry
+    value[place] = argb
+    source = np.arange(total + 1)
+    if (distance > 0).any():
+        source[:total] -= np.repeat(distance, length)
+        source = _resolved(source)
+    cached = np.flatnonzero(slot >= 0)
+    if len(cached):
+        key = (CACHE_FACTOR * value & 0xFFFFFFFF) >> (32 - cache_bits)
+        key[place[cached]] = slot[cached]
+        key = key[source[:total]]
+        order = np.argsort(key, kind="stable")
+        before = np.full(total, total)
+        same = key[order[1:]] == key[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        source[place[cached]] = before[place[cached]]
+        source = _resolved(source[source])
+    return value[source[:total]].astype(np.uint32)
 
 
 def _pixels(r: Reader, groups: list[list[Code]], meta: np.ndarray | None, meta_bits: int, cache_bits: int, width: int, height: int) -> np.ndarray:
@@ -353,10 +431,12 @@ def _image(r: Reader, width: int, height: int, main: bool = False) -> np.ndarray
         many = int(meta.max()) + 1
     sizes = (ALPHABETS[0] + ((1 << cache_bits) if cache_bits else 0), *ALPHABETS[1:])
     groups = [[read_code(r, n) for n in sizes] for _ in range(many)]
-    if many == 1 and not cache_bits and all(c.only is not None for c in groups[0][1:4]):
-        red, blue, alpha = (c.only for c in groups[0][1:4])
-        green = _green_pixels(r, groups[0][0], groups[0][4], width, width * height).astype(np.uint32)
-        return ((green << np.uint32(8)) | np.uint32(alpha << 24 | red << 16 | blue)).reshape(height, width)
+    codes = groups[0]
+    if many == 1 and width * height > 16 and codes[0].only is None:
+        return _fast_pixels(r, codes, cache_bits, width, width * height).reshape(height, width)
+    if all(c.only is not None for c in codes[:4]) and codes[0].only < 256 and many == 1:
+        green, red, blue, alpha = (c.only for c in codes[:4])
+        return np.full((height, width), alpha << 24 | red << 16 | green << 8 | blue, np.uint32)
     return _pixels(r, groups, meta, meta_bits, cache_bits, width, height)
 
 
@@ -528,7 +608,7 @@ def _joined(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, int]:
     if total:
         at = ends - sizes
         word = at >> 5
-        first = np.flatnonzero(np.diff(word, prepend=-1))
+        first = np.concatenate([[0], (word[1:] != word[:-1]).nonzero()[0] + 1])
         sums = np.add.reduceat(values.astype(np.uint64) << (at & 31).astype(np.uint64), first)
         rows = word[first]
         out[rows] += sums & np.uint64(0xFFFFFFFF)
@@ -536,46 +616,237 @@ def _joined(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, int]:
     return out.astype("<u4"), total
 
 
-def encode_grey(samples: np.ndarray) -> bytes:
-    """uint8 (height, width) as a grey WebP image. Runs of a repeated sample become back-references."""
-    height, width = samples.shape
-    flat = samples.ravel()
+def _copies(flat: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Back-references (place, length, distance as rows) to the last place with the same `least` pixels: runs of places that
+    all have theirs at one distance, the first come first."""
+    n = len(flat) - least + 1
+    if n < 2:
+        return np.empty((0, 3), np.int64)
+    key = flat[:n].astype(np.uint64)
+    for k in range(1, least):
+        key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ flat[k : k + n]
+    order = np.argsort(key, kind="stable")
+    distance = np.zeros(n, np.int64)
+    same = (key[order[1:]] == key[order[:-1]]).nonzero()[0]
+    if not len(same):
+        return np.empty((0, 3), np.int64)
+    later, far = order[same + 1], order[same + 1] - order[same]
+    right = flat[later] == flat[later - far]
+    for k in range(1, least):  # else equal keys of other pixels
+        right &= flat[later + k] == flat[later - far + k]
+    distance[later[right]] = far[right]
+    changes = np.concatenate([[0], (distance[1:] != distance[:-1]).nonzero()[0] + 1, [n]])
+    starts, ends = changes[:-1], changes[1:] + (least - 1)
+    held = distance[starts] > 0
+    starts, ends = starts[held], ends[held]
+    out, at = [], 0
+    for a, b, d in zip(starts.tolist(), ends.tolist(), distance[starts].tolist()):
+        a = max(a, at)
+        while b - a >= least:
+            k = min(b - a, 4096)
+            out.append((a, k, d))
+            a = at = a + k
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def _prefix_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix code, extra bits, their number) of values from 1."""
+    v = value - 1
+    top = np.maximum(np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1, 1)
+    many = np.where(v < 4, 0, top - 1)
+    return np.where(v < 4, v, 2 * top + (v >> (top - 1) & 1)), np.where(v < 4, 0, v & ((1 << many) - 1)), many
+
+
+_SPREAD = np.log2(np.maximum(np.arange(1 << 16), 1)) * np.arange(1 << 16)
+
+
+def _bits(counts: np.ndarray) -> np.ndarray:
+    """Bits of the optimal code of symbols with these counts, each row for itself."""
+    total = counts.sum(-1)
+    if int(total.max()) < len(_SPREAD):
+        return _SPREAD[total] - _SPREAD[counts].sum(-1)
+    return total * np.log2(np.maximum(total, 1)) - (counts * np.log2(np.maximum(counts, 1))).sum(-1)
+
+
+class _Stream:
+    """An image's pixels as literals, references and cache entries. A cache of cache_bits is used if it holds an eighth of the literals."""
+
+    def __init__(self, flat: np.ndarray, width: int, copies: np.ndarray, cache_bits: int):
+        at = np.arange(len(flat))
+        if len(copies):
+            covered = np.zeros(len(flat) + 1, np.int64)
+            covered[copies[:, 0]] += 1
+            covered[: len(flat)] -= np.bincount(copies[:, 0] + copies[:, 1], minlength=len(flat) + 1)[: len(flat)]
+            lead = np.cumsum(covered[:-1]) == 0
+            lead[copies[:, 0]] = True
+            at = lead.nonzero()[0]
+        fields = flat[at].astype("<u4").view(np.uint8).reshape(-1, 4)[:, _FIELDS].astype(np.int64)
+        size = np.ones((len(at), 4), bool)
+        if cache_bits:
+            slot = (flat.astype(np.uint32) * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)
+            order = np.argsort(slot, kind="stable")
+            hit = np.zeros(len(flat), bool)
+            by_slot = flat[order]  # the same colour as the last of its slot; another colour of the slot would come between
+            hit[order[1:]] = by_slot[1:] == by_slot[:-1]
+            where = hit[at].nonzero()[0]
+            if 8 * len(where) >= len(at):
+                fields[where, 0], size[where, 1:] = 280 + slot[at[where]].astype(np.int64), False
+            else:
+                cache_bits = 0
+        self.cache_bits = cache_bits
+        self.far = self.extra = self.where = None
+        first = ALPHABETS[0] + (1 << cache_bits if cache_bits else 0)
+        counts = np.zeros((5, first), np.int64)
+        if len(copies):
+            where = np.searchsorted(at, copies[:, 0])
+            code, extra, many = _prefix_of(copies[:, 1])
+            size[where, 1:], fields[where, 0] = False, 256 + code
+            self.far = _prefix_of(_distance_codes(copies[:, 2], width))
+            self.extra, self.where = (extra, many), where
+            counts[4, : ALPHABETS[4]] = np.bincount(self.far[0], minlength=ALPHABETS[4])
+        self.fields, self.size = fields, size
+        counts[0] = np.bincount(fields[:, 0], minlength=first)
+        literal = fields[size[:, 1], 1:] + np.arange(3) * 256
+        counts[1:4, :256] = np.bincount(literal.ravel(), minlength=768).reshape(3, 256)
+        self.counts = [counts[0], *(counts[k, :n] for k, n in enumerate(ALPHABETS[1:], 1))]
+
+    def write(self, w: Writer, main: bool = True) -> None:
+        w.write(int(self.cache_bits > 0), 1)
+        if self.cache_bits:
+            w.write(self.cache_bits, 4)
+        if main:
+            w.write(0, 1)  # no meta prefix codes
+        n = len(self.fields)
+        values, sizes = np.zeros((n, 6), np.int64), np.zeros((n, 6), np.int64)
+        for k, counts in enumerate(self.counts):
+            lengths = code_lengths(counts, 15)
+            write_code(w, lengths)
+            if (lengths > 0).sum() < 2:
+                continue
+            codes = canonical(lengths)
+            if k < 4:
+                at = np.flatnonzero(self.size[:, k])
+                values[at, k], sizes[at, k] = codes[self.fields[at, k]], lengths[self.fields[at, k]]
+            else:
+                values[self.where, 4], sizes[self.where, 4] = codes[self.far[0]], lengths[self.far[0]]
+        if self.where is not None:  # the length's extra bits come before the distance's code, where literals have red
+            values[self.where, 1], sizes[self.where, 1] = self.extra
+            values[self.where, 5], sizes[self.where, 5] = self.far[1:]
+        w.append(*_joined(values.ravel(), sizes.ravel()))
+
+
+@lru_cache(maxsize=64)
+def _near_codes(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of near pixels, ascending, and their numbers."""
+    table = {}
+    for code in range(len(NEAR), 0, -1):
+        table[near_distance(code, width)] = code
+    known = sorted(table)
+    return np.array(known), np.array([table[d] for d in known])
+
+
+def _distance_codes(distance: np.ndarray, width: int) -> np.ndarray:
+    """Codes of distances: of a near pixel its number, else the distance after those."""
+    known, codes = _near_codes(width)
+    at = np.minimum(np.searchsorted(known, distance), len(known) - 1)
+    return np.where(known[at] == distance, codes[at], distance + len(NEAR))
+
+
+def _counts_of(channels: np.ndarray) -> np.ndarray:
+    """Counts by channel of (pixels, 4) uint8."""
+    flat = channels.reshape(-1, channels.shape[-1]).astype(np.int64)
+    k = flat.shape[1]
+    return np.bincount((flat + np.arange(k) * 256).ravel(), minlength=k * 256).reshape(k, 256)
+
+
+def _is_smooth(argb: np.ndarray, mode: int) -> bool:
+    """Whether three tenths of all pixels have a green within 3 of the pixel's to the left or above."""
+    green = (argb >> np.uint32(8)).astype(np.uint8)
+    step = green[:, 1:] - green[:, :-1] if mode == 1 else green[1:] - green[:-1]
+    return 10 * int(np.count_nonzero(step + np.uint8(3) <= 6)) > 3 * step.size
+
+
+def _left_or_top(argb: np.ndarray, mode: int) -> np.ndarray:
+    """Residuals where all blocks have predictor 1 (left) or 2 (top)."""
+    c = _channels(argb)
+    guess = np.empty_like(c)
+    guess[0, 0], guess[0, 1:], guess[1:, 0] = (0, 0, 0, 255), c[0, :-1], c[:-1, 0]
+    guess[1:, 1:] = c[1:, :-1] if mode == 1 else c[:-1, 1:]
+    return _packed(c - guess)
+
+
+_FIELDS = [1, 2, 0, 3]  # green, red, blue, alpha of a pixel's bytes
+_CACHE_BITS = 7
+
+
+def encode_best(argb: np.ndarray) -> bytes:
+    """Any image: uint32 ARGB (height, width), lossless, by what takes least of these.
+
+    Predictor none, left or top for the image; cross-colour factors 0 or 32 of green on red, green on blue and red on
+    blue; for up to 256 colours a palette instead; then back-references and, without a palette, a colour cache.
+    """
+    height, width = argb.shape
     w = Writer()
-    _head(w, width, height, False)
-    w.write(1, 1), w.write(SUBTRACT_GREEN, 2), w.write(0, 1)
-    w.write(0, 1), w.write(0, 1)  # neither colour cache nor meta prefix codes
-    change = np.flatnonzero(flat[1:] != flat[:-1]) + 1
-    starts = np.concatenate([[0], change])
-    runs = np.diff(np.append(starts, len(flat)))
-    long = np.flatnonzero(runs >= 12)
-    symbols, extra, sizes = flat.astype(np.int64), None, None
-    if len(long):
-        keep = np.ones(len(flat), bool)
-        extra, sizes = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
-        for a, n in zip(starts[long].tolist(), runs[long].tolist()):
-            keep[a + 1 : a + n] = False
-            at, left = a + 1, n - 1
-            while left:
-                k = min(left, 4096)
-                code, bits, many = prefix(k)
-                keep[at] = True
-                symbols[at], extra[at], sizes[at] = 256 + code, bits, many  # the distance, always 1, takes no bits
-                at, left = at + k, left - k
-        symbols, extra, sizes = symbols[keep], extra[keep], sizes[keep]
-    lengths = code_lengths(np.bincount(symbols, minlength=ALPHABETS[0]), 15)
-    write_code(w, lengths)
-    for only in (0, 0, 255, 1):  # red and blue less green, alpha, distance code 2: the pixel to the left
-        w.write(0b101, 3), w.write(only, 8)
-    if (lengths > 0).sum() > 1:
-        values, bits = canonical(lengths)[symbols], lengths[symbols]
-    else:
-        values = bits = np.zeros(len(symbols), np.int64)
-    if extra is not None:
-        values, bits = values | extra << bits, bits + sizes
-    w.append(*_joined(values, bits))
+    _head(w, width, height, bool((argb >> np.uint32(24) != 255).any()))
+    block = 9
+    blocks = (-(-height >> block) or 1, -(-width >> block) or 1)
+    best, chosen = np.inf, (0, None)
+    for mode in (0, 1, 2):
+        if mode and not _is_smooth(argb, mode):
+            continue
+        rest = argb if mode == 0 else _left_or_top(argb, mode)
+        c = _channels(rest).reshape(-1, 4)
+        blue, green, red = c[:, 0], c[:, 1], c[:, 2]
+        less = blue - green
+        # the three factors of 32 take green's or red's signed value off
+        each = _bits(_counts_of(np.stack([blue, green, red, red - green, less, blue - red, less - red], 1))).tolist()
+        red_of, blue_of = min(((each[2], 0), (each[3], 32))), min((each[0], 0, 0), (each[4], 32, 0), (each[5], 0, 32), (each[6], 32, 32))
+        cost = each[1] + red_of[0] + blue_of[0] + (64 if mode else 0)
+        factors = (red_of[1], *blue_of[1:])
+        if any(factors) and each[0] + each[1] + each[2] <= cost + 64:
+            cost, factors = each[0] + each[1] + each[2], (0, 0, 0)
+        if cost < best:
+            best, chosen = cost, (mode, factors if any(factors) else None)
+    mode, factors = chosen
+    table = None
+    if argb.size <= 1 << 16:
+        colours, many = np.unique(argb, return_counts=True)
+        # a colour of the palette takes about as many bits as three of its bytes
+        if len(colours) <= 256 and float(_bits(many)) + 18 * len(colours) < best:
+            mode, factors, table = 0, None, colours
+    now = argb
+    if table is not None:
+        now = _with_palette(w, argb, table)
+    if mode:
+        w.write(1, 1), w.write(PREDICTOR, 2), w.write(block - 2, 3)
+        _write_image(w, np.full(blocks, mode << 8 | 0xFF000000, np.uint32))
+        now = _left_or_top(now, mode)
+    if factors:
+        w.write(1, 1), w.write(CROSS_COLOUR, 2), w.write(block - 2, 3)
+        to_red, to_blue, red_to_blue = factors
+        image = np.full(blocks, 0xFF000000 | red_to_blue << 16 | to_blue << 8 | to_red, np.uint32)
+        _write_image(w, image)
+        now = cross_colour(now, image, block, undo=False)
+    w.write(0, 1)
+    flat = np.ascontiguousarray(now).ravel()
+    _Stream(flat, now.shape[1], _copies(flat), _CACHE_BITS if table is None else 0).write(w)
     return _file(w)
 
 
+def _with_palette(w: Writer, argb: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Write the palette; the image of indices, bundled where a byte holds several."""
+    height, width = argb.shape
+    steps = _channels(table).copy()
+    steps[1:] -= _channels(table)[:-1]
+    w.write(1, 1), w.write(PALETTE, 2), w.write(len(table) - 1, 8)
+    _Stream(_packed(steps), len(table), np.empty((0, 3), np.int64), 0).write(w, main=False)
+    shift = _bundle_bits(len(table))
+    index = np.searchsorted(table, argb).astype(np.uint32)
+    index = np.pad(index, ((0, 0), (0, -width % (1 << shift)))).reshape(height, -1, 1 << shift)
+    packed = (index << (np.arange(1 << shift, dtype=np.uint32) * np.uint32(8 >> shift))).sum(2).astype(np.uint32)
+    return packed << np.uint32(8) | np.uint32(0xFF000000)
+
+
 def _references(flat: list[int], width: int) -> list[tuple]:
     """Greedy back-references: pixels (argb,) and (length, distance)."""
     out, seen, i = [], {}, 0
@@ -660,18 +931,10 @@ def encode(argb: np.ndarray, modes: np.ndarray | None = None, factors: np.ndarra
     _head(w, width, height, bool((argb >> np.uint32(24) != 255).any()))
     now = argb
     if palette:
-        table, index = np.unique(argb, return_inverse=True)
+        table = np.unique(argb)
         if len(table) > 256:
             raise ValueError("too many colours for a palette")
-        steps = _channels(table).copy()
-        steps[1:] -= _channels(table)[:-1]
-        w.write(1, 1), w.write(PALETTE, 2), w.write(len(table) - 1, 8)
-        _write_image(w, _packed(steps)[None])
-        shift = _bundle_bits(len(table))
-        index = index.reshape(argb.shape).astype(np.uint32)
-        index = np.pad(index, ((0, 0), (0, -width % (1 << shift)))).reshape(height, -1, 1 << shift)
-        packed = (index << (np.arange(1 << shift, dtype=np.uint32) * np.uint32(8 >> shift))).sum(2).astype(np.uint32)
-        now = packed << np.uint32(8) | np.uint32(0xFF000000)
+        now = _with_palette(w, argb, table)
     if modes is not None:
         w.write(1, 1), w.write(PREDICTOR, 2), w.write(bits - 2, 3)
         _write_image(w, (modes.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000))

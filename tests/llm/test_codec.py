@@ -38,22 +38,55 @@ def test_round_trips(kind, shape):
         assert (vp8l.decode(vp8l.encode(a, **o)) == a).all(), o
 
 
-@pytest.mark.parametrize("data", [b"\xff" * 576, b"a" * 5760, b"ab" * 288, bytes(range(256)) * 9, b"x" * 576 * 900, bytes(576)])
-def test_grey_images(data):
-    a = np.frombuffer(data, np.uint8).reshape(-1, 576)
-    got = vp8l.decode(vp8l.encode_grey(a))
-    assert (got >> 8 & 255 == a).all() and (got >> 24 == 255).all() and (got & 255 == a).all() and (got >> 16 & 255 == a).all()
+@pytest.mark.parametrize("kind", ["noise", "few", "two", "one", "grey", "smooth"])
+@pytest.mark.parametrize("shape", [(1, 1), (1, 7), (9, 1), (13, 17), (5, 40), (40, 192), (1030, 9)])
+def test_best_round_trips(kind, shape):
+    a = image(kind, shape, np.random.default_rng(3))
+    assert (vp8l.decode(vp8l.encode_best(a)) == a).all()
 
 
 def test_fast_and_slow_paths_agree():
     rng = np.random.default_rng(2)
-    a = rng.choice(np.array([1, 2, 3, 200], np.uint8), (40, 576), p=[0.7, 0.1, 0.1, 0.1])
-    grey = np.uint32(0xFF000000) | a.astype(np.uint32) * np.uint32(0x010101)
-    assert (vp8l.decode(vp8l.encode(grey, cache_bits=4)) == vp8l.decode(vp8l.encode_grey(a))).all()
+    for kind in ("noise", "few", "grey", "smooth"):
+        a = np.concatenate([image(kind, (30, 48), rng)] * 2)
+        a = np.concatenate([a, a[5:25], a[1:2]])
+        for o in ({}, {"cache_bits": 1}, {"cache_bits": 4, "references": True}, {"references": True, "green": True}):
+            data = vp8l.encode(a, **o)
+            fast, vp8l._fast_pixels, calls = vp8l._fast_pixels, lambda r, codes, bits, w, n: calls.append(1) or vp8l._pixels(r, [codes], None, 0, bits, w, n // w), []
+            try:
+                slow = vp8l.decode(data)
+            finally:
+                vp8l._fast_pixels = fast
+            assert calls and (slow == a).all() and (vp8l.decode(data) == a).all()
+
+
+def test_best_takes_what_is_small():
+    """Each transform, the cache and references are written where they pay, and undone."""
+    rng = np.random.default_rng(4)
+    walk = np.cumsum(rng.integers(-2, 3, (60, 192, 3)), 1).astype(np.uint8)
+    grey = np.repeat(rng.integers(0, 256, (60, 192, 1)), 3, 2).astype(np.uint8)
+    few = rng.choice(np.array([[1, 2, 3], [7, 7, 7], [9, 0, 2]], np.uint8), (20, 192))
+    words = rng.integers(0, 256, (60, 6, 3)).astype(np.uint8)
+    text = words[rng.integers(0, 60, 32 * 60)].reshape(60, 192, 3)
+    seen = {}
+    for name, samples in (("walk", walk), ("grey", grey), ("few", few), ("text", text)):
+        c = np.concatenate([samples[..., ::-1], np.full((*samples.shape[:2], 1), 255, np.uint8)], 2)
+        argb = vp8l._packed(c)
+        data = vp8l.encode_best(argb)
+        calls, originals = [], {f: getattr(vp8l, f) for f in ("undo_predictor", "cross_colour", "undo_palette", "_resolved")}
+        for f, g in originals.items():
+            setattr(vp8l, f, lambda *x, f=f, g=g, **k: calls.append(f) or g(*x, **k))
+        try:
+            assert (vp8l.decode(data) == argb).all()
+        finally:
+            for f, g in originals.items():
+                setattr(vp8l, f, g)
+        seen[name] = set(calls)
+    assert "undo_predictor" in seen["walk"] and "cross_colour" in seen["grey"] and "undo_palette" in seen["few"] and "_resolved" in seen["text"]
 
 
 def test_format_facts():
-    data = vp8l.encode_grey(np.zeros((2, 3), np.uint8))
+    data = vp8l.encode_best(np.zeros((2, 3), np.uint32))
     assert data[:4] == b"RIFF" and int.from_bytes(data[4:8], "little") == len(data) - 8 and data[8:16] == b"WEBPVP8L" and data[20] == 0x2F
     assert int.from_bytes(data[21:25], "little") & 0x3FFF == 2 and int.from_bytes(data[21:25], "little") >> 14 & 0x3FFF == 1
     assert len(vp8l.NEAR) == 120 and len(set(vp8l.NEAR)) == 120
@@ -69,7 +102,7 @@ def test_format_facts():
 
 
 def test_damage_is_noticed():
-    data = vp8l.encode_grey(np.arange(576, dtype=np.uint8).reshape(1, -1))
+    data = vp8l.encode_best(np.random.default_rng(0).integers(0, 1 << 32, (3, 192), dtype=np.uint32))
     for bad in (b"", b"RIFF" + data[4:12] + b"VP8 " + data[16:], data[:40]):
         with pytest.raises((ValueError, IndexError)):
             vp8l.decode(bad)

@@ -395,21 +395,63 @@ def test_lm_probabilities_sum_to_one():
 # ---- media, byte-level BPE, sketches
 
 
+def brute_feature(data):
+    rows = [data[k : k + 576] for k in range(0, len(data), 576)]
+    steps = sum(abs(a - b) for row in rows for a, b in zip(row, row[1:]))
+    counts = [sum(x // 16 == k for x in data) for k in range(16)]
+    return f"576x{len(rows)};sum={sum(data)};steps={steps};counts={','.join(map(str, counts))}"
+
+
 def test_media_round_trip(docs, texts, empty):
     rows = media.text_media(docs).collect()
     by = dict(texts)
     assert len(rows) == len(texts)
     for r in rows:
         data = (by[r["doc_id"]] or "").encode()
-        assert bytes(r["samples"]) == media.padded(data) and len(r["samples"]) % 576 == 0 and r["n_bytes"] == len(data)
-        assert media.load(bytes(r["media"])).tobytes() == media.padded(data)
+        full = data + b"\xff" * (max(576, -(-len(data) // 576) * 576) - len(data))
+        assert bytes(r["samples"]) == full and r["n_bytes"] == len(data) and r["feature"] == brute_feature(full)
+        assert media.load(bytes(r["media"]), len(data)).tobytes() == full
+        argb = media.vp8l.decode(bytes(r["media"]))
+        assert b"".join(bytes([p >> 16 & 255, p >> 8 & 255, p & 255]) for p in argb.ravel().tolist()) == full
     assert media.text_media(empty).collect() == []
 
 
-def test_media_splits_long_payloads():
-    data = media.padded(bytes(range(256)) * 40_000)
-    stored = media.store(data)
-    assert stored.count(b"WEBPVP8L") == 2 and media.load(stored).tobytes() == data
+def test_the_media_query_goes_through_all_of_the_decoder(spark, tmp_path):
+    """Documents that call for each transform; digests against hashlib and zlib."""
+    from courtflow.llm import queries, vp8l
+
+    r = random.Random(2)
+    walk = "".join("".join(map(chr, p)) for p in zip(*([40 + (k * s) % 80 for k in range(1200)] for s in (1, 2, 3))))
+    prose = " ".join(r.choice(["the", "of", "play", "court", "shuttle", "and"]) for _ in range(900))
+    same = "".join(3 * chr(r.randint(33, 126)) for _ in range(1500))
+    texts = [walk, prose, same, "ab " * 900, "short", "", None, "\u00e9\U0001f600" * 700]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    used = set()
+    for t in texts:
+        names = ("undo_predictor", "cross_colour", "undo_palette", "_fast_pixels", "_items", "_resolved")
+        originals = {f: getattr(vp8l, f) for f in names}
+        data = media.store(media.padded((t or "").encode()))
+        for f, g in originals.items():
+            setattr(vp8l, f, lambda *x, f=f, g=g, **k: used.add(f) or g(*x, **k))
+        try:
+            media.load(data, len((t or "").encode()))
+        finally:
+            for f, g in originals.items():
+                setattr(vp8l, f, g)
+    assert used == {"undo_predictor", "cross_colour", "undo_palette", "_fast_pixels", "_items", "_resolved"}
+    for row in queries.op7_media_columns(spark, str(tmp_path)).collect():
+        data = (texts[row["doc_id"]] or "").encode()
+        full = data + b"\xff" * (max(576, -(-len(data) // 576) * 576) - len(data))
+        stored = media.store(full)
+        assert (row["n_bytes"], row["payload_bytes"], row["media_bytes"]) == (len(data), len(full), len(stored))
+        assert row["payload_sha256"] == hashlib.sha256(full).hexdigest() and row["media_sha256"] == hashlib.sha256(stored).hexdigest()
+        assert row["tail_crc32"] == zlib.crc32(full[-32:]) and row["feature"] == brute_feature(full)
+
+
+def test_media_of_long_payloads_is_one_image():
+    data = bytes(range(256)) * 40_000
+    stored = media.store(media.padded(data))
+    assert stored.count(b"WEBPVP8L") == 1 and media.load(stored, len(data)).tobytes() == media.padded(data)
 
 
 def test_byte_bpe(docs, texts, empty):
