@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,9 +70,11 @@ class ByteBpe:
     def __init__(self, vocabulary: list[bytes], pattern: str, cache_limit: int = 300_000):
         import sentencepiece
 
-        self.vocabulary = vocabulary
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(vocabulary))
         self.letters = dict(enumerate(byte_alphabet()))
+        byte_of = {letter: b for b, letter in self.letters.items()}
+        # each piece of the model by the inverse of the byte map
+        self.bytes_of = [bytes(map(byte_of.__getitem__, self.model.IdToPiece(i))) for i in range(len(vocabulary))]
         self.find = regex.compile(pattern).findall
         self.cache = BoundedCache(self._piece, cache_limit)
 
@@ -84,7 +87,13 @@ class ByteBpe:
         return b"".join(map(self.cache.__getitem__, self.find(text)))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+@lru_cache(maxsize=2)
+def byte_bpe(vocabulary_path: str, pattern: str) -> ByteBpe:
+    """One for a worker, which outlives a task."""
+    return ByteBpe(read_ranks(vocabulary_path), pattern)
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
@@ -95,7 +104,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: s
     """
 
     def run(batches):
-        bpe = ByteBpe(read_ranks(vocabulary_path), pattern)
+        bpe = byte_bpe(vocabulary_path, pattern)
         for batch in in_parts(batches, 1):
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             decoded = [bpe.decode(i) for i in ids]

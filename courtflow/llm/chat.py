@@ -74,9 +74,10 @@ def best_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
 
     nodes: tree_id, node_id (unique in its tree), parent_id (null: a root; so is a node whose parent isn't there),
     role, text, score (null: 0). A branch's score is the sum of its nodes'; ties go to the longer branch, then to
-    the lower node_id. Nodes in or below a circle hang from no root and are on no path. Depth counts from 0.
+    the lower node_id. Nodes in or below a circle hang from no root and are on no path. Depth counts from 0. Other columns
+    aren't read, so none can clash. An empty table gives an empty one. The nodes are written once, pointers carry keys only.
     """
-    nodes = nodes.select("tree_id", "node_id", "parent_id", "role", "text", "score")
+    nodes = checkpoint(nodes.select("tree_id", "node_id", "parent_id", "role", "text", "score"))  # read three times
     levels, totals = _pointers(nodes)
     parents = nodes.where("parent_id is not null").select(F.struct("tree_id", F.col("parent_id").alias("node_id")).alias("node")).distinct()
     rank = F.row_number().over(Window.partitionBy("node.tree_id").orderBy(F.desc("sum"), F.desc("hops"), "node.node_id"))

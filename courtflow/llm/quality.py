@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, id_crc32, in_parts, keyed_text
+from .common import BoundedCache, fresh, id_crc32, in_parts, keyed_text
 
 TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\s]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -127,7 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityPar
 def score(docs: DataFrame, weights: np.ndarray, params: QualityParams = QualityParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with a column `score` (0 to 1) more; an empty or null text gets the score of the bias alone.
 
-    Every input column is kept; one named `score` is replaced.
+    Every input column is kept; one named `score` is replaced, and no other name clashes. Texts are scored whole, of any length.
+    Repeated rows have equal scores; an empty table gives an empty one.
     """
     sent, bits, keep = docs.sparkSession.sparkContext.broadcast(weights.tobytes()), params.bits, [c for c in docs.columns if c != "score"]
 
@@ -142,7 +143,7 @@ def score(docs: DataFrame, weights: np.ndarray, params: QualityParams = QualityP
             s = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], [*batch.schema.names[:-1], "score"])
 
-    given = docs.select(*keep, F.col(text_col).cast("binary").alias("__text"))
+    given = docs.select(*keep, F.col(text_col).cast("binary").alias(fresh(keep, "__text")))
     schema = docs.select(*keep).schema.add("score", "double")
     return given.mapInArrow(run, schema)
 

@@ -77,6 +77,82 @@ def test_quality_odd_rows(docs, empty, spark):
     assert quality.fit_and_score(empty, some).collect() == []
 
 
+def plain_features(text, bits):
+    """Bucket -> value, by dictionaries and Python's integers."""
+    import xxhash
+
+    mask = (1 << 64) - 1
+    tokens = re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\s]+", text)
+
+    def shape(t):
+        if t.isdigit():
+            return b"9"
+        if not re.match(rb"[0-9A-Za-z_\x80-\xff]", t):
+            return t[:4]
+        if t.isupper():
+            return b"XX" if len(t) > 1 else b"X"
+        return b"Xx" if t[:1].isupper() else b"x"
+
+    words = [xxhash.xxh64_intdigest(t.lower()) for t in tokens]
+    shapes = [xxhash.xxh64_intdigest(shape(t), 7) for t in tokens]
+    again = [k > 0 and words[k] == words[k - 1] for k in range(len(tokens))]
+    words = [0x5851F42D4C957F2D if same else w for w, same in zip(words, again)]
+    shapes = [0x5851F42D4C957F2D if same else w for w, same in zip(shapes, again)]
+    grams = [g for codes in (words, shapes) for g in [*codes, *((a * 0x9E3779B97F4A7C15 + b) & mask for a, b in zip(codes, codes[1:]))]]
+    counts = Counter(((g ^ g >> 31) * 0x9E3779B97F4A7C15 & mask) >> (64 - bits) for g in grams)
+    return {b: (n / len(grams)) ** 0.5 for b, n in counts.items()}
+
+
+def plain_ftrl(rows, p):
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else p.l1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1 if z[i] < 0 else 0.0)) / ((p.beta + n[i] ** 0.5) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for x, y in rows:
+            x = {**x, "bias": 1.0}
+            w = {i: weight(i) for i in x}
+            error = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items()))) - y
+            for i, v in x.items():
+                g = error * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / p.alpha * w[i]
+                n[i] += g * g
+    return weight
+
+
+def test_quality_against_plain_python(spark):
+    """Features, updates and scores by dictionaries; the query's own fold and threshold."""
+    import xxhash
+
+    r = random.Random(4)
+    made = [(i, " ".join(r.choice(["Good", "text", "10", "the", "THE", "a-b", "x!", "\u00e9t\u00e9", "...."]) for _ in range(r.randint(0, 40)))) for i in range(60)]
+    made += [(60, ""), (61, None), (62, "same same same")]
+    labels = [(i, int((t or "").count("Good") > 2)) for i, t in made[:40]]
+    p = quality.QualityParams(bits=12, epochs=3)
+    docs, marked = spark.createDataFrame(made, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    got = {x["doc_id"]: x["score"] for x in quality.fit_and_score(docs, marked, p).collect()}
+    by = {i: (t or "").encode() for i, t in made}
+    trained = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    trained.sort(key=lambda iy: xxhash.xxh64_intdigest(str(iy[0])))
+    weight = plain_ftrl([(plain_features(by[i], p.bits), y) for i, y in trained], p)
+    for i, text in by.items():
+        want = 1 / (1 + np.exp(-sum(weight(b) * v for b, v in plain_features(text, p.bits).items()) - weight("bias")))
+        assert abs(got[i] - want) < 2e-4, i
+
+
+def test_quality_names_cannot_clash(spark):
+    df = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id bigint, text string, __text string, ___text string")
+    row = quality.score(df, np.zeros((1 << 18) + 1, np.float32)).first()
+    assert (row["doc_id"], row["__text"], row["___text"], row["score"]) == (1, "x", "y", 0.5)
+
+
+def test_near_duplicate_names_cannot_clash(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7, 8), (2, "a b c d e f", 7, 8)], "doc_id bigint, text string, __id int, __hash int")
+    assert [tuple(x) for x in jaccard_join.one_of_each(df).collect()] == [(1, "a b c d e f", 7, 8)]
+
+
 def test_ftrl_is_sparse_and_deterministic():
     r = np.random.default_rng(0)
     rows = [(np.array([1 + k % 2, 5 + int(r.integers(50))], np.uint32), np.array([0.8, 0.6], np.float32), k % 2) for k in range(300)]
