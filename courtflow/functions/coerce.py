@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,15 +43,21 @@ def rally_id(stem) -> Column:
     return F.when(found == "", "000").otherwise(F.coalesce(found, F.lit("000")))
 
 
+def match_id(stem) -> Column:
+    """A match's id: the stem of its file with _ for blanks."""
+    return F.replace(_col(stem), F.lit(" "), F.lit("_"))
+
+
 def chart_label(rally, stem) -> Column:
-    """r<rally id>, else r<digits of the stem>, else the stem's last 12 characters, else unknown."""
-    own, digits = F.nullif(F.trim(_col(rally)), F.lit("")), F.nullif(F.regexp_extract(_col(stem), r"_rally_(\d+)$", 1), F.lit(""))
+    """r<rally id>, else r<the digits after rally_ in the stem>, else the stem's last 12 characters, else unknown."""
+    own, digits = F.nullif(_col(rally), F.lit("")), F.nullif(F.regexp_extract(_col(stem), r"rally_(\d+)", 1), F.lit(""))
     return F.coalesce(F.concat(F.lit("r"), own), F.concat(F.lit("r"), digits), F.nullif(F.right(_col(stem), F.lit(12)), F.lit("")), F.lit("unknown"))
 
 
 def safe_name(c, longest: int = 120) -> Column:
-    """A text as a file name: runs of other characters than letters, digits, _ . - become one _; none at the ends."""
-    return F.substring(F.regexp_replace(F.regexp_replace(_col(c), "[^A-Za-z0-9_.-]+", "_"), "^[._]+|[._]+$", ""), 1, longest)
+    """A text as a file name: runs of other characters than letters, digits, _ . - become one _; no . or _ at the ends; event if nothing is left."""
+    name = F.regexp_replace(F.regexp_replace(_col(c), "[^A-Za-z0-9_.-]+", "_"), "^[._]+|[._]+$", "")
+    return F.coalesce(F.nullif(F.substring(name, 1, longest), F.lit("")), F.lit("event"))
 
 
 def number_label(c, digits: int = 2) -> Column:
@@ -62,12 +68,85 @@ def percent_label(c, digits: int = 1) -> Column:
     return F.when(_col(c).isNotNull(), F.format_string(f"%.{digits}f%%", _col(c) * 100)).otherwise("—")
 
 
-def duration_label(c) -> Column:
-    """m:ss, or h:mm:ss from an hour on; null is a dash."""
-    s = F.greatest(F.floor(_col(c)), F.lit(0)).cast("bigint")
-    hours, minutes, seconds = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
-    long = F.format_string("%d:%02d:%02d", hours, minutes, seconds)
-    return F.when(_col(c).isNull(), "—").when(s >= 3600, long).otherwise(F.format_string("%d:%02d", minutes, seconds))
+def duration_label(c, approximate: bool = False) -> Column:
+    """Seconds under a minute, else minutes and hours, in the report's language; null is a dash. approximate: `about`, and `under a minute`."""
+    x = F.greatest(_col(c), F.lit(0.0))
+    minutes = F.greatest(F.floor(x / 60 + 0.5), F.lit(1))
+    hours, rest = F.floor(minutes / 60), minutes % 60
+    long = F.when(hours > 0, F.format_string("%d 小时 %d 分钟", hours, rest)).otherwise(F.format_string("%d 分钟", rest))
+    short = F.lit("不足 1 分钟") if approximate else F.format_string("%d 秒", F.floor(x))
+    return F.when(_col(c).isNull(), "—").when(x < 60, short).otherwise(F.concat(F.lit("约 "), long) if approximate else long)
+
+
+def literal_true(c) -> Column:
+    """Whether a text is 1, true or True, to the letter."""
+    return F.coalesce(_col(c).cast("string").isin("1", "true", "True"), F.lit(False))
+
+
+def literal_false(c) -> Column:
+    return F.coalesce(_col(c).cast("string").isin("0", "false", "False"), F.lit(False))
+
+
+def either_point(smoothed: tuple, raw: tuple) -> Column:
+    """struct<x,y> of each coordinate's smoothed text or, where that is blank, its raw one; null unless both are numbers."""
+    x, y = (number(F.coalesce(F.nullif(_col(s), F.lit("")), _col(r))) for s, r in zip(smoothed, raw))
+    return F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
+
+
+def shuttle_point(smoothed: tuple, raw: tuple, smoothed_valid=None, visible=None) -> Column:
+    """struct<x,y> of a shuttle row; null if it isn't valid after smoothing or, in a table that wasn't smoothed (no smoothed_valid), not visible."""
+    gone = ~literal_true(smoothed_valid) if smoothed_valid is not None else literal_false(visible) if visible is not None else F.lit(False)
+    sx, sy, x, y = (number(c) for c in (*smoothed, *raw)) if smoothed_valid is not None else (F.lit(None).cast("double"),) * 2 + tuple(number(c) for c in raw)
+    use = sx.isNotNull() & sy.isNotNull()
+    x, y = F.when(use, sx).otherwise(x), F.when(use, sy).otherwise(y)
+    return F.when(~gone & x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
+
+
+def shuttle_observed(interpolated, visibility, confidence, x, y, threshold: float) -> Column:
+    """Whether a shuttle row is a real observation: not interpolated, visible, sure enough, with both coordinates."""
+    return ~truthy(interpolated) & truthy(visibility) & (F.coalesce(finite(confidence), F.lit(0.0)) >= threshold) & finite(x).isNotNull() & finite(y).isNotNull()
+
+
+def adapt_legacy(rows: DataFrame) -> DataFrame:
+    """Track rows of the old schema, whose image_x, image_y always mean the ground, in the new one: rows without ground_image_x get the
+    ground anchor from them and an empty body anchor; others stay as they are."""
+    old = F.coalesce(F.col("ground_image_x"), F.lit("")) == ""
+    there = (F.coalesce(F.col("image_x"), F.lit("")) != "") & (F.coalesce(F.col("image_y"), F.lit("")) != "")
+    made = {
+        "schema_version": F.lit("2.0-adapted-legacy"), "ground_image_x": F.coalesce("image_x", F.lit("")), "ground_image_y": F.coalesce("image_y", F.lit("")), "ground_anchor_source": F.lit("legacy_image_xy"),
+        "ground_anchor_confidence": F.coalesce("confidence", F.lit("")), "ground_anchor_valid": F.when(there, "1").otherwise("0"), "body_image_x": F.lit(""), "body_image_y": F.lit(""),
+        "body_anchor_source": F.lit(""), "body_anchor_confidence": F.lit(""), "body_anchor_valid": F.lit("0"),
+    }
+    return rows.withColumns({n: F.when(old, v).otherwise(F.col(n) if n in rows.columns else F.lit(None).cast("string")) for n, v in made.items()})
+
+
+def cookie_source(url, default=None, youtube=None, olympics=None) -> Column:
+    """Which cookie file a URL's download takes: its site's, else the default one; files are Columns or None."""
+    lowered, or_null = F.lower(_col(url)), lambda c: F.lit(None).cast("string") if c is None else c
+    video = F.contains(lowered, F.lit("youtube.com")) | F.contains(lowered, F.lit("youtu.be"))
+    return F.when(video, F.coalesce(or_null(youtube), or_null(default))).when(F.contains(lowered, F.lit("olympics.com")), F.coalesce(or_null(olympics), or_null(default))).otherwise(or_null(default))
+
+
+def is_playlist(c) -> Column:
+    return F.coalesce(F.lower(F.trim(_col(c))) == "playlist", F.lit(False))
+
+
+def entry_count(entries) -> Column:
+    """How many downloads a list of entries stands for: those that aren't null; a null list is one."""
+    return F.when(entries.isNull(), 1).otherwise(F.size(F.array_compact(entries)))
+
+
+def unit_roi(c) -> Column:
+    """array<double> x, y, width, height of a text `x,y,width,height` that fits into the unit square; else null."""
+    parts = F.transform(F.split(_col(c), ","), lambda v: F.trim(v).try_cast("double"))
+    fits = (F.size(parts) == 4) & F.forall(parts, lambda v: F.coalesce((v >= 0) & (v <= 1), F.lit(False)))
+    at = lambda i: F.get(parts, F.lit(i))
+    return F.when(fits & (at(2) > 0) & (at(3) > 0) & (at(0) + at(2) <= 1) & (at(1) + at(3) <= 1), parts)
+
+
+def ratio(a, b) -> Column:
+    """a / b; null where b is 0."""
+    return F.try_divide(_col(a).cast("double"), _col(b).cast("double"))
 
 
 def missing_fields(names: list[str]) -> Column:

@@ -73,7 +73,99 @@ def iou(a: tuple, b: tuple) -> Column:
 
 
 def clamp_box(box: tuple, width: float, height: float) -> tuple:
-    return tuple(clamp(v, 0, most) for v, most in zip(box, (width - 1, height - 1, width - 1, height - 1)))
+    """A box moved into a frame, at least one pixel wide and high."""
+    x1, y1 = clamp(box[0], 0, width - 2), clamp(box[1], 0, height - 2)
+    return x1, y1, F.greatest(x1 + 1, F.least(F.lit(float(width - 1)), box[2])), F.greatest(y1 + 1, F.least(F.lit(float(height - 1)), box[3]))
+
+
+def shift_box(box: tuple, dx: Column, dy: Column, width: float, height: float) -> tuple:
+    """A box shifted, brought to whole pixels and moved into the frame."""
+    return clamp_box((F.round(box[0] + dx), F.round(box[1] + dy), F.round(box[2] + dx), F.round(box[3] + dy)), width, height)
+
+
+def box_height(top: Column, bottom: Column) -> Column:
+    """null unless the bottom is below the top."""
+    return F.when(bottom - top > 1e-9, bottom - top)
+
+
+def square_to_quad(corners) -> list[list[Column]]:
+    """The 3x3 matrix, of Columns, that maps the unit square's corners (0,0) (1,0) (1,1) (0,1) to four points; null for degenerate ones."""
+    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = corners
+    ax, bx, sx = x1 - x2, x3 - x2, x0 - x1 + x2 - x3
+    ay, by, sy = y1 - y2, y3 - y2, y0 - y1 + y2 - y3
+    area = ax * by - bx * ay
+    safe = F.when(F.abs(area) > 1e-12, area)
+    g, h = (sx * by - bx * sy) / safe, (ax * sy - sx * ay) / safe
+    return [[x1 - x0 + g * x1, x3 - x0 + h * x3, x0], [y1 - y0 + g * y1, y3 - y0 + h * y3, y0], [g, h, F.lit(1.0)]]
+
+
+def determinant(m) -> Column:
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
+
+
+def court_corners_from_lines(x_lines: list[tuple], y_lines: list[tuple]) -> list[tuple[Column, Column]]:
+    """The four doubles corners in the image, in or out of the frame, from two lines along the court and two across.
+
+    Each line is (metres, (x1, y1, x2, y2) in the image); metres are plain numbers. Their four intersections are a known
+    rectangle of the court, whose projection is carried on to the corners. Null for lines that are parallel in the image.
+    """
+    (xa, left), (xb, right) = sorted(x_lines, key=lambda t: t[0])
+    (ya, far), (yb, near) = sorted(y_lines, key=lambda t: t[0])
+    if xb - xa < 1e-6 or yb - ya < 1e-6:
+        raise ValueError("two different lines along the court and two across are needed")
+    h = square_to_quad([line_intersection(left, far), line_intersection(right, far), line_intersection(right, near), line_intersection(left, near)])
+    return [project(h, F.lit((x - xa) / (xb - xa)), F.lit((y - ya) / (yb - ya))) for x, y in ((0, 0), (WIDTH_M, 0), (WIDTH_M, LENGTH_M), (0, LENGTH_M))]
+
+
+#: The regulation lines of a court in metres, (name, x1, y1, x2, y2, weight).
+COURT_LINES = (
+    ("far_baseline", 0.0, 0.0, 6.10, 0.0, 1.35),
+    ("right_doubles_sideline", 6.10, 0.0, 6.10, 13.40, 1.35),
+    ("near_baseline", 6.10, 13.40, 0.0, 13.40, 1.35),
+    ("left_doubles_sideline", 0.0, 13.40, 0.0, 0.0, 1.35),
+    ("left_singles_sideline", 0.46, 0.0, 0.46, 13.40, 0.95),
+    ("right_singles_sideline", 5.64, 0.0, 5.64, 13.40, 0.95),
+    ("far_doubles_long_service", 0.0, 0.76, 6.10, 0.76, 1.0),
+    ("near_doubles_long_service", 0.0, 12.64, 6.10, 12.64, 1.0),
+    ("far_short_service", 0.0, 4.72, 6.10, 4.72, 1.15),
+    ("near_short_service", 0.0, 8.68, 6.10, 8.68, 1.15),
+    ("far_center", 3.05, 0.0, 3.05, 4.72, 0.8),
+    ("near_center", 3.05, 8.68, 3.05, 13.40, 0.8),
+    ("net", 0.0, 6.70, 6.10, 6.70, 0.35),
+)
+
+
+def projected_lines(corners) -> Column:
+    """array<struct<name,weight,x1,y1,x2,y2>>: the court's lines in the image, given its four corners there."""
+    h = square_to_quad(corners)
+    lines = []
+    for name, x1, y1, x2, y2, weight in COURT_LINES:
+        a, b = (project(h, F.lit(x / WIDTH_M), F.lit(y / LENGTH_M)) for x, y in ((x1, y1), (x2, y2)))
+        lines.append(F.struct(F.lit(name).alias("name"), F.lit(weight).alias("weight"), a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")))
+    return F.array(*lines)
+
+
+def in_court(x: Column, y: Column, margin: float = 0.0) -> Column:
+    return F.coalesce(x.between(-margin, WIDTH_M + margin) & y.between(-margin, LENGTH_M + margin), F.lit(False))
+
+
+def unit_to_pixels(corners, width: float, height: float, out_of_bounds: bool = False) -> list[tuple[Column, Column]]:
+    """Corners given by parts of the frame in pixels; null where any lies outside it, unless that is allowed."""
+    inside = reduce(lambda a, b: a & b, (v.between(0, 1) for p in corners for v in p))
+    keep = (lambda v: v) if out_of_bounds else (lambda v: F.when(inside, v))
+    return [(keep(x * width), keep(y * height)) for x, y in corners]
+
+
+def segment_features(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """struct<angle,length,mx,my> of a line segment; the angle in degrees from 0 to 180."""
+    angle = F.pmod(F.degrees(F.atan2(y2 - y1, x2 - x1)), F.lit(180.0))
+    return F.struct(angle.alias("angle"), F.hypot(x2 - x1, y2 - y1).alias("length"), ((x1 + x2) / 2).alias("mx"), ((y1 + y2) / 2).alias("my"))
+
+
+def segment_class(angle: Column) -> Column:
+    """Across the court if within 20 degrees of level, along it from 45 to 135 degrees."""
+    return F.when((angle <= 20) | (angle >= 160), "across").when(angle.between(45, 135), "along")
 
 
 def bottom_centre(box: tuple) -> tuple[Column, Column]:

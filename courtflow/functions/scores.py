@@ -12,7 +12,7 @@ from . import pose
 
 #: Weights of a frame's main-view score, and the labels that mean a main view.
 VIEW_WEIGHTS = {"court": 0.34, "geometry": 0.28, "layout": 0.18, "stability": 0.12, "line": 0.08, "reject": -0.22}
-MAIN_VIEW_LABELS = ("MAIN_VIEW", "MAIN", "COURT")
+MAIN_VIEW_LABELS = ("MAIN_VIEW", "MAIN_LIVE_VIEW", "MAIN_BIRDSEYE_LIVE")
 
 
 def view_score(parts: dict[str, Column]) -> Column:
@@ -20,18 +20,82 @@ def view_score(parts: dict[str, Column]) -> Column:
     return g.clamp(reduce(lambda a, b: a + b, (parts[k] * w for k, w in VIEW_WEIGHTS.items())), 0, 1)
 
 
-def view_reason(parts: dict[str, Column], is_main: Column, max_reject: float = 0.4) -> Column:
+def view_reason(parts: dict[str, Column], score: Column, threshold: float, max_reject: float = 0.4) -> Column:
     """The first reason why a frame is no main view; blank for one that is."""
     return (
-        F.when(is_main, "").when(parts["reject"] > max_reject, "reject_score_too_high").when(parts["court"] < 0.35, "no_court").when(parts["geometry"] < 0.35, "bad_geometry")
-        .when(parts["layout"] < 0.3, "bad_layout").otherwise("low_main_view_score")
+        F.when((score >= threshold) & (parts["reject"] < max_reject), "").when(parts["reject"] >= 0.65, "likely_closeup_or_replay").when(parts["geometry"] < 0.45, "low_court_geometry_score")
+        .when(parts["court"] < 0.45, "low_court_score").when(parts["layout"] < 0.35, "player_layout_invalid").otherwise("low_main_view_score")
     )
 
 
+def court_score(area: Column, span_x: Column, span_y: Column, lines: Column, middle: Column) -> Column:
+    """How much a frame shows of a court: its area, spans, and shares of line and middle-edge pixels."""
+    span = F.least(g.ramp(span_x, 0.42, 0.82), g.ramp(span_y, 0.35, 0.75))
+    line = F.least(g.ramp(lines, 0.07, 0.15), g.ramp(middle, 0.10, 0.20))
+    return g.clamp(0.45 * g.ramp(area, 0.10, 0.40) + 0.35 * span + 0.20 * line, 0, 1)
+
+
+def stability_score(moved: Column, has_corners: Column, has_previous: Column, width: float, height: float) -> Column:
+    """1 less the corners' mean move by the frame's diagonal over 0.08; 0 without corners, 0.75 without earlier ones."""
+    return F.when(~has_corners, 0.0).when(~has_previous, 0.75).otherwise(g.clamp(1 - moved / max((width**2 + height**2) ** 0.5, 1.0) / 0.08, 0, 1))
+
+
+def layout_score(count: Column, split: Column, largest: Column) -> Column:
+    """How much the blobs on a court look like two players: their number, whether both halves have any, the largest's share of the frame."""
+    base = F.when((count >= 2) & (count <= 5) & split, 1.0).when((count >= 2) & (count <= 6), 0.68).when(count == 1, 0.42).otherwise(0.52)
+    return F.when(count == 0, 0.15).otherwise(F.when(largest > 0.10, base * 0.5).otherwise(base))
+
+
 def label(c: Column) -> Column:
-    """A shot label in its one spelling; null for an unknown one."""
-    u = F.upper(F.trim(c))
-    return F.when(u.isin(*MAIN_VIEW_LABELS), "MAIN_VIEW").when(u.isin("OTHER", "NON_MAIN_VIEW", "CLOSE_UP", "REPLAY"), "OTHER")
+    """A shot label in its one spelling; null for an unknown one, which a reader must reject."""
+    return F.when(c.isin(*MAIN_VIEW_LABELS), "MAIN_VIEW")
+
+
+def calibration_reasons(corners, width: float, height: float, line_support: Column, least_area: float = 0.08, least_support: float = 0.15, most_outside: float = 0.0, most_condition: float = 1e10, most_error: float = 1.0) -> Column:
+    """array<string>: why four corners (clockwise from the top left) are no calibration, in the order of the checks; empty for an accepted one.
+
+    The condition number is that of the matrix from image to court, by its largest entries: no less than a ninth of the true one.
+    """
+    true = lambda c: F.coalesce(c, F.lit(False))
+    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = corners
+    finite = reduce(lambda a, b: a & b, (v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")) for p in corners for v in p))
+    outside = reduce(lambda a, b: a + b, (F.when((x >= 0) & (x < width) & (y >= 0) & (y < height), 0.0).otherwise(0.25) for x, y in corners))
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
+    turns = [turn(corners[i], corners[(i + 1) % 4], corners[(i + 2) % 4]) for i in range(4)]
+    convex = reduce(lambda a, b: a & b, (t >= 0 for t in turns)) | reduce(lambda a, b: a & b, (t <= 0 for t in turns))
+    h = g.square_to_quad(corners)
+    det = g.determinant(h)
+    (a, b, c), (d, e, f), (p, q, r) = h
+    back = [e * r - f * q, c * q - b * r, b * f - c * e, f * p - d * r, a * r - c * p, c * d - a * f, d * q - e * p, b * p - a * q, a * e - b * d]
+    top = lambda m: reduce(lambda x, y: F.greatest(x, y), map(F.abs, m))
+    condition = top([a, b, c, d, e, f, p, q, r]) * top(back) / F.abs(F.when(F.abs(det) > 1e-300, det))
+    squares = []
+    for (x, y), (u, v) in zip(corners, ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))):
+        again = g.project(h, F.lit(u), F.lit(v))
+        squares.append((again[0] - x) ** 2 + (again[1] - y) ** 2)
+    error = F.sqrt(reduce(lambda s, t: s + t, squares) / 4)
+    checks = [
+        (outside > most_outside, "corners_out_of_bounds"), (~convex, "corners_not_convex"), (~ordered_corners(corners), "corners_wrong_order"),
+        (F.abs(reduce(lambda s, t: s + t, (corners[i][0] * corners[(i + 1) % 4][1] - corners[(i + 1) % 4][0] * corners[i][1] for i in range(4)))) / 2 / (width * height) < least_area, "court_area_too_small"),
+        (condition.isNull(), "homography_invalid"), (true(condition > most_condition), "homography_ill_conditioned"), (true(error > most_error), "corner_reprojection_error"), (line_support < least_support, "court_line_support_too_low"),
+    ]
+    return F.when(~finite, F.array(F.lit("corners_non_finite"))).otherwise(F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in checks))))
+
+
+def calibration_quality(area: Column, line_support: Column, least_area: float = 0.08) -> Column:
+    return 0.8 * line_support + 0.2 * F.least(F.lit(1.0), area / max(least_area * 3, 1e-6))
+
+
+def role_score(role: str, score: Column, foot: tuple, area: Column, net_y: float, half: float, predicted: tuple | None = None, overlap: Column | None = None) -> Column:
+    """How well a detected box (foot point, area in pixels) suits the near or far player; predicted: the foot expected, overlap: of the two boxes."""
+    x, y = foot
+    below = y - net_y  # towards the near side
+    own = below if role == "near" else -below
+    s = score * 120 + F.when(own >= 0, F.least(F.lit(35.0 if role == "near" else 30.0), own * 0.22)).otherwise(own * 4.2)
+    s = s + F.least(F.lit(18.0), area / 1200) if role == "near" else s - F.abs(area - 5000) / 1400
+    if predicted is not None:
+        s = s - g.distance(x, y, *predicted) * (0.35 if role == "near" else 0.22) + overlap * 50
+    return s + F.greatest(F.lit(0.0), half - F.greatest(F.lit(0.0), -own)) * 0.18
 
 
 def box_anchors(box: tuple, confidence: Column, predicted: Column, torso: float = 0.45) -> Column:
@@ -88,7 +152,7 @@ def geometry_score(corners: list[tuple[Column, Column]], width: float, height: f
 def ordered_corners(corners: list[tuple[Column, Column]]) -> Column:
     """Whether four corners stand as top left, top right, bottom right, bottom left."""
     (ax, ay), (bx, by), (cx, cy), (dx, dy) = corners
-    return (ax < bx) & (dx < cx) & (ay < dy) & (by < cy)
+    return (ax < bx) & (dx < cx) & (ay + by < dy + cy) & (ax + dx < bx + cx)
 
 
 def expanded_roi(xs: list[Column], ys: list[Column], width: float, height: float, pad: float = 0.08) -> tuple[Column, Column, Column, Column]:

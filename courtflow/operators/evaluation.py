@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,24 +16,25 @@ def tolerance_pairs(predictions: DataFrame, references: DataFrame, keys: list[st
     return p.join(r, [*keys, "__b"]).withColumn("error", F.abs(F.col("pf") - F.col("rf"))).where(F.col("error") <= tolerance).drop("__b")
 
 
-def greedy_match(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def greedy_match(pairs: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
     """(keys, ref_id, pred_id, error): references in order of frame, each with the nearest prediction still free (of equals the first).
 
-    What is free depends on what was taken, so each key's candidate pairs (few: within the tolerance) fold in one pandas group.
+    What is free depends on what was taken, so pairs fold in order, on the JVM; references more than twice the tolerance
+    apart can't want the same prediction, so each run of nearer ones folds for itself.
     """
-    kinds = ", ".join(f"{c} {t}" for c, t in pairs.select(*keys, "ref_id", "pred_id", "error").dtypes)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for _, own in group.sort_values(["rf", "ref_id", "error", "pf", "pred_id"]).groupby(["rf", "ref_id"], sort=False):
-            free = own[~own["pred_id"].isin(taken)]
-            if len(free):
-                taken.add(free["pred_id"].iloc[0])
-                rows.append(free.iloc[[0]])
-        out = pd.concat(rows) if rows else group.iloc[:0]
-        return out[[*keys, "ref_id", "pred_id", "error"]]
-
-    return pairs.groupBy(*keys).applyInPandas(fold, kinds)
+    w = Window.partitionBy(*keys).orderBy("rf")
+    far = F.coalesce(F.col("rf") - F.lag("rf").over(w) > 2 * tolerance, F.lit(False))
+    parts = pairs.withColumn("__far", far).withColumn("__part", F.sum(F.col("__far").cast("int")).over(w))
+    sorted_ = F.array_sort(F.collect_list(F.struct("rf", "ref_id", "error", "pf", "pred_id")))
+    rows = parts.groupBy(*keys, "__part").agg(sorted_.alias("p"))
+    t = dict(pairs.dtypes)
+    kind = f"array<struct<ref_id:{t['ref_id']},pred_id:{t['pred_id']},error:{t['error']}>>"
+
+    def fold(kept, p):
+        busy = F.exists(kept, lambda m: (m["ref_id"] == p["ref_id"]) | (m["pred_id"] == p["pred_id"]))
+        return F.when(busy, kept).otherwise(F.concat(kept, F.array(F.struct(p["ref_id"].alias("ref_id"), p["pred_id"].alias("pred_id"), p["error"].alias("error")))))
+
+    return rows.select(*keys, F.explode(F.aggregate("p", F.array().cast(kind), fold)).alias("m")).select(*keys, "m.ref_id", "m.pred_id", "m.error")
 
 
 def detection_metrics(predictions: DataFrame, references: DataFrame, matches: DataFrame) -> DataFrame:

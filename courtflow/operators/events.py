@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .smoothing import by_frame
+from .smoothing import by_frame, islands
 
 
 def reversals(track: DataFrame, keys: list[str], min_angle: float, x: str = "x", y: str = "y", frame: str = "frame_id") -> DataFrame:
@@ -18,13 +18,20 @@ def reversals(track: DataFrame, keys: list[str], min_angle: float, x: str = "x",
     return track.withColumn("angle", F.when(near, angle)).where(F.col("angle") > min_angle)
 
 
+def _apart(rows: DataFrame, keys: list[str], gap: int, frame: str) -> DataFrame:
+    """rows with __part more: parts of a key with more than `gap` frames between them, which no fold below reaches across."""
+    far = F.coalesce(F.col(frame) - F.lag(frame).over(by_frame(keys, frame)) > gap, F.lit(False))
+    return islands(rows.withColumn("__far", far), keys, F.col("__far"), "__part", frame).drop("__far")
+
+
 def merge_turns(turns: DataFrame, keys: list[str], merge_frames: int, frame: str = "frame_id") -> DataFrame:
     """(keys, frame, angle): of turns within merge_frames of the last kept one the sharper stays, and the anchor moves with it.
 
-    The anchor depends on what was kept, so this is a fold over the sorted turns of a key, on the JVM.
+    The anchor depends on what was kept, so this is a fold over sorted turns, on the JVM, of one run of near turns at a time.
     """
     kind = "array<struct<f:bigint,a:double>>"
-    rows = turns.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(frame).cast("bigint").alias("f"), F.col("angle").alias("a")))).cast(kind).alias("t"))
+    parts = _apart(turns, keys, merge_frames, frame)
+    rows = parts.groupBy(*keys, "__part").agg(F.array_sort(F.collect_list(F.struct(F.col(frame).cast("bigint").alias("f"), F.col("angle").alias("a")))).cast(kind).alias("t"))
 
     def fold(kept, t):
         last = F.get(kept, F.size(kept) - 1)
@@ -61,10 +68,11 @@ def candidate_score(turn: Column, near: Column, wrist: Column) -> Column:
 def temporal_nms(candidates: DataFrame, keys: list[str], min_gap: int, score: str = "score", frame: str = "frame_id") -> DataFrame:
     """candidates less those within min_gap frames of a better one that stays; better: higher score, then earlier frame.
 
-    What stays depends on what stayed, so this is a fold over a key's candidates, on the JVM.
+    What stays depends on what stayed, so this is a fold on the JVM, of one run of near candidates at a time.
     """
     kind = "array<struct<s:double,f:bigint>>"
-    rows = candidates.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct((-F.col(score)).alias("s"), F.col(frame).cast("bigint").alias("f")))).cast(kind).alias("c"))
+    parts = _apart(candidates, keys, min_gap - 1, frame)
+    rows = parts.groupBy(*keys, "__part").agg(F.array_sort(F.collect_set(F.struct((-F.col(score)).alias("s"), F.col(frame).cast("bigint").alias("f")))).cast(kind).alias("c"))
     fold = lambda kept, c: F.when(F.exists(kept, lambda o: F.abs(o["f"] - c["f"]) < min_gap), kept).otherwise(F.concat(kept, F.array(c)))
     stays = rows.select(*keys, F.explode(F.aggregate("c", F.array().cast(kind), fold)).alias("e")).select(*keys, F.col("e.f").alias(frame), (-F.col("e.s")).alias(score))
     return candidates.join(stays, [*keys, frame, score])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,27 +37,34 @@ def without_model(rows: DataFrame, features: str, reason: str) -> DataFrame:
     return d.withColumn("model_reject_reason", F.lit(reason))
 
 
-def persistent_changes(samples: DataFrame, key: str, feature: str, frame: str = "frame_id", stable: float = 0.008, least: float = 0.014, reset: float = 0.055, hold: int = 3) -> DataFrame:
-    """(key, frame, change): where a numeric fingerprint, steady over `hold` samples, has moved from its last reference by at least `least`; a move of `reset` or more only renews the reference.
+def persistent_changes(samples: DataFrame, key: str, bits: str, fps: float, frame: str = "frame_id", stable: float = 0.008, least: float = 0.014, reset: float = 0.05, hold: int = 3, seconds: float = 2.0) -> DataFrame:
+    """(key, frame, change): where a bit fingerprint (array of 0 and 1) has persistently changed, with the share of bits that did.
 
-    Each reference depends on the one before, so one small group a video folds in order.
+    The last `hold` samples, within so many seconds, vote on each bit; if none of them differs from the vote by more than `stable`, it is
+    steady. The first steady vote is the reference. A later one that differs by over `least` is a change, given by the middle sample's frame, and the new
+    reference; one that differs by `reset` or more only is the new reference. After either, samples gather anew.
+
+    Each reference depends on the one before, so a video folds in order; it holds `hold` samples at a time besides its rows.
     """
     kind = dict(samples.dtypes)
 
     def fold(video: pd.DataFrame) -> pd.DataFrame:
-        video, reference, out = video.sort_values(frame), None, []
-        values, frames = video[feature].to_numpy(float), video[frame].to_numpy()
-        for i in range(hold - 1, len(values)):
-            last = values[i - hold + 1 : i + 1]
-            if last.max() - last.min() > stable:
+        video, reference, recent, out = video.sort_values(frame), None, [], []
+        k = video[key].iloc[0]
+        for f, x in zip(video[frame].tolist(), video[bits]):
+            recent = [*recent, (f, np.asarray(x, np.int8))][-hold:]
+            if len(recent) < hold or recent[-1][0] - recent[0][0] > int(seconds * fps):
+                continue
+            vote = (np.median(np.stack([b for _, b in recent]), axis=0) >= 0.5).astype(np.int8)
+            if max(float((vote != b).mean()) for _, b in recent) > stable:
                 continue
-            now = float(pd.Series(last).median())
-            moved = 0.0 if reference is None else abs(now - reference)
-            if reference is None or moved >= reset:
-                reference = now
-            elif moved >= least:
-                out.append((video[key].iloc[0], frames[i], moved))
-                reference = now
+            moved = 0.0 if reference is None else float((vote != reference).mean())
+            if reference is None:
+                reference = vote
+            elif moved > least:
+                if moved < reset:
+                    out.append((k, recent[hold // 2][0], moved))
+                reference, recent = vote, []
         return pd.DataFrame(out, columns=[key, frame, "change"])
 
     return samples.groupBy(key).applyInPandas(fold, f"{key} {kind[key]}, {frame} {kind[frame]}, change double")

@@ -106,8 +106,9 @@ def within_intervals(samples: DataFrame, intervals: DataFrame, keys: list[str],
 
 
 def latest_before(changes: DataFrame, intervals: DataFrame, keys: list[str], slack: int, max_lag: int, frame: str = "frame_id") -> DataFrame:
-    """For each change the latest interval that began by then, ended at most `slack` after and max_lag before it; consecutive repeats go."""
-    near = changes.join(intervals, keys).where((F.col("start_frame") <= F.col(frame)) & (F.col(frame) <= F.col("end_frame") + slack) & (F.col(frame) - F.col("end_frame") <= max_lag))
+    """For each change the latest interval that began by then, ends at most `slack` after it and ended at most max_lag before it; consecutive repeats go."""
+    reach = intervals.select(*keys, "start_frame", "end_frame", F.greatest(F.col("start_frame"), F.col("end_frame") - slack).alias("__from"), (F.col("end_frame") + max_lag + 1).alias("__to"))
+    near = within_intervals(changes, reach, keys, frame, "__from", "__to")
     best = near.groupBy(*keys, frame).agg(F.max(F.struct("end_frame", "start_frame")).alias("i")).select(*keys, frame, F.col("i.start_frame").alias("start_frame"), F.col("i.end_frame").alias("end_frame"))
     w = by_frame(keys, frame)
     again = (F.lag("start_frame").over(w) == F.col("start_frame")) & (F.lag("end_frame").over(w) == F.col("end_frame"))

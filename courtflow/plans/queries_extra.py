@@ -69,7 +69,7 @@ QUADS = BOXES + ", q AS (SELECT *, x2 + 5 AS q, y2 + 3 AS w FROM b)"
 
 
 @query("geo27_geometry_score", QUADS + f""", s AS (SELECT *, abs((x1 * v1 - x2 * y1) + (x2 * y2 - q * v1) + (q * w - u1 * y2) + (u1 * y1 - x1 * w)) / 2 / 8000 AS area, x2 - x1 AS top, q - u1 AS bottom FROM q)
-SELECT l_orderkey, l_linenumber, {r("0.5 * least(1, greatest(0, (area - 0.05) / 0.3)) + 0.3 * least(1, greatest(0, (bottom / 100 - 0.2) / 0.4)) + 0.2 * CASE WHEN top > 1e-6 AND bottom > 1e-6 THEN least(1, greatest(0, 1 - abs(ln(bottom / nullif(top, 0)) - 0.5))) ELSE 0 END", "score", 5)}, x1 < x2 AND u1 < q AND y1 < w AND v1 < y2 AS ordered FROM s WHERE top NOT BETWEEN -1e-3 AND 1e-3""")
+SELECT l_orderkey, l_linenumber, {r("0.5 * least(1, greatest(0, (area - 0.05) / 0.3)) + 0.3 * least(1, greatest(0, (bottom / 100 - 0.2) / 0.4)) + 0.2 * CASE WHEN top > 1e-6 AND bottom > 1e-6 THEN least(1, greatest(0, 1 - abs(ln(bottom / nullif(top, 0)) - 0.5))) ELSE 0 END", "score", 5)}, x1 < x2 AND u1 < q AND y1 + v1 < w + y2 AND x1 + u1 < x2 + q AS ordered FROM s WHERE top NOT BETWEEN -1e-3 AND 1e-3""")
 def geo27(spark, sf):
     b, corners = _quads(spark, sf)
     d = b.where(F.abs(F.col("x2") - F.col("x1")) > 1e-3).withColumns({"score": scores.geometry_score(corners, 100, 80), "ordered": scores.ordered_corners(corners)})
@@ -261,10 +261,22 @@ def win32(spark, sf):
     return d.withColumn("x", x).select("k", "target", _r("x"))
 
 
-@query("win16_persistent_changes")
+CHANGED = "WITH RECURSIVE " + views.TRACK + """, o AS (SELECT k, frame_id, (1::BIGINT << CAST(floor(x / 11) AS INT)) - 1 AS m, row_number() OVER (PARTITION BY k ORDER BY frame_id) AS n FROM track),
+r AS (SELECT *, m AS c, (m & a) | (m & b) | (a & b) AS vote, bit_count(xor((m & a) | (m & b) | (a & b), m)) = 0 AND bit_count(xor((m & a) | (m & b) | (a & b), a)) = 0 AND bit_count(xor((m & a) | (m & b) | (a & b), b)) = 0 AND frame_id - f2 <= 12 AS steady
+  FROM (SELECT *, lag(m) OVER w AS b, lag(m, 2) OVER w AS a, lag(frame_id) OVER w AS f1, lag(frame_id, 2) OVER w AS f2 FROM o WINDOW w AS (PARTITION BY k ORDER BY n))),
+fold AS (
+  SELECT k, 0::BIGINT AS n, NULL::BIGINT AS ref, 0::BIGINT AS since, NULL::BIGINT AS frame_id, NULL::DOUBLE AS change FROM (SELECT DISTINCT k FROM o)
+  UNION ALL SELECT k, n, CASE WHEN ok AND (ref IS NULL OR d > 0.014) THEN vote ELSE ref END, CASE WHEN ok AND ref IS NOT NULL AND d > 0.014 THEN n ELSE since END, CASE WHEN ok AND d > 0.014 AND d < 0.05 THEN f1 END, CASE WHEN ok AND d > 0.014 AND d < 0.05 THEN d END
+  FROM (SELECT r.k, r.n, f.ref, f.since, r.vote, r.f1, r.n - f.since >= 3 AND r.steady AS ok, bit_count(xor(r.vote, f.ref)) / 64.0::DOUBLE AS d FROM fold f JOIN r ON r.k = f.k AND r.n = f.n + 1)
+)"""
+
+
+@query("win16_persistent_changes", CHANGED + " SELECT k, frame_id, change FROM fold WHERE change IS NOT NULL")
 def win16(spark, sf):
-    t = views.track(spark, sf).select("k", "frame_id", (F.floor(F.col("x") / 40) / 50).alias("f"))
-    return seams.persistent_changes(t, "k", "f")
+    """Fingerprints of 64 bits, as many of them set as the value has elevens."""
+    level = F.floor(F.col("x") / 11)
+    t = views.track(spark, sf).select("k", "frame_id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i < level, 1).otherwise(0)).alias("bits"))
+    return seams.persistent_changes(t, "k", "bits", 6.0)
 
 
 @query("elg05_input_eligibility", f"WITH {WIN}, ea AS (SELECT k, event_id, count(*) FILTER (confidence >= 0.5) / count(*) AS p, count(*) FILTER (x > 20) / count(*) AS s FROM w GROUP BY ALL) SELECT k, event_id, CASE WHEN p < 0.4 THEN 'insufficient_pose' WHEN s < 0.15 THEN 'insufficient_shuttle' ELSE '' END AS reason FROM ea")

@@ -89,12 +89,12 @@ PARTS = {"court": "x1 / 60", "geometry": "y1 / 12", "layout": "u1 / 40", "stabil
 
 
 @query("geo30_view_score", BOXES + f""", p AS (SELECT l_orderkey, l_linenumber, {', '.join(f'least(1, {v}) AS p_{k}' for k, v in PARTS.items())} FROM b), s AS (SELECT *, least(1, greatest(0, 0.34::DOUBLE * p_court + 0.28::DOUBLE * p_geometry + 0.18::DOUBLE * p_layout + 0.12::DOUBLE * p_stability + 0.08::DOUBLE * p_line - 0.22::DOUBLE * p_reject)) AS score FROM p)
-SELECT l_orderkey, l_linenumber, {r('score')}, CASE WHEN score >= 0.6 THEN '' WHEN p_reject > 0.4 THEN 'reject_score_too_high' WHEN p_court < 0.35 THEN 'no_court' WHEN p_geometry < 0.35 THEN 'bad_geometry' WHEN p_layout < 0.3 THEN 'bad_layout' ELSE 'low_main_view_score' END AS reason FROM s""")
+SELECT l_orderkey, l_linenumber, {r('score')}, CASE WHEN score >= 0.6 AND p_reject < 0.4 THEN '' WHEN p_reject >= 0.65 THEN 'likely_closeup_or_replay' WHEN p_geometry < 0.45 THEN 'low_court_geometry_score' WHEN p_court < 0.45 THEN 'low_court_score' WHEN p_layout < 0.35 THEN 'player_layout_invalid' ELSE 'low_main_view_score' END AS reason FROM s""")
 def geo30(spark, sf):
     size = {"court": ("x1", 60), "geometry": ("y1", 12), "layout": ("u1", 40), "stability": ("v1", 17), "line": ("x2", 90), "reject": ("y2", 60)}
     parts = {k: F.least(F.lit(1.0), F.col(c) / n) for k, (c, n) in size.items()}
     b = _boxes(spark, sf).withColumn("score", scores.view_score(parts))
-    return b.select("l_orderkey", "l_linenumber", _r("score"), scores.view_reason(parts, F.col("score") >= 0.6).alias("reason"))
+    return b.select("l_orderkey", "l_linenumber", _r("score"), scores.view_reason(parts, F.col("score"), 0.6).alias("reason"))
 
 
 @query("geo22_box_anchors", BOXES + f" SELECT l_orderkey, l_linenumber, {r('(x1 + x2) / 2', 'ground_x')}, {r('y2', 'ground_y')}, {r('y1 + (y2 - y1) * 0.45::DOUBLE', 'body_y')}, CASE WHEN l_linenumber % 2 = 0 THEN 0.4::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM b")
@@ -123,9 +123,10 @@ def geo15(spark, sf):
     return p.select("rally_id", "frame_id", "player_id", _r("depth"), g.zone(F.col("depth")).alias("zone"))
 
 
-@query("prj10_labels", """SELECT event_id, CASE event_type WHEN 'click' THEN 'MAIN_VIEW' WHEN 'view' THEN 'MAIN_VIEW' WHEN 'signup' THEN 'OTHER' END AS label FROM events""")
+@query("prj10_labels", """SELECT event_id, CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'MAIN_VIEW' END AS label FROM events""")
 def prj10(spark, sf):
-    raw = F.when(F.col("event_type") == "click", " main_view").when(F.col("event_type") == "view", "Court").when(F.col("event_type") == "signup", "replay").otherwise(F.col("event_type"))
+    kind = F.col("event_type")
+    raw = F.when(kind == "click", "MAIN_VIEW").when(kind == "view", "MAIN_LIVE_VIEW").when(kind == "signup", "MAIN_BIRDSEYE_LIVE").when(kind == "error", " main_view").otherwise("REPLAY")
     return views.table(spark, sf, "events").select("event_id", scores.label(raw).alias("label"))
 
 

@@ -52,7 +52,7 @@ def geo01(spark, sf):
 
 
 @query("geo16_iou", BOXES + f""", o AS (SELECT *, greatest(0, least(x2, u1 + 15) - greatest(x1, u1)) * greatest(0, least(y2, v1 + 9) - greatest(y1, v1)) AS i, greatest(0, x2 - x1) * greatest(0, y2 - y1) + 135 AS a FROM b)
-SELECT l_orderkey, l_linenumber, {r('CASE WHEN a - i > 0 THEN i / (a - i) ELSE 0 END', 'iou')}, {r('(x1 + x2) / 2', 'cx')}, {r('y2', 'cy')}, {r('least(greatest(x2, 0), 39)', 'clamped')}, {r('least(1, greatest(0, (x1 - 10) / 20))', 'ramp')} FROM o""")
+SELECT l_orderkey, l_linenumber, {r('CASE WHEN a - i > 0 THEN i / (a - i) ELSE 0 END', 'iou')}, {r('(x1 + x2) / 2', 'cx')}, {r('y2', 'cy')}, {r('greatest(least(greatest(x1, 0), 38) + 1, least(x2, 39))', 'clamped')}, {r('least(1, greatest(0, (x1 - 10) / 20))', 'ramp')} FROM o""")
 def geo16(spark, sf):
     b = _boxes(spark, sf)
     box, other = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), (F.col("u1"), F.col("v1"), F.col("u1") + 15, F.col("v1") + 9)

@@ -75,22 +75,32 @@ def trk19(spark, sf):
     return tracking.region_players(b, ["l_orderkey"], F.when(F.col("y2") < 300, "upper").otherwise("lower"))
 
 
-@query("cal08_clusters")
+CLUSTERED = f"""WITH RECURSIVE {DETECTIONS}, o AS (SELECT * REPLACE (round(score, 2) AS score), row_number() OVER (PARTITION BY video ORDER BY frame_id, round(score, 2) DESC, x1, y1) AS n FROM d), fold AS (
+  SELECT video, n, frame_id, x1, y1, score, [struct_pack(x := x1, y := y1, at := frame_id, q := score)] AS leaders, 1::BIGINT AS c FROM o WHERE n = 1
+  UNION ALL SELECT video, n, frame_id, x1, y1, score, CASE WHEN hit IS NULL THEN list_append(leaders, struct_pack(x := x1, y := y1, at := frame_id, q := score)) ELSE leaders END, coalesce(hit, len(leaders) + 1) FROM (
+    SELECT o.*, f.leaders, list_position(list_transform(f.leaders, lambda l: sqrt(((l.x - o.x1) / 1920) ** 2 + ((l.y - o.y1) / 1080) ** 2) <= 0.04::DOUBLE), true) AS hit FROM fold f JOIN o ON o.video = f.video AND o.n = f.n + 1)
+), members AS (SELECT video, c - 1 AS cluster, frame_id, max(score) AS quality, min(n) AS n FROM fold GROUP BY ALL),
+sizes AS (SELECT video, cluster, count(*) AS size, sum(quality) AS total FROM members GROUP BY ALL), best AS (SELECT video, cluster, size FROM sizes QUALIFY row_number() OVER (PARTITION BY video ORDER BY size DESC, round(total, 6) DESC, cluster) = 1),
+many AS (SELECT video, count(*) AS candidates FROM o GROUP BY video)"""
+
+
+@query("cal08_clusters", CLUSTERED + """ SELECT m.video, m.frame_id, m.quality, m.cluster, candidates < 2 OR m.cluster = b.cluster AS is_stable,
+  candidates >= 2 AND m.cluster = b.cluster AND b.size >= 2 AND row_number() OVER (PARTITION BY m.video, m.cluster ORDER BY quality DESC, n) = 1 AS is_chosen FROM members m JOIN best b USING (video) JOIN many USING (video)""")
 def cal8(spark, sf):
     x, y = F.col("x1"), F.col("y1")
     corners = F.array(F.array(x, y), F.array(x + 600, y), F.array(x + 600, y + 400), F.array(x, y + 400))
-    d = _boxes(spark, sf).select("video", "frame_id", corners.alias("corners"), F.col("score").alias("quality"))
+    d = _boxes(spark, sf).select("video", "frame_id", corners.alias("corners"), F.round("score", 2).alias("quality"))
     return tracking.leader_clusters(d, "video", 0.04, 1920, 1080)
 
 
 DEDUPED = f"""WITH RECURSIVE {DETECTIONS}, s AS (SELECT DISTINCT video, x1, y1, x2, y2 FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) DESC, x1, y1, x2, y2) AS n FROM s), fold AS (
   SELECT video, n, x1, y1, x2, y2, [struct_pack(a := x1, b := y1, c := x2, d := y2)] AS kept, true AS stays FROM o WHERE n = 1
   UNION ALL SELECT video, n, x1, y1, x2, y2, CASE WHEN fresh THEN list_append(kept, struct_pack(a := x1, b := y1, c := x2, d := y2)) ELSE kept END, fresh FROM (
-    SELECT o.*, f.kept, len(list_filter(f.kept, lambda q: sqrt((q.a - o.x1) ** 2 + (q.b - o.y1) ** 2) <= 60 AND sqrt((q.c - o.x2) ** 2 + (q.d - o.y2) ** 2) <= 60)) = 0 AS fresh FROM fold f JOIN o ON o.video = f.video AND o.n = f.n + 1)
+    SELECT o.*, f.kept, len(list_filter(f.kept, lambda q: abs((q.a + q.c) / 2 - (o.x1 + o.x2) / 2) <= 20)) = 0 AS fresh FROM fold f JOIN o ON o.video = f.video AND o.n = f.n + 1)
 )"""
 
 
 @query("cal05_segment_dedupe", DEDUPED + " SELECT video, x1, y1, x2, y2 FROM fold WHERE stays")
 def cal5(spark, sf):
     d = _boxes(spark, sf).select("video", "x1", "y1", "x2", "y2")
-    return tracking.drop_near_segments(d, ["video"], 60.0)
+    return tracking.drop_near_segments(d, ["video"], 20.0)

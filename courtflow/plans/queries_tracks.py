@@ -42,7 +42,7 @@ def prj01(spark, sf):
 
 @query("prj06_labels", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '000' ELSE CAST(c_custkey AS VARCHAR) END AS rally_id,
   CASE WHEN c_custkey % 3 <> 0 THEN 'r' || CAST(c_custkey AS VARCHAR) ELSE right(c_name, 12) END AS chart_label, regexp_replace(c_mktsegment || ' / ' || c_name, '[^A-Za-z0-9_.-]+', '_', 'g') AS safe_name,
-  printf('%.2f', c_acctbal) AS number_label, CASE WHEN c_custkey % 7200 >= 3600 THEN printf('%d:%02d:%02d', c_custkey % 7200 // 3600, c_custkey % 7200 % 3600 // 60, c_custkey % 60) ELSE printf('%d:%02d', c_custkey % 7200 // 60, c_custkey % 60) END AS duration_label FROM customer""")
+  printf('%.2f', c_acctbal) AS number_label, CASE WHEN c_custkey % 7200 < 60 THEN CAST(c_custkey % 7200 AS VARCHAR) || ' 秒' WHEN (c_custkey % 7200 + 30) // 60 >= 60 THEN printf('%d 小时 %d 分钟', (c_custkey % 7200 + 30) // 60 // 60, (c_custkey % 7200 + 30) // 60 % 60) ELSE printf('%d 分钟', greatest(1, (c_custkey % 7200 + 30) // 60)) END AS duration_label FROM customer""")
 def prj06(spark, sf):
     c = views.table(spark, sf, "customer")
     stem = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit("_rally_"), F.col("c_custkey").cast("string")))
@@ -224,7 +224,7 @@ def joi07(spark, sf):
     return segments.within_intervals(views.samples(spark, sf), iv, K).select("k", "frame_id", "start_frame", "end_frame")
 
 
-@query("joi08_latest_before", DECIDED.rstrip() + f""", {IV2}, n AS (SELECT s.k, s.frame_id, iv.start_frame, iv.end_frame FROM samples s JOIN iv ON iv.k = s.k AND iv.start_frame <= s.frame_id AND s.frame_id <= iv.end_frame + 2 AND s.frame_id - iv.end_frame <= 6 WHERE event_type = 'purchase'
+@query("joi08_latest_before", DECIDED.rstrip() + f""", {IV2}, n AS (SELECT s.k, s.frame_id, iv.start_frame, iv.end_frame FROM samples s JOIN iv ON iv.k = s.k AND iv.start_frame <= s.frame_id AND iv.end_frame <= s.frame_id + 2 AND s.frame_id - iv.end_frame <= 6 WHERE event_type = 'purchase'
   QUALIFY row_number() OVER (PARTITION BY s.k, s.frame_id ORDER BY iv.end_frame DESC, iv.start_frame DESC) = 1) SELECT * FROM n QUALIFY NOT coalesce(lag(start_frame) OVER (PARTITION BY k ORDER BY frame_id) = start_frame AND lag(end_frame) OVER (PARTITION BY k ORDER BY frame_id) = end_frame, false)""")
 def joi08(spark, sf):
     iv = win12(spark, sf).where("status = 'accepted'").select("k", "start_frame", "end_frame")

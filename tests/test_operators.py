@@ -148,7 +148,7 @@ def test_intervals(spark):
 def test_greedy_match(spark):
     p = spark.createDataFrame([("v", 1, 10), ("v", 2, 12), ("v", 3, 50)], "k string, id bigint, frame_id bigint")
     q = spark.createDataFrame([("v", 7, 11), ("v", 8, 12), ("v", 9, 80)], "k string, id bigint, frame_id bigint")
-    m = evaluation.greedy_match(evaluation.tolerance_pairs(p, q, ["k"], 3), ["k"])
+    m = evaluation.greedy_match(evaluation.tolerance_pairs(p, q, ["k"], 3), ["k"], 3)
     assert sorted((r["ref_id"], r["pred_id"]) for r in m.collect()) == [(7, 1), (8, 2)]
     d = evaluation.detection_metrics(p, q, m).first()
     assert (d["true_positives"], d["false_positives"], d["false_negatives"], d["precision"]) == (2, 1, 1, pytest.approx(2 / 3))
