@@ -166,3 +166,28 @@ def court_point(valid, smoothed: tuple[str, str], raw: tuple[str, str]) -> Colum
     """struct<x,y>: the smoothed point alone, null or not, if its row is valid; else the raw one."""
     use = F.coalesce(_col(valid), F.lit(False))
     return F.struct(*(F.when(use, F.col(s)).otherwise(F.col(r)).alias(n) for n, s, r in zip("xy", smoothed, raw)))
+
+
+def clean_struct(c: Column, kind: str) -> Column:
+    """A nested value of a declared type with null for every number in it that isn't finite."""
+    from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType
+
+    def walk(v: Column, t) -> Column:
+        if isinstance(t, (DoubleType, FloatType)):
+            return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+        if isinstance(t, StructType):
+            return F.when(v.isNotNull(), F.struct(*(walk(v[f.name], f.dataType).alias(f.name) for f in t.fields)))
+        if isinstance(t, ArrayType):
+            return F.transform(v, lambda x: walk(x, t.elementType))
+        if isinstance(t, MapType):
+            return F.transform_values(v, lambda _, x: walk(x, t.valueType))
+        return v
+
+    return walk(c, StructType.fromDDL(f"v {kind}")["v"].dataType)
+
+
+def corner_text(c) -> Column:
+    """array<array<double>> of a text `x,y;x,y;x,y;x,y` of four points within -2 and 3; else null."""
+    points = F.transform(F.split(_col(c), ";"), lambda p: F.transform(F.split(F.trim(p), ","), lambda v: F.trim(v).try_cast("double")))
+    good = lambda p: (F.size(p) == 2) & F.forall(p, lambda v: F.coalesce(v.between(-2, 3), F.lit(False)))
+    return F.when((F.size(points) == 4) & F.forall(points, good), points)

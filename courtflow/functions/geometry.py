@@ -139,11 +139,16 @@ COURT_LINES = (
 def projected_lines(corners) -> Column:
     """array<struct<name,weight,x1,y1,x2,y2>>: the court's lines in the image, given its four corners there."""
     h = square_to_quad(corners)
-    lines = []
-    for name, x1, y1, x2, y2, weight in COURT_LINES:
-        a, b = (project(h, F.lit(x / WIDTH_M), F.lit(y / LENGTH_M)) for x, y in ((x1, y1), (x2, y2)))
-        lines.append(F.struct(F.lit(name).alias("name"), F.lit(weight).alias("weight"), a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")))
-    return F.array(*lines)
+    matrix = F.struct(*(v.alias(f"m{i}{j}") for i, row in enumerate(h) for j, v in enumerate(row)))
+    known = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"), *(F.lit(v).alias(k) for k, v in zip(("x1", "y1", "x2", "y2"), (x1 / WIDTH_M, y1 / LENGTH_M, x2 / WIDTH_M, y2 / LENGTH_M)))) for n, x1, y1, x2, y2, w in COURT_LINES))
+
+    def in_image(m, line):
+        at = [[m[f"m{i}{j}"] for j in range(3)] for i in range(3)]
+        (ax, ay), (bx, by) = project(at, line["x1"], line["y1"]), project(at, line["x2"], line["y2"])
+        return F.struct(line["name"].alias("name"), line["weight"].alias("weight"), ax.alias("x1"), ay.alias("y1"), bx.alias("x2"), by.alias("y2"))
+
+    # the matrix is bound once: written out in each line's four numbers it would be a plan of its own
+    return F.get(F.transform(F.array(matrix), lambda m: F.transform(known, lambda line: in_image(m, line))), F.lit(0))
 
 
 def in_court(x: Column, y: Column, margin: float = 0.0) -> Column:

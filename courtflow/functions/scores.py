@@ -183,3 +183,19 @@ def pose_box(keypoints: Column, pad: float, width: float, height: float) -> Colu
 
 def quality_reason(outlier: Column, absurd: Column, boundary: Column) -> Column:
     return F.when(absurd > 0.05, "absurd_projection").when(outlier > 0.3, "too_many_outliers").when(boundary > 0.5, "boundary_pile_up").otherwise("")
+
+
+def mode_for_roles(roles: Column) -> Column:
+    """The analysis that a run's configured roles allow."""
+    return F.when(F.array_distinct(roles) == F.array(F.lit("near")), "near_only").otherwise("experimental_two_player")
+
+
+def representative_frames(count: Column) -> Column:
+    """array<bigint> of the frames at 50, 35, 65, 20 and 80 % of a video, each once; frame 0 of an empty one."""
+    at = F.transform(F.array(*(F.lit(p) for p in (50, 35, 65, 20, 80))), lambda p: F.least(count - 1, F.floor(count * p / 100)).cast("bigint"))
+    return F.when(count <= 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.array_distinct(at))
+
+
+def carried(place: Column, velocity: Column, misses: Column, fade: float = 0.82, least: float = 0.25) -> Column:
+    """Where a missed player is expected: on by its velocity, which fades with each miss."""
+    return place + velocity * F.greatest(F.lit(least), F.pow(F.lit(fade), misses))

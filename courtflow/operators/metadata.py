@@ -22,3 +22,9 @@ def metadata_errors(matches: DataFrame, required: list[str]) -> DataFrame:
 def register(matches: DataFrame, new: DataFrame) -> DataFrame:
     """matches and those of new whose match_id isn't there yet."""
     return matches.unionByName(new.join(matches.select("match_id"), "match_id", "left_anti"), allowMissingColumns=True)
+
+
+def review_template(rallies: DataFrame, fields: list[str]) -> DataFrame:
+    """A rally table's declared fields with the columns that a reviewer fills in, all pending."""
+    blank = {n: F.lit("") for n in ("corrected_start_time", "corrected_end_time", "review_notes")}
+    return rallies.select(*fields).withColumns({"review_status": F.lit("pending"), **blank})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import coerce
 from ..functions import geometry as g
 from .smoothing import by_frame
 
@@ -124,3 +125,19 @@ def projection_quality(positions: DataFrame, keys: list[str], x: str = "court_x"
     share = lambda c: F.avg(c.cast("int"))
     made = positions.where(px.isNotNull() & py.isNotNull()).groupBy(*keys).agg(F.count("*").alias("rows"), share(off).alias("outlier_ratio"), share(far).alias("absurd_ratio"), share(edge).alias("boundary_ratio"))
     return made.withColumn("quality_score", g.clamp(1 - F.col("outlier_ratio") - F.col("absurd_ratio") - 0.5 * F.col("boundary_ratio"), 0, 1))
+
+
+def usable_shuttle(rows: DataFrame, keys: list[str], frame: str = "frame_id") -> DataFrame:
+    """(keys, frame, x, y, n): a smoothed shuttle track's points (texts sx, sy, x, y, ok) that tactics may use, numbered by frame."""
+    p = coerce.either_point(("sx", "sy"), ("x", "y"))
+    d = rows.where(coerce.literal_true("ok")).select(*keys, frame, p.alias("p")).where("p is not null")
+    return d.select(*keys, frame, "p.x", "p.y", F.row_number().over(Window.partitionBy(*keys).orderBy(frame)).alias("n"))
+
+
+def chart_points(rows: DataFrame, min_confidence: float) -> DataFrame:
+    """Player rows that a chart shows, with x and y: near or far, valid after smoothing, sure enough, on the court. A smoothed
+    coordinate of 0 counts as none, as for null."""
+    pick = lambda s, r: F.coalesce(F.nullif(F.col(s), F.lit(0.0)), F.col(r))
+    d = rows.where(F.col("player_id").isin("near", "far") & (F.col("is_smoothed_valid") == 1) & (F.col("confidence") >= min_confidence))
+    d = d.withColumns({"x": pick("smoothed_court_x", "court_x"), "y": pick("smoothed_court_y", "court_y")})
+    return d.where(F.col("x").between(0, g.WIDTH_M) & F.col("y").between(0, g.LENGTH_M))

@@ -82,6 +82,11 @@ def trusted_frame_count(container: str, decoded: str):
     return F.when(F.abs(a - b) <= F.greatest(F.lit(1.0), b * 0.05), a).otherwise(b)
 
 
+def missing_columns(columns: list[str], required: list[str]) -> list[str]:
+    """Those required columns that aren't there, in order."""
+    return [c for c in required if c not in columns]
+
+
 @dataclass(frozen=True)
 class Contract:
     name: str
@@ -94,7 +99,7 @@ def inspect_table(spark: SparkSession, name: str, path: str, required: list[str]
     if not path_exists(spark, path):
         return Contract(name, "MISSING", path)
     d = spark.read.csv(path, header=True)
-    lacks = [c for c in required if c not in d.columns]
+    lacks = missing_columns(d.columns, required)
     if lacks:
         return Contract(name, "INVALID", f"missing columns: {', '.join(lacks)}")
     found = d.limit(max(1, min_rows)).count()
