@@ -172,20 +172,25 @@ def read_code(r: Reader, alphabet: int) -> Code:
     code = _length_code(r.read(3 * many), many)
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else alphabet
     symbols, sizes, mask = code
-    ahead, used, at, last, out = int.from_bytes(r.data[r.at >> 3 : (r.at >> 3) + 700], "little") >> (r.at & 7), 0, 0, 8, []
+    data, start, at, used, last, out = np.frombuffer(r.data + bytes(4), np.uint8), r.at, 0, 0, 8, []
+    ahead = _window(data, start, min(160 if alphabet < 256 else 460 if alphabet == 256 else 1000, len(r.data) * 8 - start), 11).tolist()
     while at < alphabet and left:
         left -= 1
-        i = ahead >> used & mask
+        if used + 32 > len(ahead):  # a longer code than most
+            ahead = _window(data, start, min(16 * alphabet + 64, len(r.data) * 8 - start), 11).tolist()
+        i = ahead[used] & mask
         s, used = symbols[i], used + sizes[i]
         if s < 16:
             out.append(s)
             at, last = at + 1, s or last
         else:
             bits, least = ((2, 3), (3, 3), (7, 11))[s - 16]
-            n = least + (ahead >> used & ((1 << bits) - 1))
+            n = least + (ahead[used] & ((1 << bits) - 1)) if bits else least
             used, at = used + bits, at + n
             out += [last if s == 16 else 0] * n
     r.at += used
+    if at > alphabet:
+        raise ValueError("code lengths beyond the alphabet")
     lengths[: len(out)] = out
     return Code(lengths)
 
@@ -196,6 +201,19 @@ _LENGTH_CODES = canonical(_LENGTH_SIZES)
 _LENGTH_HEAD = sum(int(_LENGTH_SIZES[n]) << 5 + 3 * k for k, n in enumerate(CODE_LENGTH_ORDER)) | 15 << 1
 
 
+def _read_group(r: Reader, sizes: tuple[int, ...]) -> list[Code]:
+    """The five codes of a group. Blue's, where it is written in the same bits as red's, is red's."""
+    green, start = read_code(r, sizes[0]), r.at
+    red = read_code(r, sizes[1])
+    n, at = r.at - start, r.at
+    if sizes[2] == sizes[1] and n > 64 and Reader(r.data, start).read(n) == r.read(n):
+        blue = red
+    else:
+        r.at = at
+        blue = read_code(r, sizes[2])
+    return [green, red, blue, read_code(r, sizes[3]), read_code(r, sizes[4])]
+
+
 def write_code(w: Writer, lengths: np.ndarray) -> None:
     used = lengths.nonzero()[0]
     if len(used) <= 2 and (not len(used) or used[-1] < 256):
@@ -265,6 +283,7 @@ def _window(data: np.ndarray, start: int, count: int, bits: int) -> np.ndarray:
 
 _NEAR_X, _NEAR_Y = (np.array([xy[k] for xy in NEAR], np.int64) for k in (0, 1))
 _STEP = 1 << 16
+_PLACES = np.arange(_STEP + 128, dtype=np.int32)
 
 
 def _followed(to: np.ndarray, count: int) -> np.ndarray:
@@ -297,30 +316,33 @@ def _items(r: Reader, codes: list[Code], width: int, total: int) -> tuple[np.nda
     """The stream of one image, as (length, distance, value, slot) of literals (1, 0, argb, -1), references (length,
     distance, 0, -1) and cache entries (1, 0, 0, slot)."""
     green, red, blue, alpha, far = codes
-    data, end, parts, n = np.frombuffer(r.data + bytes(16), np.uint8), len(r.data) * 8, [], 0
-    size, mask, lead = 0, (1 << green.bits) - 1, None
+    data, end, parts, n, mask = np.frombuffer(r.data + bytes(64), np.uint8), len(r.data) * 8, [], 0, (1 << green.bits) - 1
     while n < total:
         count = min(_STEP, end - r.at, (total - n) * 60)
         if count <= 0:
             raise ValueError("the stream ends early")
         stop = count + 96  # an item is at most 59 bits long
-        ahead = _window(np.concatenate([data[r.at >> 3 : (r.at + stop + 24 >> 3) + 2], np.zeros(16, np.uint8)]), r.at & 7, stop, 15)
+        ahead = _window(data, r.at, stop, 15)
         at = ahead & mask
-        symbol, after = green.symbol[at], np.arange(stop, dtype=np.int32) + green.length[at]
-        place = np.arange(count, dtype=np.int32)
-        first = after[:count]
-        to = first
+        symbol, after = green.symbol[at], green.length[at]
+        after += _PLACES[:stop]
+        first = to = after[:count]
+        hop = None
         for c in (red, blue, alpha):
             if c.bits:
-                to = to + c.length[ahead[to] & ((1 << c.bits) - 1)]
-        other = symbol[:count] >= 256
-        to = np.where(symbol[:count] >= 280, first, to)
-        where = np.flatnonzero(other & (symbol[:count] < 280))
+                hop = hop if hop is not None and blue is red and c is blue else c.length[ahead & ((1 << c.bits) - 1)]
+                to = to + hop[to]
+        what = symbol[:count]
+        where = (what >= 256).nonzero()[0]
         if len(where):
+            to = to.copy() if to is first else to
+            to[where] = first[where]
+            where = where[what[where] < 280]
             p = first[where] + _extra_bits(symbol[where] - 256)
             d = far.symbol[ahead[p] & ((1 << far.bits) - 1)]
             to[where] = p + far.length[ahead[p] & ((1 << far.bits) - 1)] + _extra_bits(d)
-        lead = np.concatenate([np.minimum(to, stop), np.arange(count, stop + 1, dtype=np.int32)])
+        lead = _PLACES[: stop + 1].copy()
+        np.minimum(to, stop, out=lead[:count])
         path = _followed(lead, count)
         what, q = symbol[path].astype(np.int64), after[path]
         values, fields = [], q
@@ -430,7 +452,7 @@ def _image(r: Reader, width: int, height: int, main: bool = False) -> np.ndarray
         meta = _image(r, side(width), side(height)) >> np.uint32(8) & np.uint32(0xFFFF)
         many = int(meta.max()) + 1
     sizes = (ALPHABETS[0] + ((1 << cache_bits) if cache_bits else 0), *ALPHABETS[1:])
-    groups = [[read_code(r, n) for n in sizes] for _ in range(many)]
+    groups = [_read_group(r, sizes) for _ in range(many)]
     codes = groups[0]
     if many == 1 and width * height > 16 and codes[0].only is None:
         return _fast_pixels(r, codes, cache_bits, width, width * height).reshape(height, width)
@@ -719,20 +741,23 @@ class _Stream:
         n = len(self.fields)
         values, sizes = np.zeros((n, 6), np.int64), np.zeros((n, 6), np.int64)
         for k, counts in enumerate(self.counts):
-            lengths = code_lengths(counts, 15)
-            write_code(w, lengths)
-            if (lengths > 0).sum() < 2:
+            if k != 2:  # blue is written by red's code: in text they have the same symbols, and one code is worked out and read for both
+                lengths, start = code_lengths(counts + self.counts[2] if k == 1 else counts, 15), Writer()
+                write_code(start, lengths)
+                codes = canonical(lengths) if np.count_nonzero(lengths) > 1 else None
+            w.write(start.value, start.bits)
+            if codes is None:
                 continue
-            codes = canonical(lengths)
             if k < 4:
-                at = np.flatnonzero(self.size[:, k])
+                at = self.size[:, k].nonzero()[0]
                 values[at, k], sizes[at, k] = codes[self.fields[at, k]], lengths[self.fields[at, k]]
             else:
                 values[self.where, 4], sizes[self.where, 4] = codes[self.far[0]], lengths[self.far[0]]
         if self.where is not None:  # the length's extra bits come before the distance's code, where literals have red
             values[self.where, 1], sizes[self.where, 1] = self.extra
             values[self.where, 5], sizes[self.where, 5] = self.far[1:]
-        w.append(*_joined(values.ravel(), sizes.ravel()))
+        takes = sizes.ravel().nonzero()[0]
+        w.append(*_joined(values.ravel()[takes], sizes.ravel()[takes]))
 
 
 @lru_cache(maxsize=64)
@@ -766,6 +791,11 @@ def _is_smooth(argb: np.ndarray, mode: int) -> bool:
     return 10 * int(np.count_nonzero(step + np.uint8(3) <= 6)) > 3 * step.size
 
 
+def _are_alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether three tenths of all samples of two channels are within 3 of one another."""
+    return 10 * int(np.count_nonzero(a - b + np.uint8(3) <= 6)) > 3 * a.size
+
+
 def _left_or_top(argb: np.ndarray, mode: int) -> np.ndarray:
     """Residuals where all blocks have predictor 1 (left) or 2 (top)."""
     c = _channels(argb)
@@ -790,30 +820,31 @@ def encode_best(argb: np.ndarray) -> bytes:
     _head(w, width, height, bool((argb >> np.uint32(24) != 255).any()))
     block = 9
     blocks = (-(-height >> block) or 1, -(-width >> block) or 1)
-    best, chosen = np.inf, (0, None)
-    for mode in (0, 1, 2):
-        if mode and not _is_smooth(argb, mode):
-            continue
-        rest = argb if mode == 0 else _left_or_top(argb, mode)
-        c = _channels(rest).reshape(-1, 4)
-        blue, green, red = c[:, 0], c[:, 1], c[:, 2]
-        less = blue - green
-        # the three factors of 32 take green's or red's signed value off
-        each = _bits(_counts_of(np.stack([blue, green, red, red - green, less, blue - red, less - red], 1))).tolist()
-        red_of, blue_of = min(((each[2], 0), (each[3], 32))), min((each[0], 0, 0), (each[4], 32, 0), (each[5], 0, 32), (each[6], 32, 32))
-        cost = each[1] + red_of[0] + blue_of[0] + (64 if mode else 0)
-        factors = (red_of[1], *blue_of[1:])
-        if any(factors) and each[0] + each[1] + each[2] <= cost + 64:
-            cost, factors = each[0] + each[1] + each[2], (0, 0, 0)
-        if cost < best:
-            best, chosen = cost, (mode, factors if any(factors) else None)
-    mode, factors = chosen
-    table = None
+    best, (mode, factors), table = np.inf, (0, None), None
+    c = _channels(argb).reshape(-1, 4)
+    smooth = [m for m in (1, 2) if _is_smooth(argb, m)]
+    # in text neither pixels nor channels follow one another, and none of this is tried
+    if smooth or _are_alike(c[:, 2], c[:, 1]) or _are_alike(c[:, 0], c[:, 1]) or _are_alike(c[:, 0], c[:, 2]):
+        for m in (0, *smooth):
+            c = _channels(_left_or_top(argb, m) if m else argb).reshape(-1, 4)
+            blue, green, red = c[:, 0], c[:, 1], c[:, 2]
+            less = blue - green
+            # the three factors of 32 take green's or red's signed value off
+            each = _bits(_counts_of(np.stack([blue, green, red, red - green, less, blue - red, less - red], 1))).tolist()
+            red_of, blue_of = min(((each[2], 0), (each[3], 32))), min((each[0], 0, 0), (each[4], 32, 0), (each[5], 0, 32), (each[6], 32, 32))
+            cost, plain = each[1] + red_of[0] + blue_of[0] + 64, each[0] + each[1] + each[2]
+            for bits, f in ((plain, None), (cost, (red_of[1], *blue_of[1:]))):
+                if bits + (64 if m else 0) < best and (f is None or any(f)):
+                    best, mode, factors = bits + (64 if m else 0), m, f
     if argb.size <= 1 << 16:
-        colours, many = np.unique(argb, return_counts=True)
-        # a colour of the palette takes about as many bits as three of its bytes
-        if len(colours) <= 256 and float(_bits(many)) + 18 * len(colours) < best:
-            mode, factors, table = 0, None, colours
+        ordered = np.sort(argb, axis=None)
+        first = np.concatenate([[0], (ordered[1:] != ordered[:-1]).nonzero()[0] + 1])
+        if len(first) <= 256:
+            if best == np.inf:
+                best = float(_bits(_counts_of(c[:, :3])).sum())
+            # a colour of the palette takes about as many bits as three of its bytes
+            if float(_bits(np.concatenate([first[1:], [argb.size]]) - first)) + 18 * len(first) < best:
+                mode, factors, table = 0, None, ordered[first]
     now = argb
     if table is not None:
         now = _with_palette(w, argb, table)
