@@ -237,3 +237,13 @@ def line_intersection(a: tuple, b: tuple) -> tuple[Column, Column]:
     w = a1 * b2 - a2 * b1
     safe = F.when(F.abs(w) >= 1e-9, w)
     return (b1 * c2 - b2 * c1) / safe, (c1 * a2 - c2 * a1) / safe
+
+
+def rescaled(x: Column, y: Column, source: tuple[int, int], target: tuple[int, int]) -> tuple[Column, Column]:
+    """A point of a frame of one size (width, height) in a frame of another."""
+    return x * (target[0] / source[0]), y * (target[1] / source[1])
+
+
+def in_padded_roi(x: Column, y: Column, roi: tuple[float, float, float, float], pad_x: float, pad_y: float) -> Column:
+    """Whether a point lies in a region (x1, y1, x2, y2) widened to all sides."""
+    return x.between(roi[0] - pad_x, roi[2] + pad_x) & y.between(roi[1] - pad_y, roi[3] + pad_y)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coerce
@@ -28,3 +28,20 @@ def review_template(rallies: DataFrame, fields: list[str]) -> DataFrame:
     """A rally table's declared fields with the columns that a reviewer fills in, all pending."""
     blank = {n: F.lit("") for n in ("corrected_start_time", "corrected_end_time", "review_notes")}
     return rallies.select(*fields).withColumns({"review_status": F.lit("pending"), **blank})
+
+
+def batch_status(runs: DataFrame, keys: list[str], failed: Column) -> DataFrame:
+    """(keys, runs, failed, exit_code): 2 where any run failed."""
+    d = runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.count_if(failed).alias("failed"))
+    return d.withColumn("exit_code", F.when(F.col("failed") > 0, 2).otherwise(0))
+
+
+def stage_list(stages: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """(keys, stages): a run's stages in order as one text."""
+    each = F.sort_array(F.collect_list(F.struct(order, text)))
+    return stages.groupBy(*keys).agg(F.array_join(F.transform(each, lambda s: s[text]), " ").alias("stages"))
+
+
+def existing(declared: list[str], there: Column) -> Column:
+    """The declared output files that are there, in declared order."""
+    return F.filter(F.array(*map(F.lit, declared)), lambda f: F.array_contains(there, f))

@@ -82,6 +82,20 @@ def trusted_frame_count(container: str, decoded: str):
     return F.when(F.abs(a - b) <= F.greatest(F.lit(1.0), b * 0.05), a).otherwise(b)
 
 
+def listed_videos(rows: DataFrame, column: str = "output_path") -> DataFrame:
+    """Rows of a clip list with video_path; those without a path go."""
+    return rows.where(F.coalesce(F.trim(column), F.lit("")) != "").withColumnRenamed(column, "video_path")
+
+
+def videos(spark: SparkSession, path: str) -> DataFrame:
+    """(video_path) of a list (CSV with output_path), a folder's .mp4 files in order, or a single file."""
+    if path.endswith(".csv"):
+        return listed_videos(read_csv(spark, path, ["output_path"])).select("video_path")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path if path.endswith(".mp4") else path.rstrip("/") + "/*.mp4")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return spark.createDataFrame([(f.getPath().toString(),) for f in found or []], "video_path string").orderBy("video_path")
+
+
 def missing_columns(columns: list[str], required: list[str]) -> list[str]:
     """Those required columns that aren't there, in order."""
     return [c for c in required if c not in columns]
