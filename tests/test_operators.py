@@ -125,7 +125,9 @@ def test_coercion(spark):
     got = [tuple(r) for r in df.select(coerce.finite("c"), coerce.integer("c"), coerce.integer("c", 7), coerce.truthy("b")).collect()]
     assert got == [(1.5, 1, 1, True), (None, None, 7, False), (None, None, 7, False), (None, None, 7, True), (None, None, 7, False), (1.7, 1, 1, True)]
     names = spark.createDataFrame([("x_rally_012",), ("x",), (None,)], "s string").select(coerce.rally_id("s"), coerce.duration_label(F.lit(3725.0)), coerce.number_label(F.lit(None).cast("double"))).collect()
-    assert [tuple(r) for r in names] == [("012", "1:02:05", "—"), ("000", "1:02:05", "—"), ("000", "1:02:05", "—")]
+    assert [tuple(r) for r in names] == [("012", "1 小时 2 分钟", "—"), ("000", "1 小时 2 分钟", "—"), ("000", "1 小时 2 分钟", "—")]
+    labels = df.limit(1).select(coerce.duration_label(F.lit(59.9)), coerce.duration_label(F.lit(59.9), approximate=True), coerce.duration_label(F.lit(90.0), approximate=True), coerce.safe_name(F.lit("._??")), coerce.safe_name(F.lit("a b/c.")))
+    assert tuple(labels.first()) == ("59 秒", "不足 1 分钟", "约 2 分钟", "event", "a_b_c")
 
 
 def test_pose_cells(spark):
@@ -167,10 +169,28 @@ def test_players_are_carried_on_and_ghosts_end(spark):
     df = spark.createDataFrame([("v", *b) for b in boxes], "video string, frame_id bigint, x1 double, y1 double, x2 double, y2 double, score double")
     got = {(r["frame_id"], r["player_id"]): r for r in tracking.assign_players(df, "video", 300.0).collect()}
     assert got[3, "near"]["is_interpolated"] and got[3, "near"]["x1"] > 110 and not got[5, "near"]["is_interpolated"] and not got[3, "far"]["is_interpolated"]
-    gate = tracking.PlayerGate(missing=1)
+    assert (got[3, "near"]["confidence"], got[0, "near"]["confidence"]) == (0.16, 0.9)
+    gate = tracking.PlayerGate(missing={"near": 1, "far": 1})
     assert (4, "near") not in {(r["frame_id"], r["player_id"]) for r in tracking.assign_players(df, "video", 300.0, gate).collect()}
 
 
+def test_roles_by_projection_and_overlap(spark):
+    """Which side a player is on is told by the court point of the foot; a carried box on another's body ends."""
+    schema = "video string, frame_id bigint, x1 double, y1 double, x2 double, y2 double, score double"
+    h = [[1, 0, 0], [0, 6.7 / 332.55, 0], [0, 0, 1]]
+    df = spark.createDataFrame([("v", 0, 305.0, 294.0, 326.0, 350.0, 0.8), ("v", 0, 380.0, 240.0, 399.0, 281.0, 0.7)], schema)
+    got = {r["player_id"]: (r["x1"], r["y2"]) for r in tracking.assign_players(df, "video", 200.0, homography=h).collect()}
+    assert got == {"near": (305.0, 350.0), "far": (380.0, 281.0)}
+    df = spark.createDataFrame([("v", 0, 305.0, 294.0, 326.0, 350.0, 0.8), ("v", 1, 305.0, 294.0, 326.0, 330.0, 0.7)], schema)
+    got = [(r["frame_id"], r["player_id"]) for r in tracking.assign_players(df, "video", 200.0, homography=h).collect()]
+    assert got == [(0, "near"), (1, "far")]
+    only = tracking.assign_players(df, "video", 200.0, homography=h, roles=("near",)).collect()
+    assert [(r["frame_id"], r["player_id"], r["is_interpolated"]) for r in only] == [(0, "near", False), (1, "near", True)]
+    # two on one side: the better role score, not the better detection, wins
+    two = spark.createDataFrame([("v", 0, 100.0, 400.0, 140.0, 500.0, 0.7), ("v", 0, 300.0, 290.0, 320.0, 305.0, 0.75)], schema)
+    assert [r["x1"] for r in tracking.assign_players(two, "video", 300.0).collect()] == [100.0]
+
+
 def test_outlier_gate_gives_in(spark):
     df = track(spark, [(f, 0.0 if f < 3 else 1000.0, 0.0) for f in range(12)]).select("k", "frame_id", "x", "y")
     kept = {r["frame_id"]: r["is_kept"] for r in tracking.gate_outliers(df, "k", patience=5).collect()}
@@ -181,5 +201,5 @@ def test_leader_clusters(spark):
     square = lambda d: [[d, d], [100.0 + d, d], [100.0 + d, 50.0 + d], [d, 50.0 + d]]
     rows = [("v", 0, square(0.0), 0.5), ("v", 1, square(1.0), 0.7), ("v", 1, square(0.5), 0.6), ("v", 2, square(60.0), 0.99), ("w", 0, square(0.0), 0.1)]
     df = spark.createDataFrame(rows, "video string, frame_id bigint, corners array<array<double>>, quality double")
-    got = sorted((r["video"], r["frame_id"], r["quality"], r["cluster"], r["is_chosen"]) for r in tracking.leader_clusters(df, "video", 0.04, 200, 100).collect())
-    assert got == [("v", 0, 0.5, 0, False), ("v", 1, 0.7, 0, True), ("v", 2, 0.99, 1, False), ("w", 0, 0.1, 0, True)]
+    got = sorted((r["video"], r["frame_id"], r["quality"], r["cluster"], r["is_stable"], r["is_chosen"]) for r in tracking.leader_clusters(df, "video", 0.04, 200, 100).collect())
+    assert got == [("v", 0, 0.5, 0, True, False), ("v", 1, 0.7, 0, True, True), ("v", 2, 0.99, 1, False, False), ("w", 0, 0.1, 0, True, False)]

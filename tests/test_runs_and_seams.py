@@ -52,7 +52,9 @@ def test_models_are_seams(spark):
 
 
 def test_persistent_changes(spark):
-    values = [0.1, 0.1, 0.1, 0.12, 0.12, 0.12, 0.5, 0.5, 0.5, 0.52, 0.9, 0.52, 0.52, 0.52]
-    df = spark.createDataFrame([("v", i, x) for i, x in enumerate(values)], "k string, frame_id bigint, f double")
-    got = [(r["frame_id"], round(r["change"], 3)) for r in seams.persistent_changes(df, "k", "f").collect()]
-    assert got == [(5, 0.02), (13, 0.02)]
+    bits = lambda n: [int(i < n) for i in range(100)]
+    levels = [5, 5, 5, 7, 7, 7, 60, 60, 60, 62, 9, 62, 62, 62]
+    df = spark.createDataFrame([("v", i, bits(x)) for i, x in enumerate(levels)] + [("w", 10 * i, bits(3 * (i > 2))) for i in range(6)], "k string, frame_id bigint, b array<int>")
+    got = [(r["k"], r["frame_id"], round(r["change"], 3)) for r in seams.persistent_changes(df, "k", "b", 5.0).collect()]
+    # the middle of three equal ones; a jump to another layout only renews the reference; w's samples are too far apart
+    assert got == [("v", 4, 0.02), ("v", 12, 0.02)]
