@@ -56,30 +56,44 @@ def calibration_reasons(corners, width: float, height: float, line_support: Colu
 
     The condition number is that of the matrix from image to court, by its largest entries: no less than a ninth of the true one.
     """
-    true = lambda c: F.coalesce(c, F.lit(False))
-    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = corners
+
+    def bind(values: dict[str, Column], function) -> Column:
+        """function of the values, each computed once and not written out wherever it is used."""
+        return F.get(F.transform(F.array(F.struct(*(v.alias(n) for n, v in values.items()))), function), F.lit(0))
+
+    def of_corners(v):
+        c = [(v[f"x{i}"], v[f"y{i}"]) for i in range(4)]
+        return bind({f"h{i}{j}": m for i, row in enumerate(g.square_to_quad(c)) for j, m in enumerate(row)}, lambda m: F.array_compact(F.array(*(F.when(test, F.lit(n)) for test, n in _calibration_checks(
+            c, [[m[f"h{i}{j}"] for j in range(3)] for i in range(3)], width, height, line_support, least_area, least_support, most_outside, most_condition, most_error
+        )))))
+
     finite = reduce(lambda a, b: a & b, (v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")) for p in corners for v in p))
+    found = bind({f"{n}{i}": v for i, p in enumerate(corners) for n, v in zip("xy", p)}, of_corners)
+    return F.when(finite, found).otherwise(F.array(F.lit("corners_non_finite")))
+
+
+def _calibration_checks(corners, h, width: float, height: float, line_support: Column, least_area: float, least_support: float, most_outside: float, most_condition: float, most_error: float) -> list[tuple[Column, str]]:
+    """The checks of calibration_reasons in order, with their names. h: the matrix from the unit square to the corners."""
+    true = lambda c: F.coalesce(c, F.lit(False))
     outside = reduce(lambda a, b: a + b, (F.when((x >= 0) & (x < width) & (y >= 0) & (y < height), 0.0).otherwise(0.25) for x, y in corners))
     turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
     turns = [turn(corners[i], corners[(i + 1) % 4], corners[(i + 2) % 4]) for i in range(4)]
     convex = reduce(lambda a, b: a & b, (t >= 0 for t in turns)) | reduce(lambda a, b: a & b, (t <= 0 for t in turns))
-    h = g.square_to_quad(corners)
+    area = F.abs(reduce(lambda s, t: s + t, (corners[i][0] * corners[(i + 1) % 4][1] - corners[(i + 1) % 4][0] * corners[i][1] for i in range(4)))) / 2
     det = g.determinant(h)
     (a, b, c), (d, e, f), (p, q, r) = h
     back = [e * r - f * q, c * q - b * r, b * f - c * e, f * p - d * r, a * r - c * p, c * d - a * f, d * q - e * p, b * p - a * q, a * e - b * d]
-    top = lambda m: reduce(lambda x, y: F.greatest(x, y), map(F.abs, m))
+    top = lambda m: F.greatest(*map(F.abs, m))
     condition = top([a, b, c, d, e, f, p, q, r]) * top(back) / F.abs(F.when(F.abs(det) > 1e-300, det))
     squares = []
     for (x, y), (u, v) in zip(corners, ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))):
         again = g.project(h, F.lit(u), F.lit(v))
         squares.append((again[0] - x) ** 2 + (again[1] - y) ** 2)
     error = F.sqrt(reduce(lambda s, t: s + t, squares) / 4)
-    checks = [
-        (outside > most_outside, "corners_out_of_bounds"), (~convex, "corners_not_convex"), (~ordered_corners(corners), "corners_wrong_order"),
-        (F.abs(reduce(lambda s, t: s + t, (corners[i][0] * corners[(i + 1) % 4][1] - corners[(i + 1) % 4][0] * corners[i][1] for i in range(4)))) / 2 / (width * height) < least_area, "court_area_too_small"),
+    return [
+        (outside > most_outside, "corners_out_of_bounds"), (~convex, "corners_not_convex"), (~ordered_corners(corners), "corners_wrong_order"), (area / (width * height) < least_area, "court_area_too_small"),
         (condition.isNull(), "homography_invalid"), (true(condition > most_condition), "homography_ill_conditioned"), (true(error > most_error), "corner_reprojection_error"), (line_support < least_support, "court_line_support_too_low"),
     ]
-    return F.when(~finite, F.array(F.lit("corners_non_finite"))).otherwise(F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in checks))))
 
 
 def calibration_quality(area: Column, line_support: Column, least_area: float = 0.08) -> Column:
@@ -199,3 +213,28 @@ def representative_frames(count: Column) -> Column:
 def carried(place: Column, velocity: Column, misses: Column, fade: float = 0.82, least: float = 0.25) -> Column:
     """Where a missed player is expected: on by its velocity, which fades with each miss."""
     return place + velocity * F.greatest(F.lit(least), F.pow(F.lit(fade), misses))
+
+
+def manifest(text: Column) -> Column:
+    """array<struct<name,status,message>> of the stages in a run's manifest; a missing message is blank."""
+    stages = F.from_json(text, "stages array<struct<name:string,status:string,message:string>>")["stages"]
+    return F.transform(stages, lambda s: F.struct(s["name"].alias("name"), s["status"].alias("status"), F.coalesce(s["message"], F.lit("")).alias("message")))
+
+
+def declared(label: Column, labels: tuple[str, ...]) -> Column:
+    """Whether a label is one of the declared ones."""
+    return F.coalesce(label.isin(*labels), F.lit(False))
+
+
+def may_resume(config: Column, now_config: Column, source: Column, now_source: Column) -> Column:
+    """Whether a run may be resumed: its configuration and its source are both the same as now."""
+    return config.eqNullSafe(now_config) & source.eqNullSafe(now_source)
+
+
+#: The profile of each kind of input and view.
+MODE_PROFILES = {("clipped", "overhead"): "clipped_overhead_gpu.yaml", ("clipped", "low_angle"): "clipped_low_angle_gpu.yaml", ("full", "overhead"): "full_video_gpu.yaml", ("full", "low_angle"): "low_angle_gpu.yaml"}
+
+
+def mode_profile(kind: Column, view: Column) -> Column:
+    """The configuration profile of a run's kind of input and view; null for an unknown pair."""
+    return F.coalesce(*(F.when((kind == k) & (view == v), p) for (k, v), p in MODE_PROFILES.items()))

@@ -120,3 +120,9 @@ def frame_index(intervals: DataFrame, keys: list[str]) -> DataFrame:
     frames = intervals.select(*keys, "start_frame", F.explode(F.sequence(F.col("start_frame"), F.col("end_frame") - 1)).alias("original_frame_id"))
     n = F.row_number().over(Window.partitionBy(*keys).orderBy("start_frame", "original_frame_id")) - 1
     return frames.select(*keys, n.cast("bigint").alias("clean_frame_id"), "original_frame_id")
+
+
+def with_times(intervals: DataFrame, fps: float) -> DataFrame:
+    """intervals with start_time, end_time and duration_seconds more, by frames of a constant rate, to the millisecond."""
+    at = lambda c: F.round(c / fps, 3)
+    return intervals.withColumns({"start_time": at(F.col("start_frame")), "end_time": at(F.col("end_frame")), "duration_seconds": at(F.col("end_frame") - F.col("start_frame"))})

@@ -58,15 +58,15 @@ def trk15(spark, sf):
 
 
 GATED = "WITH RECURSIVE " + views.TRACK + """, o AS (SELECT k, frame_id, x, y, row_number() OVER (PARTITION BY k ORDER BY frame_id) AS n FROM track), fold AS (
-  SELECT k, frame_id, x, y, n, x AS lx, y AS ly, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 0 AS gone, true AS is_kept FROM o WHERE n = 1
-  UNION ALL SELECT k, frame_id, x, y, n, CASE WHEN far THEN lx ELSE x END, CASE WHEN far THEN ly ELSE y END, CASE WHEN far THEN vx WHEN gone = 0 THEN x - lx ELSE 0 END, CASE WHEN far THEN vy WHEN gone = 0 THEN y - ly ELSE 0 END, CASE WHEN far THEN gone + 1 ELSE 0 END, NOT far
-  FROM (SELECT o.k, o.frame_id, o.x, o.y, o.n, lx, ly, vx, vy, gone, sqrt((o.x - lx) ** 2 + (o.y - ly) ** 2) > 100 AND sqrt((o.x - lx - vx) ** 2 + (o.y - ly - vy) ** 2) > 120 AND gone < 5 AS far FROM fold f JOIN o ON o.k = f.k AND o.n = f.n + 1)
+  SELECT k, frame_id, x, y, n, x AS lx, y AS ly, x AS px, y AS py, 0 AS gone, true AS is_kept FROM o WHERE n = 1
+  UNION ALL SELECT k, frame_id, x, y, n, CASE WHEN far THEN lx ELSE x END, CASE WHEN far THEN ly ELSE y END, CASE WHEN far THEN px ELSE 2 * x - lx END, CASE WHEN far THEN py ELSE 2 * y - ly END, CASE WHEN far THEN gone + 1 ELSE 0 END, NOT far
+  FROM (SELECT o.k, o.frame_id, o.x, o.y, o.n, lx, ly, px, py, gone, gone <= 5 AND (sqrt((o.x - lx) ** 2 + (o.y - ly) ** 2) > 60 OR sqrt((o.x - px) ** 2 + (o.y - py) ** 2) > 80) AS far FROM fold f JOIN o ON o.k = f.k AND o.n = f.n + 1)
 )"""
 
 
 @query("trk17_outlier_gate", GATED + " SELECT k, frame_id, x, y, is_kept FROM fold")
 def trk17(spark, sf):
-    return tracking.gate_outliers(views.track(spark, sf).select("k", "frame_id", "x", "y"), "k", 100.0, 120.0)
+    return tracking.gate_outliers(views.track(spark, sf).select("k", "frame_id", "x", "y"), "k", 60.0, 80.0)
 
 
 @query("trk19_region_players", """WITH b AS (SELECT l_orderkey, l_linenumber, l_extendedprice % 600 AS x1, l_quantity * 8 + 90 AS y2, l_discount * 10 AS score FROM lineitem) SELECT l_orderkey, CASE WHEN y2 < 300 THEN 'upper' ELSE 'lower' END AS region, y2, score, x1 FROM b QUALIFY row_number() OVER (PARTITION BY l_orderkey, region ORDER BY y2 DESC, score DESC, x1) = 1""")

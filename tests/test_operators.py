@@ -194,7 +194,7 @@ def test_roles_by_projection_and_overlap(spark):
 def test_outlier_gate_gives_in(spark):
     df = track(spark, [(f, 0.0 if f < 3 else 1000.0, 0.0) for f in range(12)]).select("k", "frame_id", "x", "y")
     kept = {r["frame_id"]: r["is_kept"] for r in tracking.gate_outliers(df, "k", patience=5).collect()}
-    assert [f for f in kept if not kept[f]] == [3, 4, 5, 6, 7]
+    assert [f for f in kept if not kept[f]] == [3, 4, 5, 6, 7, 8]
 
 
 def test_leader_clusters(spark):
