@@ -125,14 +125,14 @@ class Code:
         used = np.flatnonzero(lengths)
         self.only = int(used[0]) if len(used) == 1 else None
         if len(used) == 1:
-            self.bits, self.symbol, self.length = 0, np.array([used[0]], np.int32), np.zeros(1, np.int32)
+            self.bits, self.symbol, self.length = 0, np.array([used[0]]), np.zeros(1, np.int64)
             return
         if not len(used) or int((np.int64(1) << (15 - lengths[used])).sum()) != 1 << 15:
             raise ValueError("not a complete prefix code")
         self.bits = int(lengths.max())
         used = used[np.argsort(lengths[used], kind="stable")]
         spans, turned = 1 << (self.bits - lengths[used]), _REVERSED[self.bits]
-        self.symbol, self.length = np.repeat(used, spans)[turned].astype(np.int32), np.repeat(lengths[used], spans)[turned].astype(np.int32)
+        self.symbol, self.length = np.repeat(used, spans)[turned], np.repeat(lengths[used], spans)[turned]
 
     def read(self, r: Reader) -> int:
         if self.only is not None:
@@ -278,26 +278,26 @@ def _window(data: np.ndarray, start: int, count: int, bits: int) -> np.ndarray:
     d = data[a : b + 2].astype(np.uint32)
     words = d[:-2] | d[1:-1] << np.uint32(8) | d[2:] << np.uint32(16)
     at = (words[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << bits) - 1)
-    return at.ravel()[start & 7 : (start & 7) + count].astype(np.int32)
+    return at.ravel()[start & 7 : (start & 7) + count].astype(np.int64)
 
 
 _NEAR_X, _NEAR_Y = (np.array([xy[k] for xy in NEAR], np.int64) for k in (0, 1))
 _STEP = 1 << 16
-_PLACES = np.arange(_STEP + 128, dtype=np.int32)
+_PLACES = np.arange(_STEP + 128)
 
 
 def _followed(to: np.ndarray, count: int) -> np.ndarray:
     """All places below count that jumps from place 0 on come to; to[i] > i, and places from count on lead to themselves."""
     jumps = [to]
     for _ in range(4):
-        jumps.append(jumps[-1][jumps[-1]])
+        jumps.append(jumps[-1].take(jumps[-1], mode="clip"))
     far, anchors, p = jumps[4], [], 0
     while p < count:
         anchors.append(p)
         p = int(far[p])
-    path = np.array(anchors, np.int32)[:, None]
+    path = np.array(anchors)[:, None]
     for jump in reversed(jumps[:4]):  # 8, 4, 2 and 1 on
-        path = np.concatenate([path[:, :, None], jump[path][:, :, None]], 2).reshape(len(anchors), -1)
+        path = np.concatenate([path[:, :, None], jump.take(path, mode="clip")[:, :, None]], 2).reshape(len(anchors), -1)
     path = path.ravel()
     return path[path < count]
 
@@ -324,14 +324,14 @@ def _items(r: Reader, codes: list[Code], width: int, total: int) -> tuple[np.nda
         stop = count + 96  # an item is at most 59 bits long
         ahead = _window(data, r.at, stop, 15)
         at = ahead & mask
-        symbol, after = green.symbol[at], green.length[at]
+        symbol, after = green.symbol.take(at, mode="clip"), green.length.take(at, mode="clip")
         after += _PLACES[:stop]
         first = to = after[:count]
         hop = None
         for c in (red, blue, alpha):
             if c.bits:
-                hop = hop if hop is not None and blue is red and c is blue else c.length[ahead & ((1 << c.bits) - 1)]
-                to = to + hop[to]
+                hop = hop if hop is not None and blue is red and c is blue else c.length.take(ahead & ((1 << c.bits) - 1), mode="clip")
+                to = to + hop.take(to, mode="clip")
         what = symbol[:count]
         where = (what >= 256).nonzero()[0]
         if len(where):
@@ -344,23 +344,26 @@ def _items(r: Reader, codes: list[Code], width: int, total: int) -> tuple[np.nda
         lead = _PLACES[: stop + 1].copy()
         np.minimum(to, stop, out=lead[:count])
         path = _followed(lead, count)
-        what, q = symbol[path].astype(np.int64), after[path]
+        what, q = symbol.take(path), after.take(path)
         values, fields = [], q
         for c in (red, blue, alpha):
-            k = ahead[np.minimum(fields, stop - 1)] & ((1 << c.bits) - 1)
-            values.append(c.symbol[k].astype(np.int64))
-            fields = fields + c.length[k]
+            if not c.bits:
+                values.append(c.symbol[0])
+                continue
+            k = ahead.take(fields, mode="clip") & ((1 << c.bits) - 1)
+            values.append(c.symbol.take(k))
+            fields = fields + c.length.take(k)
         length, distance, argb, slot = np.ones(len(path), np.int64), np.zeros(len(path), np.int64), values[2] << 24 | values[0] << 16 | what << 8 | values[1], np.full(len(path), -1, np.int64)
         slot[what >= 280] = what[what >= 280] - 280
         argb[what >= 256] = 0
         where = np.flatnonzero((what >= 256) & (what < 280))
         if len(where):
             code, p = what[where] - 256, q[where]
-            length[where] = _prefixed(code, ahead[p].astype(np.int64))
+            length[where] = _prefixed(code, ahead[p])
             p = p + _extra_bits(code)
-            d = far.symbol[ahead[p] & ((1 << far.bits) - 1)].astype(np.int64)
+            d = far.symbol[ahead[p] & ((1 << far.bits) - 1)]
             p = p + far.length[ahead[p] & ((1 << far.bits) - 1)]
-            v = _prefixed(d, ahead[p].astype(np.int64) | ahead[np.minimum(p + 15, stop - 1)].astype(np.int64) << 15)
+            v = _prefixed(d, ahead[p] | ahead[np.minimum(p + 15, stop - 1)] << 15)
             near = np.minimum(v, len(NEAR)) - 1
             distance[where] = np.where(v > len(NEAR), v - len(NEAR), np.maximum(1, _NEAR_X[near] + _NEAR_Y[near] * width))
         ends = n + np.cumsum(length)
@@ -380,7 +383,7 @@ def _items(r: Reader, codes: list[Code], width: int, total: int) -> tuple[np.nda
 def _resolved(source: np.ndarray) -> np.ndarray:
     """Where pointers to earlier places lead in the end."""
     while True:
-        further = source[source]
+        further = source.take(source, mode="clip")
         if (further == source).all():
             return source
         source = further
@@ -403,7 +406,7 @@ def _fast_pixels(r: Reader, codes: list[Code], cache_bits: int, width: int, tota
         key = (CACHE_FACTOR * value & 0xFFFFFFFF) >> (32 - cache_bits)
         key[place[cached]] = slot[cached]
         key = key[source[:total]]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key.astype(np.uint16), kind="stable")  # at most 11 bits, sorted by radix
         before = np.full(total, total)
         same = key[order[1:]] == key[order[:-1]]
         before[order[1:][same]] = order[:-1][same]
@@ -647,6 +650,8 @@ def _copies(flat: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
     key = flat[:n].astype(np.uint64)
     for k in range(1, least):
         key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ flat[k : k + n]
+    if n < 1 << 14:  # short keys are sorted by radix; of those that meet by chance some references go unseen
+        key = (key >> np.uint64(48)).astype(np.uint16)
     order = np.argsort(key, kind="stable")
     distance = np.zeros(n, np.int64)
     same = (key[order[1:]] == key[order[:-1]]).nonzero()[0]
@@ -706,7 +711,7 @@ class _Stream:
         size = np.ones((len(at), 4), bool)
         if cache_bits:
             slot = (flat.astype(np.uint32) * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)
-            order = np.argsort(slot, kind="stable")
+            order = np.argsort(slot.astype(np.uint16), kind="stable")  # short keys are sorted by radix
             hit = np.zeros(len(flat), bool)
             by_slot = flat[order]  # the same colour as the last of its slot; another colour of the slot would come between
             hit[order[1:]] = by_slot[1:] == by_slot[:-1]
