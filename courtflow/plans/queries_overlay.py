@@ -244,10 +244,10 @@ def sup63(spark, sf):
     return t.select("k", "frame_id", F.col("foot.x").alias("foot_x"), F.col("foot.y").alias("foot_y")).select("k", "frame_id", _r("foot_x"), _r("foot_y"))
 
 
-@query("sup66_rally_scatter", P + " SELECT rally_id, player_id, count(*) AS points, round(avg(court_x), 4) AS mean_x, round(avg(court_y), 4) AS mean_y FROM player WHERE visibility = 1 GROUP BY ALL HAVING count(*) >= 3")
+@query("sup66_rally_scatter", P + " SELECT rally_id, player_id, count(*) AS points, round(avg(court_x) + 1e-10::DOUBLE, 4) AS mean_x, round(avg(court_y) + 1e-10::DOUBLE, 4) AS mean_y FROM player WHERE visibility = 1 GROUP BY ALL HAVING count(*) >= 3")
 def sup66(spark, sf):
-    d = views.player(spark, sf).where("visibility = 1").groupBy("rally_id", "player_id").agg(F.count("*").alias("points"), F.round(F.avg("court_x"), 4).alias("mean_x"), F.round(F.avg("court_y"), 4).alias("mean_y"))
-    return d.where("points >= 3")
+    d = views.player(spark, sf).where("visibility = 1").groupBy("rally_id", "player_id").agg(F.count("*").alias("points"), F.avg("court_x").alias("mean_x"), F.avg("court_y").alias("mean_y"))
+    return d.where("points >= 3").select("rally_id", "player_id", "points", _r("mean_x", 4), _r("mean_y", 4))
 
 
 @query("sup67_recency_radius", T + " SELECT k, frame_id, round(2 + 6 * (n - 1) / greatest(1, c - 1), 4) AS radius FROM (SELECT k, frame_id, row_number() OVER (PARTITION BY k ORDER BY frame_id) AS n, count(*) OVER (PARTITION BY k) AS c FROM track)")
