@@ -124,27 +124,27 @@ def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityPar
     return np.frombuffer(bytes(found[0][0]), np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, params: QualityParams = QualityParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column `score` (0 to 1) more; an empty or null text gets the score of the bias alone.
+def score(docs: DataFrame, weights: np.ndarray, params: QualityParams = QualityParams(), id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
+    """docs with a column `out` (0 to 1) more; an empty or null text gets the score of the bias alone.
 
-    Every input column is kept; one named `score` is replaced, and no other name clashes. Texts are scored whole, of any length.
+    Every input column is kept; one named `out` is replaced, and no other name clashes. Texts are scored whole, of any length.
     Repeated rows have equal scores; an empty table gives an empty one.
     """
-    sent, bits, keep = docs.sparkSession.sparkContext.broadcast(weights.tobytes()), params.bits, [c for c in docs.columns if c != "score"]
+    sent, bits, keep = docs.sparkSession.sparkContext.broadcast(weights.tobytes()), params.bits, [c for c in docs.columns if c != out]
 
     def run(batches):
         w = np.frombuffer(sent.value, np.float32)
         cache = BoundedCache(_codes, 50_000)
         for batch in in_parts(batches, -1):
-            out = []
+            sums = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 i, x = features(text or b"", cache, bits)
-                out.append(float(w[-1]) + float(w[i] @ x))
-            s = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], [*batch.schema.names[:-1], "score"])
+                sums.append(float(w[-1]) + float(w[i] @ x))
+            s = 1 / (1 + np.exp(-np.clip(np.array(sums, np.float64), -30, 30)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], [*batch.schema.names[:-1], out])
 
     given = docs.select(*keep, F.col(text_col).cast("binary").alias(fresh(keep, "__text")))
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(out, "double")
     return given.mapInArrow(run, schema)
 
 

@@ -148,6 +148,18 @@ def test_quality_names_cannot_clash(spark):
     assert (row["doc_id"], row["__text"], row["___text"], row["score"]) == (1, "x", "y", 0.5)
 
 
+def test_pipeline_stages_keep_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, ("good words here " if i % 2 else "### !! ") * 20 + f"ann{i}@mail.example.com", "mine", 7, 8) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score string, __score int, __spans int")
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in kept} == set(range(1, 40, 2)) and all((r["score"], r["__score"], r["__spans"]) == ("mine", 7, 8) for r in kept)
+    clean = corpus_pipeline.pii_stage(spark, docs, str(tmp_path)).collect()
+    assert len(clean) == 40 and all("[email]" in r["text"] and r["__spans"] == 8 for r in clean)
+
+
 def test_near_duplicate_names_cannot_clash(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 7, 8), (2, "a b c d e f", 7, 8)], "doc_id bigint, text string, __id int, __hash int")
     assert [tuple(x) for x in jaccard_join.one_of_each(df).collect()] == [(1, "a b c d e f", 7, 8)]
