@@ -14,7 +14,7 @@ import pyarrow.compute
 import pytest
 import regex
 
-from courtflow.llm import bpe, jaccard_join, lm, media, packing, pii, quality, sketch
+from courtflow.llm import bpe, common, jaccard_join, lm, media, packing, pii, quality, sketch
 
 ODD = [None, "", "   ", "a", "A b", "a b", "x" * 30_000, "word " * 4000, "tie tie tie tie tie tie", "tie tie tie tie tie tie", "\u00a0\u2028é 日本 \U0001f600 \x00\x1f", "<|endoftext|> <unk> ▁x"]
 
@@ -293,6 +293,28 @@ def test_jaccard_join_odd_tables(spark, empty):
     assert kept == Counter([(2, "A b c d e f"), (None, "a b c d e f"), (None, None), (9, "g h")])
 
 
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_jaccard_join_broadcasts_no_rows_a_set(spark, monkeypatch, rows):
+    sent, send = [], jaccard_join.F.broadcast
+    monkeypatch.setattr(jaccard_join.F, "broadcast", lambda df: (sent.append(df.count()), send(df))[1])
+    texts = [" ".join(f"{i}w{j}" for j in range(30)) + more for i in range(400) for more in ("", " more")]
+    df = spark.createDataFrame([(None, "a b"), (None, texts[0]), *enumerate(texts), (7, texts[7])], "doc_id bigint, text string")
+    got = jaccard_join.near_duplicates(df, jaccard_join.JaccardParams(broadcast_rows=rows)).where("doc_id is not null").select("doc_id", "component_id").collect()
+    assert Counter(map(tuple, got)) == Counter([(i, i - i % 2) for i in range(800)] + [(7, 6)])
+    kept = jaccard_join.one_of_each(df, jaccard_join.JaccardParams(broadcast_rows=rows), broadcast_rows=rows).collect()
+    assert Counter(map(tuple, kept)) == Counter([(None, "a b"), (None, texts[0]), *((i, texts[i]) for i in range(0, 800, 2))])
+    assert rows or max(sent, default=0) < 100
+
+
+def test_bitmap_marks_each_position(spark):
+    at = {0, 63, 64, 8191, 8192, 5 << 33, (5 << 33) + 8191, *random.Random(3).sample(range(1 << 20), 3000)}
+    near = at | {x + 1 for x in at}
+    pages = common.bitmap(spark.createDataFrame([(x,) for x in at], "p bigint"), "p")
+    for rows in (50_000, 0):
+        got = common.with_mark(spark.createDataFrame([(x,) for x in near], "x bigint"), common.F.col("x"), pages, "there", rows).collect()
+        assert {r["x"] for r in got if r["there"]} == at and len(got) == len(near)
+
+
 def test_jaccard_join_gives_a_row_a_row(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
     rows = [(1, a)] * 3 + [(2, a + " more")] + [(5, b)] * 2 + [(5, a + " other"), (9, b + " more")]
