@@ -135,8 +135,8 @@ def phases(signal: DataFrame, events: DataFrame, keys: list[str], min_contiguous
 
 
 def event_eligibility(rows: DataFrame, keys: list[str], mode: Column, player: str = "player_id") -> DataFrame:
-    """(keys, mode, eligibility, reason): events need tracks of both players; auto resolves by what there is."""
-    roles = rows.groupBy(*keys).agg(F.sort_array(F.collect_set(player)).alias("roles"), F.first(mode).alias("asked"))
+    """(keys, mode, eligibility, reason): events need tracks of both players; auto resolves by what there is. Where rows of a key differ in mode, the least holds."""
+    roles = rows.groupBy(*keys).agg(F.sort_array(F.collect_set(player)).alias("roles"), F.min(mode).alias("asked"))
     both = F.array_contains("roles", "near") & F.array_contains("roles", "far")
     out = roles.withColumn("mode", F.when(F.col("asked") != "auto", F.col("asked")).when(both, "experimental_two_player").otherwise("near_only"))
     reason = F.when(F.col("mode") == "near_only", "near_only_analysis_does_not_support_hit_or_landing_events").when(~both, "event_analysis_requires_near_and_far_player_tracks").otherwise("")
