@@ -24,9 +24,14 @@ def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.hypot(bx - ax, by - ay)
 
 
+def length(x: Column, y: Column) -> Column:
+    """Of a vector, as SQL has it to the last bit: hypot may round otherwise, which decides between equal angles and distances."""
+    return F.sqrt(x * x + y * y)
+
+
 def angle_between(ux: Column, uy: Column, vx: Column, vy: Column, shortest: float = 1e-9) -> Column:
     """Degrees between two vectors; null if either is no longer than `shortest`."""
-    n, m = F.hypot(ux, uy), F.hypot(vx, vy)
+    n, m = length(ux, uy), length(vx, vy)
     return F.when((n > shortest) & (m > shortest), F.degrees(F.acos(clamp((ux * vx + uy * vy) / (n * m), -1, 1))))
 
 

@@ -81,7 +81,7 @@ def temporal_nms(candidates: DataFrame, keys: list[str], min_gap: int, score: st
 def nearest_player(events: DataFrame, players: DataFrame, keys: list[str], max_distance: float, x: str = "x", y: str = "y", frame: str = "frame_id", player: str = "player_id") -> DataFrame:
     """Each event with the nearest player of its frame, nearer than max_distance; of equals the least id."""
     pairs = events.join(players.select(*keys, frame, player, F.col("px"), F.col("py")), [*keys, frame])
-    d = F.hypot(F.col(x) - F.col("px"), F.col(y) - F.col("py"))
+    d = g.length(F.col(x) - F.col("px"), F.col(y) - F.col("py"))
     best = pairs.withColumn("distance", d).where(F.col("distance") < max_distance)
     return best.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, frame).orderBy("distance", player))).where("__r = 1").drop("__r", "px", "py")
 
