@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce
 from ..functions import geometry as g
-from .smoothing import by_frame
 
 KEYS = ["rally_id", "player_id"]
 
@@ -18,10 +17,15 @@ def on_own_half(x="court_x", y="court_y", player="player_id") -> Column:
     return F.coalesce(inside & F.when(player == "near", y >= g.NET_M).otherwise(y <= g.NET_M), F.lit(False))
 
 
+def in_order(keys: list[str], x: str, y: str, frame: str = "frame_id"):
+    """By frame; rows of one frame, as of tracks that share a key, by place, so that the result is determined."""
+    return Window.partitionBy(*keys).orderBy(frame, x, y)
+
+
 def steps(points: DataFrame, keys: list[str], x: str, y: str, max_gap: int = 1, max_speed: float | None = 12.0, frame: str = "frame_id", time: str = "timestamp") -> DataFrame:
     """points with frame_gap, time_gap, step (distance) and speed more; step and speed are null unless the step counts: at most max_gap frames and some time on, and not faster than max_speed."""
-    w = by_frame(keys, frame)
-    d = points.withColumns({"frame_gap": F.col(frame) - F.lag(frame).over(w), "time_gap": F.col(time) - F.lag(time).over(w), "__d": F.hypot(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w))})
+    w = in_order(keys, x, y, frame)
+    d = points.withColumns({"frame_gap": F.col(frame) - F.lag(frame).over(w), "time_gap": F.col(time) - F.lag(time).over(w), "__d": g.length(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w))})
     counts = (F.col("frame_gap") > 0) & (F.col("frame_gap") <= max_gap) & (F.col("time_gap") > 0)
     d = d.withColumn("speed", F.when(counts, F.col("__d") / F.col("time_gap")))
     if max_speed is not None:
@@ -60,7 +64,7 @@ def player_report(positions: DataFrame, expected: DataFrame, keys: list[str] = K
     moved = steps(rows.where("__ok"), keys, x, y)
     made = moved.groupBy(*keys).agg(
         F.count("*").alias("valid_frames"), F.sum("step").alias("total_distance_m"), F.coalesce(F.sum(F.when(F.col("step").isNotNull(), F.col("time_gap"))), F.lit(0.0)).alias("movement_duration_seconds"),
-        F.max("speed").alias("maximum_speed_m_s"), F.max_by("speed", F.when(F.col("speed").isNotNull(), F.col("frame_id"))).alias("current_speed_m_s"),
+        F.max("speed").alias("maximum_speed_m_s"), F.max_by("speed", F.when(F.col("speed").isNotNull(), F.struct("frame_id", x, y))).alias("current_speed_m_s"),
     )
     out = tracked.join(made, keys, "left").join(expected, group, "left")
     out = out.withColumns({"valid_frames": F.coalesce("valid_frames", F.lit(0)), "movement_duration_seconds": F.coalesce("movement_duration_seconds", F.lit(0.0))})
@@ -106,10 +110,10 @@ def density(points: DataFrame, keys: list[str], x: Column, y: Column, width: flo
 
 def strided_stats(points: DataFrame, keys: list[str], x: str, y: str, stride: int = 5, least: float = 0.05, max_speed: float = 8.0, time: str = "timestamp", frame: str = "frame_id") -> DataFrame:
     """Distance over every stride-th position and the last, where steps of between `least` metres and what max_speed allows count; the average is over the whole time."""
-    w, whole = by_frame(keys, frame), Window.partitionBy(*keys)
+    w, whole = in_order(keys, x, y, frame), Window.partitionBy(*keys)
     d = points.withColumns({"__i": F.row_number().over(w) - 1, "__n": F.count("*").over(whole)})
     picked = d.where((F.col("__i") % stride == 0) | (F.col("__i") == F.col("__n") - 1))
-    made = picked.withColumns({"__d": F.hypot(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)), "__t": F.col(time) - F.lag(time).over(w)})
+    made = picked.withColumns({"__d": g.length(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)), "__t": F.col(time) - F.lag(time).over(w)})
     counts = (F.col("__d") > least) & (F.col("__d") < max_speed * F.col("__t"))
     return made.groupBy(*keys).agg(
         F.count("*").alias("samples"), F.coalesce(F.sum(F.when(counts, F.col("__d"))), F.lit(0.0)).alias("distance_m"), F.coalesce(F.max(F.when(counts, F.col("__d") / F.col("__t"))), F.lit(0.0)).alias("max_speed_m_s"), (F.max(time) - F.min(time)).alias("elapsed")

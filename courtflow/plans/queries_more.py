@@ -219,9 +219,9 @@ def win33(spark, sf):
 
 @query("win28_speed_extremes", f"WITH {STEPS} SELECT rally_id, player_id, {r('max_by(speed, frame_id) FILTER (speed IS NOT NULL)', 'last_speed')}, {r('min_by(speed, frame_id) FILTER (speed IS NOT NULL)', 'first_speed')}, max_by(frame_id, (speed, -frame_id)) FILTER (speed IS NOT NULL) AS fastest_frame FROM steps GROUP BY ALL HAVING count(speed) > 0")
 def win28(spark, sf):
-    p = views.player(spark, sf).where(movement.on_own_half())
+    p, at = views.player(spark, sf).where(movement.on_own_half()), F.struct("frame_id", "court_x", "court_y")
     d = movement.steps(p, ["rally_id", "player_id"], "court_x", "court_y").where("speed is not null").groupBy("rally_id", "player_id")
-    d = d.agg(F.max_by("speed", "frame_id").alias("last_speed"), F.min_by("speed", "frame_id").alias("first_speed"), F.max(F.struct("speed", (-F.col("frame_id")).alias("f"))).alias("m"))
+    d = d.agg(F.max_by("speed", at).alias("last_speed"), F.min_by("speed", at).alias("first_speed"), F.max(F.struct("speed", (-F.col("frame_id")).alias("f"))).alias("m"))
     return d.select("rally_id", "player_id", _r("last_speed"), _r("first_speed"), (-F.col("m.f")).alias("fastest_frame"))
 
 
@@ -229,7 +229,7 @@ def win28(spark, sf):
 def sup57(spark, sf):
     keys = ["rally_id", "player_id"]
     d = movement.steps(views.player(spark, sf).where(movement.on_own_half()), keys, "court_x", "court_y")
-    w = smoothing.by_frame(keys).rowsBetween(Window.unboundedPreceding, 0)
+    w = movement.in_order(keys, "court_x", "court_y").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns({"distance": F.coalesce(F.sum("step").over(w), F.lit(0.0)), "max_speed": F.coalesce(F.max(F.when(F.col("speed").isNotNull(), F.least(F.lit(8.0), F.col("speed")))).over(w), F.lit(0.0))})
     return d.select(*keys, "frame_id", _r("distance"), _r("max_speed"))
 
