@@ -78,13 +78,13 @@ def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
         return lengths
     own = counts[used]
     ideal = np.log2(int(own.sum()) / own)
-    n = np.clip(np.ceil(ideal), 1, longest).astype(np.int64)
+    n = np.minimum(np.maximum(np.ceil(ideal), 1), longest).astype(np.int64)
     room = (1 << longest) - int((1 << (longest - n)).sum())
     while room < 0:  # rare symbols were cut to the longest code: all others give a bit, until there is room
         n = np.minimum(n + 1, longest)
         room = (1 << longest) - int((1 << (longest - n)).sum())
     # who lost most by rounding up, for the room it takes, comes first
-    order = np.argsort(ideal - n, kind="stable").tolist()
+    order = (ideal - n).argsort(kind="stable").tolist()
     sizes = n.tolist()
     while room:
         for i in order:
@@ -110,37 +110,39 @@ _REVERSED = [_reversed_bits(n) for n in range(16)]
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes by length, then symbol, bit-reversed, as the stream has them."""
-    codes, used = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths)
-    used = used[np.argsort(lengths[used], kind="stable")]
+    codes, used = np.zeros(len(lengths), np.int64), lengths.nonzero()[0]
     n = lengths[used]
-    spans = np.int64(1) << (15 - n)  # of 15-bit numbers that begin with the code
-    codes[used] = _REVERSED[15][np.cumsum(spans) - spans]
+    order = n.argsort(kind="stable")
+    spans = np.int64(1) << (15 - n[order])  # of 15-bit numbers that begin with the code
+    codes[used[order]] = _REVERSED[15].take(spans.cumsum() - spans)
     return codes
 
 
 class Code:
-    """Decoding table: symbol and length by the next `bits` bits. A code of one symbol takes no bits."""
+    """Decoding table: 16 * symbol + length by the next `bits` bits. A code of one symbol takes no bits."""
 
     def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
+        used = lengths.nonzero()[0]
         self.only = int(used[0]) if len(used) == 1 else None
         if len(used) == 1:
-            self.bits, self.symbol, self.length = 0, np.array([used[0]]), np.zeros(1, np.int64)
+            self.bits, self.table = 0, used << 4
             return
-        if not len(used) or int((np.int64(1) << (15 - lengths[used])).sum()) != 1 << 15:
+        n = lengths[used]
+        spans = np.int64(1) << (15 - n)
+        if int(spans.sum()) != 1 << 15:
             raise ValueError("not a complete prefix code")
-        self.bits = int(lengths.max())
-        used = used[np.argsort(lengths[used], kind="stable")]
-        spans, turned = 1 << (self.bits - lengths[used]), _REVERSED[self.bits]
-        self.symbol, self.length = np.repeat(used, spans)[turned], np.repeat(lengths[used], spans)[turned]
+        self.bits = int(n.max())
+        order = n.argsort(kind="stable")
+        self.table = (used << 4 | n)[order].repeat(spans[order] >> (15 - self.bits)).take(_REVERSED[self.bits])
 
     def read(self, r: Reader) -> int:
         if self.only is not None:
             return self.only
         a = r.at
         i = int.from_bytes(r.data[a >> 3 : (a >> 3) + 3], "little") >> (a & 7) & ((1 << self.bits) - 1)
-        r.at = a + int(self.length[i])
-        return int(self.symbol[i])
+        found = int(self.table[i])
+        r.at = a + (found & 15)
+        return found >> 4
 
 
 @lru_cache(maxsize=512)
@@ -149,13 +151,17 @@ def _only(symbol: int) -> Code:
     return Code(np.bincount([symbol]))
 
 
+#: Of the symbols of code lengths: the length meant, the least times it is repeated, and the extra bits that say how many more.
+_MEANT, _LEAST, _MORE = (np.array(x) for x in ([*range(16), 0, 0, 0], [1] * 16 + [3, 3, 11], [0] * 16 + [2, 3, 7]))
+
+
 @lru_cache(maxsize=64)
-def _length_code(packed: int, many: int) -> tuple[list[int], list[int], int]:
-    """The code of code lengths: symbols and their bits by the next bits, and how many those are."""
+def _length_code(packed: int, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The code of code lengths: symbols, their bits and those with the extra ones, by the next bits; whether one repeats the last length."""
     lengths = np.zeros(19, np.int64)
     lengths[_ORDER[:many]] = [packed >> 3 * k & 7 for k in range(many)]
-    code = Code(lengths)
-    return code.symbol.tolist(), code.length.tolist(), (1 << code.bits) - 1
+    table = Code(lengths).table
+    return table >> 4, table & 15, (table & 15) + _MORE[table >> 4], bool(lengths[16])
 
 
 def read_code(r: Reader, alphabet: int) -> Code:
@@ -167,32 +173,44 @@ def read_code(r: Reader, alphabet: int) -> Code:
         lengths = np.zeros(alphabet, np.int64)
         lengths[[symbol, r.read(8)]] = 1
         return Code(lengths)
-    lengths = np.zeros(alphabet, np.int64)
     many = 4 + r.read(4)
-    code = _length_code(r.read(3 * many), many)
+    symbols, sizes, hops, repeats = _length_code(r.read(3 * many), many)
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else alphabet
-    symbols, sizes, mask = code
-    data, start, at, used, last, out = np.frombuffer(r.data + bytes(4), np.uint8), r.at, 0, 0, 8, []
-    ahead = _window(data, start, min(160 if alphabet < 256 else 460 if alphabet == 256 else 1000, len(r.data) * 8 - start), 11).tolist()
-    while at < alphabet and left:
-        left -= 1
-        if used + 32 > len(ahead):  # a longer code than most
-            ahead = _window(data, start, min(16 * alphabet + 64, len(r.data) * 8 - start), 11).tolist()
-        i = ahead[used] & mask
-        s, used = symbols[i], used + sizes[i]
-        if s < 16:
-            out.append(s)
-            at, last = at + 1, s or last
-        else:
-            bits, least = ((2, 3), (3, 3), (7, 11))[s - 16]
-            n = least + (ahead[used] & ((1 << bits) - 1)) if bits else least
-            used, at = used + bits, at + n
-            out += [last if s == 16 else 0] * n
-    r.at += used
-    if at > alphabet:
-        raise ValueError("code lengths beyond the alphabet")
-    lengths[: len(out)] = out
-    return Code(lengths)
+    data, end = np.frombuffer(r.data + bytes(4), np.uint8), len(r.data) * 8 - r.at
+    for most in (160 if alphabet < 256 else 460 if alphabet == 256 else 1000, 16 * alphabet + 64):  # few codes are longer than the first
+        count = max(0, min(most, end))
+        ahead = _window(data, r.at, count, 14)
+        at = ahead & (len(symbols) - 1)
+        to, path, p = (hops.take(at) + _PLACES[:count]).tolist(), [], 0
+        for _ in range(left):
+            if p >= count:
+                break
+            path.append(p)
+            p = to[p]
+        if not path:
+            break
+        at = at.take(path)
+        symbol = symbols.take(at)
+        again = _LEAST.take(symbol) + (ahead.take(path + sizes.take(at), mode="clip") & ((1 << _MORE.take(symbol)) - 1))
+        ends = again.cumsum()
+        n = int(ends.searchsorted(alphabet)) + 1  # symbols up to the alphabet's end
+        if n < len(path):
+            p = path[n]
+        if p > count or n > len(path) and len(path) < left:
+            continue
+        symbol, again = symbol[:n], again[:n]
+        value = _MEANT.take(symbol)
+        if repeats:  # the last length that wasn't 0, or 8
+            last = np.maximum.accumulate(np.where((symbol > 0) & (symbol < 16), np.arange(len(symbol)), -1))
+            value = np.where(symbol == 16, np.where(last < 0, 8, value[last]), value)
+        total = int(ends[len(symbol) - 1])
+        if total > alphabet:
+            raise ValueError("code lengths beyond the alphabet")
+        r.at += p
+        lengths = np.zeros(alphabet, np.int64)
+        lengths[:total] = value.repeat(again)
+        return Code(lengths)
+    raise ValueError("the stream ends early")
 
 
 #: The code that this encoder writes code lengths with: 4 bits, but 5 for lengths 1, 13, 14 and 15; runs of lengths (16) aren't used.
@@ -222,28 +240,33 @@ def write_code(w: Writer, lengths: np.ndarray) -> None:
             w.write(s, 8)
         return
     kept = lengths[: used[-1] + 1]
-    starts = np.concatenate([[0], (kept[1:] != kept[:-1]).nonzero()[0] + 1])
-    runs = np.concatenate([starts[1:], [len(kept)]]) - starts
-    values = kept[starts]
-    if ((values == 0) & (runs > 138)).any():
-        parts = [(v, k) for v, n in zip(values.tolist(), runs.tolist()) for k in ([n] if v else [138] * (n // 138) + ([n % 138] if n % 138 else []))]
-        values, runs = np.array(parts).T
-    packed = (values == 0) & (runs >= 3)  # runs of zeros; others are written out
-    long = runs >= 11
-    again = np.where(packed, 1, runs)
-    symbols = np.where(packed, 17 + long, values).repeat(again)
-    extra = np.where(packed, runs - np.where(long, 11, 3), 0).repeat(again)
-    many_extra = np.where(packed, np.where(long, 7, 3), 0).repeat(again)
-    w.write(_LENGTH_HEAD, 1 + 4 + 3 * 19)
-    w.write(1, 1)
-    n = len(symbols)
-    bits = max(2, (n - 2).bit_length() + 1 & ~1) if n > 2 else 2
-    w.write((bits - 2) // 2, 3)
-    w.write(max(0, n - 2), bits)
+    ends = np.append((kept[1:] != kept[:-1]).nonzero()[0], len(kept) - 1)
+    digits, many = map(list, zip(*map(_run, kept.take(ends).tolist(), np.diff(ends, prepend=-1).tolist())))
+    n = sum(many)
     if n < 2:
-        symbols, extra, many_extra = (np.append(x, 0) for x in (symbols, extra, many_extra))
-    sizes = _LENGTH_SIZES[symbols]
-    w.append(*_joined(_LENGTH_CODES[symbols] | extra << sizes, sizes + many_extra))
+        digits.append(_run(0, 1)[0])
+    w.write(_LENGTH_HEAD | 1 << 62, 63)
+    bits = max(2, (n - 2).bit_length() + 1 & ~1) if n > 2 else 2
+    w.write((bits - 2) // 2 | max(0, n - 2) << 3, 3 + bits)
+    text = "".join(digits[::-1])
+    w.write(int(text, 2), len(text))
+
+
+@lru_cache(maxsize=4096)
+def _run(value: int, times: int) -> tuple[str, int]:
+    """How equal lengths in a row are written: binary digits, the first bit last, and symbols. Runs of three zeros or more are packed."""
+    out = Writer()
+    many = 0
+    while times:
+        k = min(times, 138) if value == 0 else 1
+        k = 1 if k < 3 else k
+        symbol = value if k == 1 else 17 if k < 11 else 18
+        out.write(int(_LENGTH_CODES[symbol]), int(_LENGTH_SIZES[symbol]))
+        if k > 1:
+            out.write(k - int(_LEAST[symbol]), int(_MORE[symbol]))
+        times -= k
+        many += 1
+    return f"{out.value:0{out.bits}b}", many
 
 
 def prefix(value: int) -> tuple[int, int, int]:
@@ -275,15 +298,17 @@ def near_distance(code: int, width: int) -> int:
 def _window(data: np.ndarray, start: int, count: int, bits: int) -> np.ndarray:
     """The next `bits` bits (up to 15) at each of `count` bits from bit `start` on; data has 3 bytes to spare."""
     a, b = start >> 3, ((start + count) >> 3) + 1
-    d = data[a : b + 2].astype(np.uint32)
-    words = d[:-2] | d[1:-1] << np.uint32(8) | d[2:] << np.uint32(16)
-    at = (words[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << bits) - 1)
-    return at.ravel()[start & 7 : (start & 7) + count].astype(np.int64)
+    d = data[a : b + 2].astype(np.int64)
+    at = (d[:-2] | d[1:-1] << 8 | d[2:] << 16).repeat(8)
+    at >>= _SHIFTS[: len(at)]
+    at &= (1 << bits) - 1
+    return at[start & 7 : (start & 7) + count]
 
 
 _NEAR_X, _NEAR_Y = (np.array([xy[k] for xy in NEAR], np.int64) for k in (0, 1))
 _STEP = 1 << 16
 _PLACES = np.arange(_STEP + 128)
+_SHIFTS = _PLACES & 7
 
 
 def _followed(to: np.ndarray, count: int) -> np.ndarray:
@@ -302,14 +327,10 @@ def _followed(to: np.ndarray, count: int) -> np.ndarray:
     return path[path < count]
 
 
-def _prefixed(code: np.ndarray, extra: np.ndarray) -> np.ndarray:
-    """Values of prefix codes, given the bits behind them."""
-    n = np.maximum(code - 2, 0) >> 1
-    return np.where(code < 4, code + 1, ((2 + (code & 1)) << n) + (extra & ((1 << n) - 1)) + 1)
-
-
-def _extra_bits(code: np.ndarray) -> np.ndarray:
-    return np.where(code < 4, 0, (code - 2) >> 1)
+#: Of prefix codes: the extra bits behind them, the values that these take, and the least value.
+_EXTRA_BITS = np.array([max(c - 2, 0) >> 1 for c in range(40)])
+_EXTRA_MASK = (1 << _EXTRA_BITS) - 1
+_LEAST_OF = np.array([c + 1 if c < 4 else ((2 + (c & 1)) << (c - 2 >> 1)) + 1 for c in range(40)])
 
 
 def _items(r: Reader, codes: list[Code], width: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -324,50 +345,57 @@ def _items(r: Reader, codes: list[Code], width: int, total: int) -> tuple[np.nda
         stop = count + 96  # an item is at most 59 bits long
         ahead = _window(data, r.at, stop, 15)
         at = ahead & mask
-        symbol, after = green.symbol.take(at, mode="clip"), green.length.take(at, mode="clip")
+        found = green.table.take(at, mode="clip")
+        after = found & 15
         after += _PLACES[:stop]
         first = to = after[:count]
         hop = None
         for c in (red, blue, alpha):
             if c.bits:
-                hop = hop if hop is not None and blue is red and c is blue else c.length.take(ahead & ((1 << c.bits) - 1), mode="clip")
+                hop = hop if hop is not None and blue is red and c is blue else (c.table & 15).take(ahead & ((1 << c.bits) - 1), mode="clip")
                 to = to + hop.take(to, mode="clip")
-        what = symbol[:count]
-        where = (what >= 256).nonzero()[0]
+        where = (found[:count] >= 256 << 4).nonzero()[0]
         if len(where):
             to = to.copy() if to is first else to
-            to[where] = first[where]
-            where = where[what[where] < 280]
-            p = first[where] + _extra_bits(symbol[where] - 256)
-            d = far.symbol[ahead[p] & ((1 << far.bits) - 1)]
-            to[where] = p + far.length[ahead[p] & ((1 << far.bits) - 1)] + _extra_bits(d)
+            to[where] = first.take(where)
+            code = (found.take(where) >> 4) - 256
+            copied = (code < 24).nonzero()[0]
+            where = where.take(copied)
+            p = first.take(where) + _EXTRA_BITS.take(code.take(copied))
+            d = far.table.take(ahead.take(p) & ((1 << far.bits) - 1))
+            to[where] = p + (d & 15 if far.bits else 0) + _EXTRA_BITS.take(d >> 4)
         lead = _PLACES[: stop + 1].copy()
         np.minimum(to, stop, out=lead[:count])
         path = _followed(lead, count)
-        what, q = symbol.take(path), after.take(path)
+        what, q = found.take(path) >> 4, after.take(path)
         values, fields = [], q
         for c in (red, blue, alpha):
             if not c.bits:
-                values.append(c.symbol[0])
+                values.append(c.only)
                 continue
-            k = ahead.take(fields, mode="clip") & ((1 << c.bits) - 1)
-            values.append(c.symbol.take(k))
-            fields = fields + c.length.take(k)
-        length, distance, argb, slot = np.ones(len(path), np.int64), np.zeros(len(path), np.int64), values[2] << 24 | values[0] << 16 | what << 8 | values[1], np.full(len(path), -1, np.int64)
-        slot[what >= 280] = what[what >= 280] - 280
-        argb[what >= 256] = 0
-        where = np.flatnonzero((what >= 256) & (what < 280))
+            k = c.table.take(ahead.take(fields, mode="clip") & ((1 << c.bits) - 1))
+            values.append(k >> 4)
+            fields = fields + (k & 15)
+        length, distance, argb, slot = np.ones(len(path), np.int64), np.zeros(len(path), np.int64), values[0] << 16 | what << 8 | values[1] | values[2] << 24, np.full(len(path), -1, np.int64)
+        where = (what >= 256).nonzero()[0]
+        if len(where):
+            code = what.take(where) - 256
+            argb[where] = 0
+            cached = (code >= 24).nonzero()[0]
+            slot[where.take(cached)] = code.take(cached) - 24
+            copied = (code < 24).nonzero()[0]
+            where, code = where.take(copied), code.take(copied)
         if len(where):
-            code, p = what[where] - 256, q[where]
-            length[where] = _prefixed(code, ahead[p])
-            p = p + _extra_bits(code)
-            d = far.symbol[ahead[p] & ((1 << far.bits) - 1)]
-            p = p + far.length[ahead[p] & ((1 << far.bits) - 1)]
-            v = _prefixed(d, ahead[p] | ahead[np.minimum(p + 15, stop - 1)] << 15)
+            p = q.take(where)
+            length[where] = _LEAST_OF.take(code) + (ahead.take(p) & _EXTRA_MASK.take(code))
+            p = p + _EXTRA_BITS.take(code)
+            d = far.table.take(ahead.take(p) & ((1 << far.bits) - 1))
+            p, d = p + (d & 15 if far.bits else 0), d >> 4
+            v = _LEAST_OF.take(d) + ((ahead.take(p) | ahead.take(np.minimum(p + 15, stop - 1)) << 15) & _EXTRA_MASK.take(d))
             near = np.minimum(v, len(NEAR)) - 1
-            distance[where] = np.where(v > len(NEAR), v - len(NEAR), np.maximum(1, _NEAR_X[near] + _NEAR_Y[near] * width))
-        ends = n + np.cumsum(length)
-        keep = int(np.searchsorted(ends, total)) + 1
+            distance[where] = np.where(v > len(NEAR), v - len(NEAR), np.maximum(1, _NEAR_X.take(near) + _NEAR_Y.take(near) * width))
+        ends = length.cumsum() + n
+        keep = int(ends.searchsorted(total)) + 1
         if keep <= len(path):
             length[keep - 1] -= ends[keep - 1] - total
             n = total
@@ -377,7 +405,7 @@ def _items(r: Reader, codes: list[Code], width: int, total: int) -> tuple[np.nda
         if r.at > end:
             raise ValueError("the stream ends early")
         parts.append([x[:keep] for x in (length, distance, argb, slot)])
-    return tuple(np.concatenate(x) for x in zip(*parts))
+    return tuple(parts[0]) if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def _resolved(source: np.ndarray) -> np.ndarray:
@@ -392,24 +420,25 @@ def _resolved(source: np.ndarray) -> np.ndarray:
 def _fast_pixels(r: Reader, codes: list[Code], cache_bits: int, width: int, total: int) -> np.ndarray:
     """An image of one group of prefix codes."""
     length, distance, argb, slot = _items(r, codes, width, total)
-    place = np.cumsum(length) - length
+    place = length.cumsum() - length
     if (distance > place).any():
         raise ValueError("a back-reference before the first pixel")
     value = np.zeros(total + 1, np.int64)  # the last is the colour of an empty cache entry
     value[place] = argb
     source = np.arange(total + 1)
     if (distance > 0).any():
-        source[:total] -= np.repeat(distance, length)
+        source[:total] -= distance.repeat(length)
         source = _resolved(source)
-    cached = np.flatnonzero(slot >= 0)
+    cached = (slot >= 0).nonzero()[0]
     if len(cached):
         key = (CACHE_FACTOR * value & 0xFFFFFFFF) >> (32 - cache_bits)
         key[place[cached]] = slot[cached]
-        key = key[source[:total]]
-        order = np.argsort(key.astype(np.uint16), kind="stable")  # at most 11 bits, sorted by radix
+        key = key.astype(np.uint16).take(source[:total])
+        order = key.argsort(kind="stable")  # at most 11 bits, sorted by radix
         before = np.full(total, total)
-        same = key[order[1:]] == key[order[:-1]]
-        before[order[1:][same]] = order[:-1][same]
+        ordered = key.take(order)
+        same = (ordered[1:] == ordered[:-1]).nonzero()[0]
+        before[order.take(same + 1)] = order.take(same)
         source[place[cached]] = before[place[cached]]
         source = _resolved(source[source])
     return value[source[:total]].astype(np.uint32)
@@ -626,18 +655,16 @@ def _head(w: Writer, width: int, height: int, alpha: bool) -> None:
 
 
 def _joined(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, int]:
-    """Values of given bit sizes (up to 32 in all a symbol) one after another, as uint32 words."""
-    ends = np.cumsum(sizes)
+    """Values of given bit sizes (1 to 32 each) one after another, as uint32 words."""
+    ends = sizes.cumsum()
     total = int(ends[-1]) if len(ends) else 0
-    out = np.zeros(total // 32 + 2, np.uint64)
+    out = np.zeros(total // 32 + 2, np.int64)
     if total:
         at = ends - sizes
-        word = at >> 5
-        first = np.concatenate([[0], (word[1:] != word[:-1]).nonzero()[0] + 1])
-        sums = np.add.reduceat(values.astype(np.uint64) << (at & 31).astype(np.uint64), first)
-        rows = word[first]
-        out[rows] += sums & np.uint64(0xFFFFFFFF)
-        out[rows + 1] += sums >> np.uint64(32)
+        word = at >> 5  # none is left out, as no value is longer than one
+        sums = np.add.reduceat(values << (at & 31), word.searchsorted(np.arange(int(word[-1]) + 1)))
+        out[: len(sums)] = sums & 0xFFFFFFFF
+        out[1 : len(sums) + 1] += sums >> 32
     return out.astype("<u4"), total
 
 
@@ -652,15 +679,17 @@ def _copies(flat: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
         key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ flat[k : k + n]
     if n < 1 << 14:  # short keys are sorted by radix; of those that meet by chance some references go unseen
         key = (key >> np.uint64(48)).astype(np.uint16)
-    order = np.argsort(key, kind="stable")
+    order = key.argsort(kind="stable")
     distance = np.zeros(n, np.int64)
-    same = (key[order[1:]] == key[order[:-1]]).nonzero()[0]
+    key = key.take(order)
+    same = (key[1:] == key[:-1]).nonzero()[0]
     if not len(same):
         return np.empty((0, 3), np.int64)
-    later, far = order[same + 1], order[same + 1] - order[same]
-    right = flat[later] == flat[later - far]
+    later, before = order.take(same + 1), order.take(same)
+    far = later - before
+    right = flat.take(later) == flat.take(before)
     for k in range(1, least):  # else equal keys of other pixels
-        right &= flat[later + k] == flat[later - far + k]
+        right &= flat[k:].take(later) == flat[k:].take(before)
     distance[later[right]] = far[right]
     changes = np.concatenate([[0], (distance[1:] != distance[:-1]).nonzero()[0] + 1, [n]])
     starts, ends = changes[:-1], changes[1:] + (least - 1)
@@ -679,9 +708,18 @@ def _copies(flat: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
 def _prefix_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(prefix code, extra bits, their number) of values from 1."""
     v = value - 1
-    top = np.maximum(np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1, 1)
-    many = np.where(v < 4, 0, top - 1)
-    return np.where(v < 4, v, 2 * top + (v >> (top - 1) & 1)), np.where(v < 4, 0, v & ((1 << many) - 1)), many
+    if not len(v) or int(v.max()) < len(_CODE_OF):
+        code = _CODE_OF.take(v)
+        many = _EXTRA_BITS.take(code)
+    else:
+        top = np.maximum(np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1, 1)
+        many = np.where(v < 4, 0, top - 1)
+        code = np.where(v < 4, v, 2 * top + (v >> (top - 1) & 1))
+    return code, np.where(v < 4, 0, v & ((1 << many) - 1)), many
+
+
+#: The prefix codes of values from 1 on.
+_CODE_OF = np.arange(26).repeat(1 << _EXTRA_BITS[:26])
 
 
 _SPREAD = np.log2(np.maximum(np.arange(1 << 16), 1)) * np.arange(1 << 16)
@@ -699,43 +737,44 @@ class _Stream:
     """An image's pixels as literals, references and cache entries. A cache of cache_bits is used if it holds an eighth of the literals."""
 
     def __init__(self, flat: np.ndarray, width: int, copies: np.ndarray, cache_bits: int):
-        at = np.arange(len(flat))
+        at = None
         if len(copies):
             covered = np.zeros(len(flat) + 1, np.int64)
-            covered[copies[:, 0]] += 1
-            covered[: len(flat)] -= np.bincount(copies[:, 0] + copies[:, 1], minlength=len(flat) + 1)[: len(flat)]
-            lead = np.cumsum(covered[:-1]) == 0
+            covered[copies[:, 0]] = 1
+            covered -= np.bincount(copies[:, 0] + copies[:, 1], minlength=len(flat) + 1)
+            lead = covered.cumsum() == 0
             lead[copies[:, 0]] = True
-            at = lead.nonzero()[0]
-        fields = flat[at].astype("<u4").view(np.uint8).reshape(-1, 4)[:, _FIELDS].astype(np.int64)
-        size = np.ones((len(at), 4), bool)
+            at = lead[:-1].nonzero()[0]
+        kept = (flat if at is None else flat.take(at)).astype("<u4")
+        self.many = len(kept)
+        channels = kept.view(np.uint8).reshape(-1, 4)
+        green, is_literal = channels[:, 1].astype(np.int64), np.ones(len(kept), bool)
         if cache_bits:
             slot = (flat.astype(np.uint32) * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)
-            order = np.argsort(slot.astype(np.uint16), kind="stable")  # short keys are sorted by radix
+            order = slot.astype(np.uint16).argsort(kind="stable")  # short keys are sorted by radix
             hit = np.zeros(len(flat), bool)
-            by_slot = flat[order]  # the same colour as the last of its slot; another colour of the slot would come between
+            by_slot = flat.take(order)  # the same colour as the last of its slot; another colour of the slot would come between
             hit[order[1:]] = by_slot[1:] == by_slot[:-1]
-            where = hit[at].nonzero()[0]
-            if 8 * len(where) >= len(at):
-                fields[where, 0], size[where, 1:] = 280 + slot[at[where]].astype(np.int64), False
+            where = (hit if at is None else hit.take(at)).nonzero()[0]
+            if 8 * len(where) >= len(kept):
+                green[where], is_literal[where] = slot.take(where if at is None else at.take(where)).astype(np.int64) + 280, False
             else:
                 cache_bits = 0
         self.cache_bits = cache_bits
         self.far = self.extra = self.where = None
-        first = ALPHABETS[0] + (1 << cache_bits if cache_bits else 0)
-        counts = np.zeros((5, first), np.int64)
+        far_counts = np.zeros(ALPHABETS[4], np.int64)
         if len(copies):
-            where = np.searchsorted(at, copies[:, 0])
+            where = at.searchsorted(copies[:, 0])
             code, extra, many = _prefix_of(copies[:, 1])
-            size[where, 1:], fields[where, 0] = False, 256 + code
+            is_literal[where], green[where] = False, code + 256
             self.far = _prefix_of(_distance_codes(copies[:, 2], width))
             self.extra, self.where = (extra, many), where
-            counts[4, : ALPHABETS[4]] = np.bincount(self.far[0], minlength=ALPHABETS[4])
-        self.fields, self.size = fields, size
-        counts[0] = np.bincount(fields[:, 0], minlength=first)
-        literal = fields[size[:, 1], 1:] + np.arange(3) * 256
-        counts[1:4, :256] = np.bincount(literal.ravel(), minlength=768).reshape(3, 256)
-        self.counts = [counts[0], *(counts[k, :n] for k, n in enumerate(ALPHABETS[1:], 1))]
+            far_counts = np.bincount(self.far[0], minlength=ALPHABETS[4])
+        self.literal = is_literal.nonzero()[0]
+        # green of all; red, blue and alpha of the literals
+        self.fields = [green, *(channels[:, c].take(self.literal).astype(np.int64) for c in _FIELDS[1:])]
+        sizes = (ALPHABETS[0] + (1 << cache_bits if cache_bits else 0), *ALPHABETS[1:4])
+        self.counts = [*(np.bincount(f, minlength=n) for f, n in zip(self.fields, sizes)), far_counts]
 
     def write(self, w: Writer, main: bool = True) -> None:
         w.write(int(self.cache_bits > 0), 1)
@@ -743,8 +782,7 @@ class _Stream:
             w.write(self.cache_bits, 4)
         if main:
             w.write(0, 1)  # no meta prefix codes
-        n = len(self.fields)
-        values, sizes = np.zeros((n, 6), np.int64), np.zeros((n, 6), np.int64)
+        values, sizes = np.zeros((2, self.many, 6), np.int64)
         for k, counts in enumerate(self.counts):
             if k != 2:  # blue is written by red's code: in text they have the same symbols, and one code is worked out and read for both
                 lengths, start = code_lengths(counts + self.counts[2] if k == 1 else counts, 15), Writer()
@@ -753,16 +791,17 @@ class _Stream:
             w.write(start.value, start.bits)
             if codes is None:
                 continue
-            if k < 4:
-                at = self.size[:, k].nonzero()[0]
-                values[at, k], sizes[at, k] = codes[self.fields[at, k]], lengths[self.fields[at, k]]
+            if k == 0:
+                values[:, 0], sizes[:, 0] = codes.take(self.fields[0]), lengths.take(self.fields[0])
+            elif k < 4:
+                values[self.literal, k], sizes[self.literal, k] = codes.take(self.fields[k]), lengths.take(self.fields[k])
             else:
-                values[self.where, 4], sizes[self.where, 4] = codes[self.far[0]], lengths[self.far[0]]
+                values[self.where, 4], sizes[self.where, 4] = codes.take(self.far[0]), lengths.take(self.far[0])
         if self.where is not None:  # the length's extra bits come before the distance's code, where literals have red
             values[self.where, 1], sizes[self.where, 1] = self.extra
             values[self.where, 5], sizes[self.where, 5] = self.far[1:]
         takes = sizes.ravel().nonzero()[0]
-        w.append(*_joined(values.ravel()[takes], sizes.ravel()[takes]))
+        w.append(*_joined(values.ravel().take(takes), sizes.ravel().take(takes)))
 
 
 @lru_cache(maxsize=64)
@@ -778,8 +817,8 @@ def _near_codes(width: int) -> tuple[np.ndarray, np.ndarray]:
 def _distance_codes(distance: np.ndarray, width: int) -> np.ndarray:
     """Codes of distances: of a near pixel its number, else the distance after those."""
     known, codes = _near_codes(width)
-    at = np.minimum(np.searchsorted(known, distance), len(known) - 1)
-    return np.where(known[at] == distance, codes[at], distance + len(NEAR))
+    at = np.minimum(known.searchsorted(distance), len(known) - 1)
+    return np.where(known.take(at) == distance, codes.take(at), distance + len(NEAR))
 
 
 def _counts_of(channels: np.ndarray) -> np.ndarray:
