@@ -30,6 +30,8 @@ CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 LARGEST_SIDE = 1 << 14
 ALPHABETS = (256 + 24, 256, 256, 256, 40)
+#: The farthest back-reference: the last of the 40 prefix codes of distances ends at 2**20, and 120 numbers are those of near pixels.
+FARTHEST = (1 << 20) - len(NEAR)
 
 
 # ---- bits
@@ -687,7 +689,8 @@ def _copies(flat: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
         return np.empty((0, 3), np.int64)
     later, before = order.take(same + 1), order.take(same)
     far = later - before
-    right = flat.take(later) == flat.take(before)
+    right = far <= FARTHEST
+    right &= flat.take(later) == flat.take(before)
     for k in range(1, least):  # else equal keys of other pixels
         right &= flat[k:].take(later) == flat[k:].take(before)
     distance[later[right]] = far[right]
@@ -929,7 +932,7 @@ def _references(flat: list[int], width: int) -> list[tuple]:
         key, best = tuple(flat[i : i + 3]), (0, 0)
         if len(key) == 3:
             j = seen.get(key)
-            if j is not None:
+            if j is not None and i - j <= FARTHEST:
                 n = 0
                 while i + n < len(flat) and n < 4096 and flat[j + n] == flat[i + n]:
                     n += 1

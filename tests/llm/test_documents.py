@@ -564,6 +564,18 @@ def test_media_of_long_payloads_is_one_image():
     assert stored.count(b"WEBPVP8L") == 1 and media.load(stored, len(data)).tobytes() == media.padded(data)
 
 
+def test_media_of_texts_that_repeat_from_afar():
+    """Pixels that come again as far on as the format's distances go (2**20, less 120 near pixels), and farther."""
+    farthest, sizes = (1 << 20) - 120, {}
+    for apart in (farthest, farthest + 1, 1_500_000):
+        block = random.Random(5).randbytes(3 * 600)
+        data = block + bytes(3 * (apart - 600)) + block
+        stored = media.store(media.padded(data))
+        assert media.load(stored, len(data)).tobytes() == media.padded(data)
+        sizes[apart] = len(stored)
+    assert sizes[farthest] + 1000 < sizes[farthest + 1]  # the reference is taken where there is one
+
+
 def test_byte_bpe(docs, texts, empty):
     import tiktoken
 
