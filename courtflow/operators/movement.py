@@ -54,7 +54,8 @@ def movement_summary(positions: DataFrame, keys: list[str] = KEYS, x: str = "cou
     if with_hull:
         made = made.withColumn("__hull", g.convex_hull(F.col("__points"))).withColumn("coverage_area_m2", g.shoelace(F.col("__hull"))).drop("__points", "__hull")
     made = made.withColumn("movement_eligibility", F.when(eligible, "eligible").otherwise("not_eligible"))
-    return made.join(rejected, keys)
+    same = [made[k].eqNullSafe(rejected[k]) for k in keys]  # positions without a key are a group too
+    return made.join(rejected, same).drop(*(rejected[k] for k in keys))
 
 
 def player_report(positions: DataFrame, expected: DataFrame, keys: list[str] = KEYS, group: str = "rally_id", x: str = "court_x", y: str = "court_y") -> DataFrame:
