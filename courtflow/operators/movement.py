@@ -18,8 +18,8 @@ def on_own_half(x="court_x", y="court_y", player="player_id") -> Column:
 
 
 def in_order(keys: list[str], x: str, y: str, frame: str = "frame_id"):
-    """By frame; rows of one frame, as of tracks that share a key, by place, so that the result is determined."""
-    return Window.partitionBy(*keys).orderBy(frame, x, y)
+    """By frame, rows without one last; rows of one frame, as of tracks that share a key, by place, so that the result is determined."""
+    return Window.partitionBy(*keys).orderBy(*(F.col(c).asc_nulls_last() for c in (frame, x, y)))
 
 
 def steps(points: DataFrame, keys: list[str], x: str, y: str, max_gap: int = 1, max_speed: float | None = 12.0, frame: str = "frame_id", time: str = "timestamp") -> DataFrame:
@@ -41,10 +41,9 @@ def movement_summary(positions: DataFrame, keys: list[str] = KEYS, x: str = "cou
     seen = positions.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__ok", on_own_half(x, y))
     rejected = seen.groupBy(*keys).agg(F.sum(F.when(F.col("__ok"), 0).otherwise(1)).alias("rejected_position_rows"))
     moved = steps(seen.where("__ok"), keys, x, y).withColumn("__zone", g.zone(g.own_depth(F.col("player_id"), F.col(y))))
-    first = F.col("frame_gap").isNull()
     share = lambda z: (F.sum(F.when(F.col("__zone") == z, 1).otherwise(0)) / F.count("*")).alias(f"{z}_court_ratio")
     made = moved.groupBy(*keys).agg(
-        F.count("*").alias("frames_valid"), F.count("step").alias("distance_steps"), (F.count("*") - F.sum(first.cast("int")) - F.count("step")).alias("discontinuity_count"),
+        F.count("*").alias("frames_valid"), F.count("step").alias("distance_steps"), (F.count("*") - 1 - F.count("step")).alias("discontinuity_count"),
         F.coalesce(F.sum(F.when(F.col("step").isNotNull(), F.col("time_gap"))), F.lit(0.0)).alias("movement_duration_seconds"), F.sum("step").alias("total_distance_m"),
         F.avg(x).alias("mean_court_x"), F.avg(y).alias("mean_court_y"), share("front"), share("mid"), share("back"),
         *([F.collect_set(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("__points")] if with_hull else []),
