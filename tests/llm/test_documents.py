@@ -323,6 +323,30 @@ def test_jaccard_join_gives_a_row_a_row(spark):
     assert got == Counter({(1, 36, 1): 3, (2, 37, 1): 1, (5, 36, 5): 2, (5, 37, 1): 1, (9, 37, 5): 1})
 
 
+def test_small_tables_take_few_files(spark, texts, monkeypatch):
+    """Of the tables of the join only the documents' and the links' are written by as many tasks as a shuffle has, whatever its partitions."""
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    want = Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect())
+    files, old = [], type(docs).checkpoint
+
+    def counted(df, *args):
+        files.append(df.rdd.getNumPartitions())
+        return old(df, *args)
+
+    monkeypatch.setattr(type(docs), "checkpoint", counted)
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect())
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == want
+    assert len(files) > 10 and sorted(files)[-2:] == [24, 24] and max(sorted(files)[:-2]) <= 1
+
+
 def test_region_join_recurses_exactly():
     r = random.Random(8)
     p = jaccard_join.JaccardParams(pivots=3)
