@@ -367,6 +367,40 @@ def test_region_join_recurses_exactly():
         assert jaccard_join.join_region(s, p).tolist() == root
 
 
+def near_copies(n, seed, words=200, edits=8):
+    """Texts that each differ from one text in up to so many words, so that pivots don't part them and many link with none."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+    texts = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.randint(1, edits)):
+            w[r.randrange(words)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_region_that_pivots_do_not_part_is_compared_once(monkeypatch):
+    texts = near_copies(300, 5)
+    sets = [jaccard_join.shingles(t.encode(), common.BoundedCache(jaccard_join.xxhash.xxh64_intdigest, 50_000), 5) for t in texts]
+    s, calls, against = jaccard_join.Sets(sets, [len(x) for x in sets], 80), [], jaccard_join.Sets.against
+    monkeypatch.setattr(jaccard_join.Sets, "against", lambda self, i, others: (calls.append(i), against(self, i, others))[1])
+    got = jaccard_join.join_region(s, jaccard_join.JaccardParams())
+    assert got.tolist() == [root for _, _, root in brute_components(list(enumerate(texts)))]
+    assert 30 < len(set(got.tolist())) < 300 and len(calls) <= len(texts) + 16
+    calls.clear()
+    assert (jaccard_join.join_region(s, jaccard_join.JaccardParams(), got) == got).all() and len(calls) <= len(texts) + 16
+
+
+def test_large_region_that_pivots_do_not_part(spark):
+    """Beside one that they part; both over the limit of a task."""
+    texts = near_copies(120, 6) + [t for seed in range(7, 11) for t in near_copies(20, seed, 100, 4)]
+    rows = [(i, t + " " + " ".join(f"s{k}" for k in range(8))) for i, t in enumerate(texts)]
+    for params in ({"region_rows": 50, "block_rows": 40}, {"region_rows": 30, "block_rows": 25, "pivots": 6}):
+        got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), jaccard_join.JaccardParams(**params)).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got)) == brute_components(rows)
+
+
 # ---- packing
 
 
