@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import acos
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,10 +31,24 @@ def length(x: Column, y: Column) -> Column:
     return F.sqrt(x * x + y * y)
 
 
+def cosine_between(ux: Column, uy: Column, vx: Column, vy: Column, shortest: float = 1e-9) -> Column:
+    """Of the angle between two vectors; null if either is no longer than `shortest`."""
+    n, m = length(ux, uy), length(vx, vy)
+    return F.when((n > shortest) & (m > shortest), clamp((ux * vx + uy * vy) / (n * m), -1, 1))
+
+
 def angle_between(ux: Column, uy: Column, vx: Column, vy: Column, shortest: float = 1e-9) -> Column:
     """Degrees between two vectors; null if either is no longer than `shortest`."""
-    n, m = length(ux, uy), length(vx, vy)
-    return F.when((n > shortest) & (m > shortest), F.degrees(F.acos(clamp((ux * vx + uy * vy) / (n * m), -1, 1))))
+    return F.degrees(F.acos(cosine_between(ux, uy, vx, vy, shortest)))
+
+
+def acos_as_sql(cosine: Column) -> Column:
+    """The C library's, as SQL has it to the last bit, at the price of a Python worker: the JVM's may round otherwise, and so part angles that are equal there."""
+
+    def each(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else acos(v) for v in values.to_pylist()], pa.float64())
+
+    return F.arrow_udf(each, "double")(cosine)
 
 
 def vertex_angle(a, b, c) -> Column:

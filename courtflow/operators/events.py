@@ -13,9 +13,10 @@ def reversals(track: DataFrame, keys: list[str], min_angle: float, x: str = "x",
     """Rows whose direction turns by more than min_angle degrees between the frame before and the one after, with the angle."""
     w = by_frame(keys, frame)
     prev, nxt = (lambda c: F.lag(c).over(w)), (lambda c: F.lead(c).over(w))
-    angle = g.angle_between(F.col(x) - prev(x), F.col(y) - prev(y), nxt(x) - F.col(x), nxt(y) - F.col(y), 1e-6)
+    cosine = g.cosine_between(F.col(x) - prev(x), F.col(y) - prev(y), nxt(x) - F.col(x), nxt(y) - F.col(y), 1e-6)
     near = (F.col(frame) - prev(frame) == 1) & (nxt(frame) - F.col(frame) == 1)
-    return track.withColumn("angle", F.when(near, angle)).where(F.col("angle") > min_angle)
+    turned = track.withColumn("__cos", F.when(near, cosine)).where(F.degrees(F.acos("__cos")) > min_angle - 1e-9)  # a few more than turn, if any
+    return turned.withColumn("angle", F.degrees(g.acos_as_sql(F.col("__cos")))).where(F.col("angle") > min_angle).drop("__cos")
 
 
 def _apart(rows: DataFrame, keys: list[str], gap: int, frame: str) -> DataFrame:
